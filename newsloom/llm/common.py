@@ -8,6 +8,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newsloom.session import ship
+
 #: Words of a shingle, and the entries at which a worker's word cache is emptied.
 SHINGLE = 5
 CACHE = 400_000
@@ -20,6 +22,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """``doc_id``, ``text`` (null: empty) and ``more``; any other column is dropped before the scan."""
+    ship(docs.sparkSession)
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 

@@ -7,7 +7,7 @@ import importlib.util
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import lm, token_counts
+from newsloom.llm import fingerprints, lm, ngram_join, packing, token_counts
 from newsloom.llm.common import table
 
 
@@ -20,6 +20,10 @@ def tokenizer(name: str) -> str:
     return f"/opt/tokenizers/{name}"
 
 
+def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.kneser_ney_scores(table(spark, sf_dir, "documents"))
 
@@ -28,5 +32,13 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op3_lm_scoring, op6_token_counts)}
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op2_document_fingerprints, op3_lm_scoring, op6_token_counts, op7_ngram_jaccard_join, op8_best_fit_packing)}
 SQL: dict[str, str] = {}

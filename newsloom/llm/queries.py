@@ -7,7 +7,7 @@ import importlib.util
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import fingerprints, lm, ngram_join, packing, token_counts
+from newsloom.llm import fingerprints, line_dedup, lm, mixing, ngram_join, packing, token_counts, toxicity
 from newsloom.llm.common import table
 
 
@@ -20,6 +20,10 @@ def tokenizer(name: str) -> str:
     return f"/opt/tokenizers/{name}"
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_digest(table(spark, sf_dir, "documents"))
+
+
 def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -40,5 +44,13 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_document_fingerprints, op3_lm_scoring, op6_token_counts, op7_ngram_jaccard_join, op8_best_fit_packing)}
-SQL: dict[str, str] = {}
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_document_fingerprints, op3_lm_scoring, op6_token_counts, op7_ngram_jaccard_join, op8_best_fit_packing, op9_toxicity, op10_mixing)}
+SQL: dict[str, str] = {"op1_line_dedup": line_dedup.LINE_DIGEST_SQL}

@@ -1,3 +1,66 @@
-"""Corpus pipeline (stages follow)."""
-STAGES = []
+"""A corpus pipeline of five stages: toxicity, line dedup, n-gram Jaccard join, mixing, packing.
+
+Each stage is ``(name, function)`` with ``function(spark, docs, sf_dir)``. All but the
+last return the columns of ``documents``; the last returns the packed pieces. Each
+stage works on every row that the one before it kept. ``run`` writes each stage's
+result as Parquet into the shared folder and reads it back as the next one's input.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from newsloom.llm import line_dedup, mixing, ngram_join, packing, toxicity
+from newsloom.llm.common import table, tokenizer
+from newsloom.plans.scratch import materialize
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity operator rejects go. It learns from the labelled documents outside the held-out fold."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~toxicity.held_out()))
+    return toxicity.without_toxic(docs, model)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that many sources repeat go but for their first occurrence, and with them documents that held nothing else."""
+    return line_dedup.dedup_lines(docs)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that links join, the one of the least doc_id stays, once."""
+    groups = materialize(ngram_join.jaccard_components(docs), "groups")
+    gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone"))
+    kept = docs.join(F.broadcast(gone) if gone.count() <= ngram_join.BROADCAST_IDS else gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    twice = groups.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    return kept.select(*docs.columns) if twice.isEmpty() else kept.select(*docs.columns).dropDuplicates(["doc_id"])
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of sources takes it."""
+    return mixing.mixed(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The packed pieces of all documents of the mix."""
+    return packing.pack_documents(docs, tokenizer("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", dedup_lines),
+    ("ngram_jaccard_join", one_of_each_group),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+
+#: A learned lexicon, hashed draws and best-fit packing have no SQL form; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

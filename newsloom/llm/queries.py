@@ -2,22 +2,11 @@
 
 from __future__ import annotations
 
-import importlib.util
-
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import fingerprints, line_dedup, lm, mixing, ngram_join, packing, token_counts, toxicity
-from newsloom.llm.common import table
-
-
-def tokenizer(name: str) -> str:
-    """Path of a public tokenizer's file, from the installed package or /opt/tokenizers."""
-    if importlib.util.find_spec("public_tokenizers"):
-        import public_tokenizers
-
-        return public_tokenizers.path(name)
-    return f"/opt/tokenizers/{name}"
+from newsloom.llm import embeddings, fingerprints, licenses, line_dedup, lm, mixing, ngram_join, packing, token_counts, toxicity
+from newsloom.llm.common import table, tokenizer
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +21,14 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.kneser_ney_scores(table(spark, sf_dir, "documents"))
 
 
+def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
@@ -52,5 +49,19 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_document_fingerprints, op3_lm_scoring, op6_token_counts, op7_ngram_jaccard_join, op8_best_fit_packing, op9_toxicity, op10_mixing)}
-SQL: dict[str, str] = {"op1_line_dedup": line_dedup.LINE_DIGEST_SQL}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_line_dedup,
+        op2_document_fingerprints,
+        op3_lm_scoring,
+        op4_license_scans,
+        op5_embedding_near_dedup,
+        op6_token_counts,
+        op7_ngram_jaccard_join,
+        op8_best_fit_packing,
+        op9_toxicity,
+        op10_mixing,
+    )
+} | {"pipeline": corpus_pipeline.run}
+SQL: dict[str, str] = {"op1_line_dedup": line_dedup.LINE_DIGEST_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -43,6 +43,13 @@ def splits_at_spaces(model: sentencepiece.SentencePieceProcessor) -> bool:
     return not inside and model.encode("a  b \n c") == [t for x in (b"a", b" b", b"\n", b"c") for t in model.encode(x.decode())]
 
 
+def length_of(model: sentencepiece.SentencePieceProcessor, key: bytes) -> int:
+    """Tokens of a pre-token with the space before it."""
+    if not key:  # the model has nothing for an empty text: take the space from a longer one
+        return len(model.encode("a ")) - len(model.encode("a"))
+    return len(model.encode(key.decode("utf-8", "replace")))
+
+
 class Lengths(dict):
     """Tier two over tier one: counts of pre-tokens, encoded when first met."""
 
@@ -51,7 +58,7 @@ class Lengths(dict):
         self.model, self.frequent = model, frequent
 
     def __missing__(self, key: bytes) -> int:
-        value = len(self.model.encode(key.decode("utf-8", "replace")))
+        value = length_of(self.model, key)
         if len(key) <= LONGEST:
             if len(self) >= CACHE:
                 self.clear()
@@ -75,7 +82,7 @@ def frequent_lengths(docs: DataFrame, model_path: str, sample_docs: int = SAMPLE
     drawn = texts(docs).where(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0).select("text").coalesce(1 if step == 1 else 8)
     top = drawn.mapInArrow(count, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(size)
     model = sentencepiece.SentencePieceProcessor(model_file=model_path)
-    return {(k := bytes(r["token"])): len(model.encode(k.decode("utf-8", "replace"))) for r in top.toLocalIterator()}
+    return {(k := bytes(r["token"])): length_of(model, k) for r in top.toLocalIterator()}
 
 
 def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096) -> DataFrame:

@@ -89,3 +89,19 @@ def lists(parts: list[np.ndarray], kind: type = np.int64) -> pa.ListArray:
     ends = np.cumsum([0, *map(len, parts)], dtype=np.int32)
     flat = np.concatenate(parts).view(kind) if parts else np.empty(0, kind)
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+
+
+def forest(a: np.ndarray) -> np.ndarray:
+    """For a boolean matrix of links between rows and columns, the root row of each row and column that has a link, or -1."""
+    rows, cols = np.full(a.shape[0], -1), np.full(a.shape[1], -1)
+    for p in np.flatnonzero(a.any(1)):
+        if rows[p] >= 0:
+            continue
+        front = a[p] & (cols < 0)
+        rows[p] = p
+        while front.any():
+            cols[front] = p
+            more = a[:, front].any(1) & (rows < 0)
+            rows[more] = p
+            front = a[more].any(0) & (cols < 0) if more.any() else np.zeros_like(front)
+    return np.concatenate([rows, cols])

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.llm.common import forest
 from newsloom.plans.components import connected_components
 from newsloom.plans.scratch import materialize
 from newsloom.session import ship
@@ -89,22 +90,6 @@ def stop_radius(x: np.ndarray, key: np.ndarray, books: tuple[np.ndarray, np.ndar
     return exact if len(seen) < LEAST_PAIRS else min(exact, MARGIN * float(np.quantile(seen, RECALL)) + exact / 50)
 
 
-def forest(a: np.ndarray) -> np.ndarray:
-    """For a boolean matrix of links between rows and columns, the root row of each row and column that has a link, or -1."""
-    rows, cols = np.full(a.shape[0], -1), np.full(a.shape[1], -1)
-    for p in np.flatnonzero(a.any(1)):
-        if rows[p] >= 0:
-            continue
-        front = a[p] & (cols < 0)
-        rows[p] = p
-        while front.any():
-            cols[front] = p
-            more = a[:, front].any(1) & (rows < 0)
-            rows[more] = p
-            front = a[more].any(0) & (cols < 0) if more.any() else np.zeros_like(front)
-    return np.concatenate([rows, cols])
-
-
 def valid(embedding: str = "embedding", label: str = "label"):
     e = F.col(embedding)
     fine = F.size(e) > 0

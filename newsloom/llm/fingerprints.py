@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm.common import SHINGLE, WordHashes, lists, shingles, texts, utf8
+from newsloom.llm.ngram_join import exact_overlaps, linked, set_signature
 from newsloom.plans.components import connected_components
 from newsloom.plans.scratch import materialize
 
@@ -112,37 +113,40 @@ def fingerprints(docs: DataFrame, k: int = SHINGLE, ranges: int | None = None) -
     return dealt.select("doc_id", "text", "bucket", "extra").mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = SHINGLE) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, k: int = SHINGLE) -> DataFrame:
     """``doc_id, component_id``: documents joined by signature bands whose sets were verified.
 
     Equal sets are one class. Classes that share a band are each compared with the
-    band's least class by the exact Jaccard similarity of their sets, so a band of
-    many rows costs as many comparisons, not their square.
+    band's least class, so a band of many rows costs as many comparisons, not their
+    square; the exact Jaccard similarity of their sets decides. Texts without words
+    are not returned. An empty table gives no rows.
     """
 
     def run(batches):
-        for b in batches:
-            ids, sets, bands = [], [], []
-            for d, t in zip(b.column(0).to_pylist(), utf8(b.column(1)), strict=True):
-                if len(s := shingles(t, _hashes, k)):
-                    ids.append(d)
-                    sets.append(s)
-                    v = signature(t, k).reshape(-1, BAND_ROWS)
-                    h = np.arange(len(v), dtype=np.uint64)
-                    for i in range(BAND_ROWS):
-                        h = (h ^ v[:, i]) * np.uint64(0x9E3779B97F4A7C15)
-                        h ^= h >> np.uint64(29)
-                    bands.append(h)
-            yield pa.record_batch({"doc_id": pa.array(ids, pa.int64()), "s": lists(sets), "bands": lists(bands)})
-
-    own = materialize(texts(docs).mapInArrow(run, "doc_id long, s array<long>, bands array<long>").withColumn("sig", F.xxhash64("s")), "signatures")
-    classes = own.groupBy("sig").agg(F.min("doc_id").alias("least"))
-    reps = own.join(classes, "sig").where("doc_id = least").dropDuplicates(["sig"]).select("doc_id", "s", "bands")
-    rows = reps.select("doc_id", F.explode("bands").alias("band"))
-    pairs = rows.join(rows.groupBy("band").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("m")).where("m > 1"), "band").where("doc_id <> pivot").select("doc_id", "pivot").distinct()
-    met = pairs.join(reps.select("doc_id", "s"), "doc_id").join(reps.select(F.col("doc_id").alias("pivot"), F.col("s").alias("p")), "pivot")
-    both = F.size(F.array_intersect("s", "p"))
-    links = met.where(both >= F.lit(threshold) * (F.size("s") + F.size("p") - both)).select("doc_id", "pivot")
-    labels = connected_components(links, "doc_id", "pivot")
-    member = own.join(classes, "sig").select("doc_id", "least")
-    return member.join(labels, F.col("least") == F.col("node"), "left").select("doc_id", F.coalesce("component", "least").alias("component_id"))
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 1000):
+                b = whole.slice(lo, 1000)
+                ids, n, sig, bands = [], [], [], []
+                for d, t in zip(b.column(0).to_pylist(), utf8(b.column(1)), strict=True):
+                    if len(s := shingles(t, _hashes, k)):
+                        ids.append(d)
+                        n.append(len(s))
+                        sig.append(set_signature(s))
+                        v = signature(t, k).reshape(-1, BAND_ROWS)
+                        h = np.arange(len(v), dtype=np.uint64)
+                        for i in range(BAND_ROWS):
+                            h = (h ^ v[:, i]) * np.uint64(0x9E3779B97F4A7C15)
+                            h ^= h >> np.uint64(29)
+                        bands.append(h)
+                yield pa.record_batch({"doc_id": pa.array(ids, pa.int64()), "n": pa.array(n, pa.int64()), "sig": pa.array(sig, pa.int64()), "bands": lists(bands)})
+
+    own = materialize(texts(docs).mapInArrow(run, "doc_id long, n long, sig long, bands array<long>"), "signatures")
+    classes = materialize(own.groupBy("sig").agg(F.min(F.struct("doc_id", "n", "bands")).alias("r")).select("sig", "r.*"), "classes")
+    rows = classes.select("sig", "n", F.explode("bands").alias("band"))
+    pivots = rows.groupBy("band").agg(F.min(F.struct("sig", "n")).alias("p"), F.count("*").alias("m")).where("m > 1").select("band", F.col("p.sig").alias("a"), F.col("p.n").alias("na"))
+    pairs = materialize(rows.join(pivots, "band").where("sig <> a").select("a", F.col("sig").alias("b"), "na", F.col("n").alias("nb")).distinct(), "band-pairs")
+    links = linked(exact_overlaps(pairs, docs, classes.select("doc_id", "sig"), k), percent).select("a", "b")
+    labels = connected_components(links, "a", "b")
+    at = classes.join(labels, F.col("sig") == F.col("node"), "left").select("sig", "doc_id", F.coalesce("component", "sig").alias("at"))
+    least = at.groupBy("at").agg(F.min("doc_id").alias("component_id"))
+    return own.select("doc_id", "sig").join(at.join(least, "at").select("sig", "component_id"), "sig").select("doc_id", "component_id")

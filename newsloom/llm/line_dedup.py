@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from newsloom.plans.scratch import materialize
 
-#: Distinct sites that make a line boilerplate; log2 of a sketch's size; rows that may be broadcast.
-MIN_SITES, LG_K, BROADCAST_ROWS = 5, 12, 500_000
+#: Distinct sites that make a line boilerplate; log2 of a sketch's size; hashes that a broadcast table may hold.
+MIN_SITES, LG_K, BROADCAST_HASHES = 5, 12, 300_000
 OUT = "__lines"
 
 
@@ -28,9 +28,9 @@ def line_hash(line: Column) -> Column:
     return F.when(bare != "", F.xxhash64(bare))
 
 
-def _bounded(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast a materialised table if it is small; else it is joined by shuffle."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def _bounded(df: DataFrame, hashes: int | None) -> DataFrame:
+    """Broadcast a materialised table if it holds few hashes; else it is joined by shuffle."""
+    return F.broadcast(df) if (hashes or 0) <= BROADCAST_HASHES else df
 
 
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
@@ -58,7 +58,7 @@ def mark_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     own = held.groupBy("doc_id").agg(F.collect_set(F.when(F.col("doc_id").eqNullSafe(F.col("first")), F.col("h"))).alias("once"), F.collect_set(F.when(~F.col("doc_id").eqNullSafe(F.col("first")), F.col("h"))).alias("gone"))
     own = materialize(own.withColumnRenamed("doc_id", "__of"), "line-marks")
     hashes = F.transform(_lines(), lambda x: F.coalesce(line_hash(x), F.lit(0)))
-    both = docs.join(_bounded(own, own.count()), docs["doc_id"].eqNullSafe(F.col("__of")), "left")
+    both = docs.join(_bounded(own, own.agg(F.sum(1 + F.size("once") + F.size("gone"))).first()[0]), docs["doc_id"].eqNullSafe(F.col("__of")), "left")
     kept = F.filter(F.arrays_zip(_lines().alias("line"), hashes.alias("h"), F.sequence(F.lit(1), F.size(_lines())).alias("i")), lambda x: ~F.array_contains("gone", x["h"]) & (~F.array_contains("once", x["h"]) | (F.array_position(hashes, x["h"]) == x["i"])))
     some = F.when(F.col("gone").isNull(), F.struct(F.size(_lines()).alias("n"), F.lit(0).alias("removed"), F.col("text").alias("text")))
     cut = F.transform(kept, lambda x: x["line"])

@@ -17,6 +17,11 @@ def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def fingerprint_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second half of operator 2: documents that signature bands join, with the least doc_id of each component."""
+    return fingerprints.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.kneser_ney_scores(table(spark, sf_dir, "documents"))
 
@@ -62,6 +67,7 @@ QUERIES = {
         op8_best_fit_packing,
         op9_toxicity,
         op10_mixing,
+        fingerprint_bands,
     )
 } | {"pipeline": corpus_pipeline.run}
 SQL: dict[str, str] = {"op1_line_dedup": line_dedup.LINE_DIGEST_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -12,7 +12,7 @@ from newsloom.session import ship
 
 #: Words of a shingle, and the entries at which a worker's word cache is emptied.
 SHINGLE = 5
-CACHE = 400_000
+CACHE = 250_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -56,6 +56,10 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, of), np.uint64, len(of))
 
 
+#: One for all operators of a worker process.
+HASHES = WordHashes()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser on 64-bit integers."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

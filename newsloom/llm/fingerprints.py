@@ -17,14 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import SHINGLE, WordHashes, lists, shingles, texts, utf8
+from newsloom.llm.common import HASHES, SHINGLE, lists, shingles, texts, utf8
 from newsloom.llm.ngram_join import exact_overlaps, linked, set_signature
 from newsloom.plans.components import connected_components
 from newsloom.plans.scratch import materialize
 
 #: Permutations, and rows of a band (32 bands of 4 find a pair at 0.8 but for 1 in 10^7).
 PERMUTATIONS, BAND_ROWS = 128, 4
-_hashes = WordHashes()
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(1, 2**64, PERMUTATIONS, np.uint64) | np.uint64(1)
 _B = _rng.integers(0, 2**64, PERMUTATIONS, np.uint64)
@@ -32,7 +31,7 @@ _B = _rng.integers(0, 2**64, PERMUTATIONS, np.uint64)
 
 def signature(text: bytes, k: int = SHINGLE) -> np.ndarray:
     """The least value of each permutation over the k-word shingles; all ones for a text without words."""
-    s = shingles(text, _hashes, k)
+    s = shingles(text, HASHES, k)
     out = np.full(PERMUTATIONS, np.iinfo(np.uint64).max, np.uint64)
     for lo in range(0, len(s), 1024):
         np.minimum(out, (np.multiply.outer(_A, s[lo : lo + 1024]) + _B[:, None]).min(1), out=out)
@@ -128,7 +127,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = SHINGLE) -> Dat
                 b = whole.slice(lo, 1000)
                 ids, n, sig, bands = [], [], [], []
                 for d, t in zip(b.column(0).to_pylist(), utf8(b.column(1)), strict=True):
-                    if len(s := shingles(t, _hashes, k)):
+                    if len(s := shingles(t, HASHES, k)):
                         ids.append(d)
                         n.append(len(s))
                         sig.append(set_signature(s))

@@ -27,7 +27,7 @@ from newsloom.llm.common import texts
 from newsloom.plans.scratch import materialize
 
 #: Pieces in a group (about), exchanges at most, entries of a worker's cache.
-GROUP, ROUNDS, CACHE = 20_000, 4, 900_000
+GROUP, ROUNDS, CACHE = 20_000, 4, 500_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Runs that no pre-token of the byte-level pattern crosses; texts that are encoded whole, and such with white space that only those runs cut rightly;
 #: punctuation that ends a word, which is a pre-token of its own. The marks stand before a chunk that has no space before it, and for a line's end.

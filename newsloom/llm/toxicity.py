@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import WordHashes, shingles, texts
+from newsloom.llm.common import HASHES, shingles, texts
 from newsloom.llm.lm import crc
 from newsloom.session import ship
 
@@ -55,7 +55,6 @@ class _Fold(dict):
 
 
 _FOLD = _Fold()
-_hashes = WordHashes()
 
 
 def fold(text: str) -> str:
@@ -158,7 +157,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
         for whole in batches:
             for lo in range(0, whole.num_rows, 1000):
                 b = whole.slice(lo, 1000)
-                m = [((s ^ salt) * np.uint64(0x9E3779B97F4A7C15)).min(1).view(np.int64) if len(s := shingles(t.encode(), _hashes)) else np.zeros(3, np.int64) for t in b.column(1).to_pylist()]
+                m = [((s ^ salt) * np.uint64(0x9E3779B97F4A7C15)).min(1).view(np.int64) if len(s := shingles(t.encode(), HASHES)) else np.zeros(3, np.int64) for t in b.column(1).to_pylist()]
                 m = np.array(m).reshape(-1, 3)
                 yield pa.record_batch({"doc_id": b.column(0), "text": b.column(1), "toxic": b.column(2), **{f"m{i}": pa.array(np.ascontiguousarray(m[:, i])) for i in range(3)}})
 

@@ -2,8 +2,10 @@
 
 from collections import Counter
 
+import numpy as np
+
 import corpus_pipeline
-from newsloom.llm import line_dedup, ngram_join, toxicity
+from newsloom.llm import line_dedup, ngram_join, packing, toxicity
 from newsloom.llm.common import table, tokenizer
 
 SF = "/root/testdata/sf0.001"
@@ -38,7 +40,8 @@ def test_stages_in_order(spark):
     tk = Tokenizer.from_file(tokenizer("byte_bpe_50k.json"))
     want = sum(len(tk.encode(r["text"] or "", add_special_tokens=False).ids) + 1 for r in mix.collect())
     assert sum(r["length"] for r in packed) == want
-    assert len({r["sequence_id"] for r in packed}) <= -(-want // 1024) + 3
+    least = packing.lower_bound(np.array([r["length"] for r in packed]), 1024)  # long pieces may leave gaps that nothing fits
+    assert len({r["sequence_id"] for r in packed}) <= 1.02 * least + 2
 
 
 def test_repeated_rows_leave_one(spark):

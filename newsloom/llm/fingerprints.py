@@ -17,8 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.llm import ngram_join
 from newsloom.llm.common import HASHES, SHINGLE, lists, shingles, texts, utf8
-from newsloom.llm.ngram_join import exact_overlaps, linked, set_signature
+from newsloom.llm.ngram_join import cell_sizes, exact_overlaps, linked, outside_links, possible, set_signature
 from newsloom.plans.components import connected_components
 from newsloom.plans.scratch import materialize
 
@@ -115,37 +116,49 @@ def fingerprints(docs: DataFrame, k: int = SHINGLE, ranges: int | None = None) -
 def near_duplicates(docs: DataFrame, percent: int = 80, k: int = SHINGLE) -> DataFrame:
     """``doc_id, component_id``: documents joined by signature bands whose sets were verified.
 
-    Equal sets are one class. Classes that share a band are each compared with the
-    band's least class, so a band of many rows costs as many comparisons, not their
-    square; the exact Jaccard similarity of their sets decides. Texts without words
-    are not returned. An empty table gives no rows.
+    Equal sets are one class. Classes of a small band are all compared; those of a
+    large one first meet its pivot, the class that lies most in large bands, and what
+    this leaves outside the pivot's component meets all classes of the pivot in blocks
+    of bounded size. The exact Jaccard similarity of their sets decides. Texts without
+    words are not returned. An empty table gives no rows.
     """
 
     def run(batches):
         for whole in batches:
             for lo in range(0, whole.num_rows, 1000):
                 b = whole.slice(lo, 1000)
-                ids, n, sig, bands = [], [], [], []
+                ids, n, sig, cells, bands = [], [], [], [], []
                 for d, t in zip(b.column(0).to_pylist(), utf8(b.column(1)), strict=True):
                     if len(s := shingles(t, HASHES, k)):
                         ids.append(d)
                         n.append(len(s))
                         sig.append(set_signature(s))
+                        cells.append(cell_sizes(s))
                         v = signature(t, k).reshape(-1, BAND_ROWS)
                         h = np.arange(len(v), dtype=np.uint64)
                         for i in range(BAND_ROWS):
                             h = (h ^ v[:, i]) * np.uint64(0x9E3779B97F4A7C15)
                             h ^= h >> np.uint64(29)
                         bands.append(h)
-                yield pa.record_batch({"doc_id": pa.array(ids, pa.int64()), "n": pa.array(n, pa.int64()), "sig": pa.array(sig, pa.int64()), "bands": lists(bands)})
+                yield pa.record_batch({"doc_id": pa.array(ids, pa.int64()), "n": pa.array(n, pa.int64()), "sig": pa.array(sig, pa.int64()), "cells": pa.array(cells, pa.binary()), "bands": lists(bands)})
 
-    own = materialize(texts(docs).mapInArrow(run, "doc_id long, n long, sig long, bands array<long>"), "signatures")
-    classes = materialize(own.groupBy("sig").agg(F.min(F.struct("doc_id", "n", "bands")).alias("r")).select("sig", "r.*"), "classes")
+    own = materialize(texts(docs).mapInArrow(run, "doc_id long, n long, sig long, cells binary, bands array<long>"), "signatures")
+    classes = materialize(own.groupBy("sig").agg(F.min(F.struct("doc_id", "n", "cells", "bands")).alias("r")).select("sig", "r.*"), "classes")
     rows = classes.select("sig", "n", F.explode("bands").alias("band"))
-    pivots = rows.groupBy("band").agg(F.min(F.struct("sig", "n")).alias("p"), F.count("*").alias("m")).where("m > 1").select("band", F.col("p.sig").alias("a"), F.col("p.n").alias("na"))
-    pairs = materialize(rows.join(pivots, "band").where("sig <> a").select("a", F.col("sig").alias("b"), "na", F.col("n").alias("nb")).distinct(), "band-pairs")
-    links = linked(exact_overlaps(pairs, docs, classes.select("doc_id", "sig"), k), percent).select("a", "b")
+    met = materialize(rows.join(rows.groupBy("band").agg(F.count("*").alias("m")).where("m > 1"), "band"), "met")
+    few = met.where(F.col("m") <= ngram_join.SMALL)
+    pairs = few.select(F.col("sig").alias("a"), "band").join(few.select(F.col("sig").alias("b"), "band"), "band").where("a < b").select("a", "b")
+    large = met.where(F.col("m") > ngram_join.SMALL)
+    often = large.groupBy("sig").agg(F.count("*").alias("k"))
+    best = large.join(often, "sig").groupBy("band").agg(F.max(F.struct("k", "sig")).alias("p")).select("band", F.col("p.sig").alias("pivot"))
+    pivots = materialize(large.join(best, "band").select("pivot", "sig").distinct(), "pivots")
+    star = pivots.where("sig <> pivot").select(F.least("sig", "pivot").alias("a"), F.greatest("sig", "pivot").alias("b"))
+    pairs = materialize(possible(pairs.unionByName(star).distinct(), classes.select("sig", "n", "cells"), percent), "band-pairs")
+    links = linked(materialize(exact_overlaps(pairs, docs, classes.select("doc_id", "sig"), k), "overlaps"), percent).select("a", "b")
     labels = connected_components(links, "a", "b")
+    more = outside_links(pivots, labels, classes, docs, percent, k)
+    if more is not None:
+        labels = connected_components(links.unionByName(more), "a", "b")
     at = classes.join(labels, F.col("sig") == F.col("node"), "left").select("sig", "doc_id", F.coalesce("component", "sig").alias("at"))
     least = at.groupBy("at").agg(F.min("doc_id").alias("component_id"))
     return own.select("doc_id", "sig").join(at.join(least, "at").select("sig", "component_id"), "sig").select("doc_id", "component_id")

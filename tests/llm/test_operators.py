@@ -140,6 +140,23 @@ def test_band_join_finds_copies(docs):
     assert got == want
 
 
+def test_band_join_links_classes_that_no_pivot_links(spark, monkeypatch):
+    """Versions near their twin only, made of variants that many others hold too, so that a third text can be the pivot of every shared band."""
+    for name, n in {"SMALL": 2, "OUTSIDE": 8, "BLOCK": 16, "FEW": 1}.items():
+        monkeypatch.setattr(ngram_join, name, n)
+    rng = np.random.default_rng(11)
+    rows = []
+    for _ in range(60):
+        v = rng.random(200) < 0.12
+        twin = v.copy()
+        at = rng.choice(200, 12, replace=False)
+        twin[at] = ~twin[at]
+        for z in (v, twin):
+            rows.append((len(rows), " ".join(f"a{i} b{i} c{i} d{i} e{i} {'yes' if x else 'no'}" for i, x in enumerate(z)), "s"))
+    got = fingerprints.near_duplicates(frame(spark, rows)).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(d, c) for d, _, c in brute_components([(d, t) for d, t, _ in rows])]
+
+
 def brute_kn(train, text):
     """Interpolated modified Kneser-Ney bigrams from plain dictionaries."""
     tok = lambda t: [w.decode() for w in (t or "").encode().lower().split()] + ["</s>"]

@@ -28,12 +28,24 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links join, the one of the least doc_id stays, once."""
-    groups = materialize(ngram_join.jaccard_components(docs), "groups")
-    gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone"))
-    kept = docs.join(F.broadcast(gone) if gone.count() <= ngram_join.BROADCAST_IDS else gone, docs["doc_id"] == F.col("__gone"), "left_anti")
-    twice = groups.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
-    return kept.select(*docs.columns) if twice.isEmpty() else kept.select(*docs.columns).dropDuplicates(["doc_id"])
+    """Of rows that links join, that of the least doc_id stays, once; of an id's rows, that of the least text hash. Null ids come last.
+
+    Rows are told apart by doc_id and text, so rows that share an id, or have none, go only where links join them.
+    """
+    rows = ngram_join.labelled(docs).where("at is not null").groupBy("at", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    rows = materialize(rows, "groups")
+    best = rows.groupBy("at").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("best"))
+    marked = rows.join(best, "at").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_hash") == F.col("best.text_hash")))
+    marked = materialize(marked.where("n > 1 or not stays").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__of"), "stays"), "marked")
+    own = docs.withColumn("__hash", ngram_join.text_hash("text"))
+
+    def among(some: DataFrame, how: str) -> DataFrame:
+        side = F.broadcast(some) if some.count() <= ngram_join.BROADCAST_IDS else some
+        return own.join(side, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__of")), how)
+
+    kept = among(marked, "left_anti").select(*docs.columns)
+    twice = marked.where("stays")
+    return kept if twice.isEmpty() else kept.unionByName(among(twice, "left_semi").dropDuplicates(["doc_id", "__hash"]).select(*docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

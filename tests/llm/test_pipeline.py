@@ -51,6 +51,15 @@ def test_repeated_rows_leave_one(spark):
     assert out.count() == out.select("doc_id").distinct().count()
 
 
+def test_rows_of_one_id_go_only_where_links_join_them(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(None, a), (None, b), (None, a), (1, c), (1, "one more text of the same id"), (2, c), (3, c + " end"), (1, ""), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = dict(corpus_pipeline.STAGES)["ngram_jaccard_join"](spark, docs, SF)
+    want = [(None, a), (None, b), (1, c), (1, "one more text of the same id"), (1, ""), (None, None)]
+    assert Counter(map(tuple, out.collect())) == Counter(want)
+
+
 def test_empty_corpus(spark):
     docs = table(spark, SF, "documents").where("false")
     for name, stage in corpus_pipeline.STAGES[:-1]:

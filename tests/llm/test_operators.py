@@ -308,6 +308,13 @@ def test_jaccard_join_matches_brute_force(docs, none):
     assert ngram_join.jaccard_components(none).count() == 0
 
 
+def test_a_null_id_among_copies_keeps_their_links(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(None, text), (7, text), (8, text + " end"), (9, "another text"), (None, "a text of no id"), (4, ""), (None, None)]
+    got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r["doc_id"], r["component_id"]) for r in got) == Counter([(None, 7), (7, 7), (8, 7), (9, 9), (None, None), (4, 4), (None, None)])
+
+
 def test_jaccard_join_of_large_groups(spark, monkeypatch):
     """Groups above the all-pairs size: a hub of near copies, and sets that share a part without linking to the pivot."""
     rng = np.random.default_rng(8)

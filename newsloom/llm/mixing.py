@@ -1,8 +1,9 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
 Documents of a source fall into blocks by hash. A source's target is its whole
-passes and a rest; the rest takes blocks of a hashed permutation up to the target,
-then single documents of the blocks after them. The block copies that a source owes
+passes and a rest; the rest takes the blocks of a hashed permutation that still fit,
+past those that do not, then in the same way single documents of one block left, and
+of further ones until no document fits. The block copies that a source owes
 (its quota) are split among output shards by a binary tree: at each node a uniformly
 drawn half of the node's block copies goes left, so that the counts by source follow
 the multivariate hypergeometric distribution and every quota is met exactly. Each
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 
 from newsloom.plans.scratch import materialize
 
-#: Weights by rank of the source, times its size that a target may reach; blocks in all (about), log2 of shards, documents of the pool that fits the rest, sources whose table may be broadcast.
-WEIGHTS, MOST, BLOCKS, LEVELS, POOL, BROADCAST_ROWS = (5, 2, 1), 3, 16_384, 4, 256, 200_000
+#: Weights by rank of the source, times its size that a target may reach; blocks in all (about), log2 of shards, sources whose table may be broadcast.
+WEIGHTS, MOST, BLOCKS, LEVELS, BROADCAST_ROWS = (5, 2, 1), 3, 16_384, 4, 200_000
 SEED = 7
 
 
@@ -61,39 +62,69 @@ def _same(a: DataFrame, b: DataFrame, *keys: str) -> Column:
     return out
 
 
+def filled(items: DataFrame, size: str) -> DataFrame:
+    """``items (source, at, gap)`` with ``taken``: in the order of ``at``, each item that still fits what its source's gap has left.
+
+    The first items up to one that is too large come from a running sum; only what
+    still fits behind them is walked one by one.
+    """
+    upto = Window.partitionBy("source").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    could = F.col(size) <= F.col("gap")
+    out = items.withColumn("first", could & (F.sum(F.when(could, F.col(size)).otherwise(0)).over(upto) <= F.col("gap")))
+    whole = Window.partitionBy("source")
+    out = out.withColumn("after", F.col("gap") - F.sum(F.when(F.col("first"), F.col(size)).otherwise(0)).over(whole))
+    out = materialize(out.withColumn("could", ~F.col("first") & (F.col(size) <= F.col("after"))), "items")
+    behind = out.where("could").groupBy("source").agg(F.first("after").cast("double").alias("after"), F.sort_array(F.collect_list(F.struct("at", F.col(size).alias("size")))).alias("items"))
+    start = F.struct(F.col("after").alias("left"), F.array().cast("array<int>").alias("ats"))
+    step = lambda a, x: F.when(x["size"] <= a["left"], F.struct((a["left"] - x["size"]).alias("left"), F.array_append(a["ats"], x["at"]).alias("ats"))).otherwise(a)
+    walked = behind.select(F.col("source").alias("of"), F.explode(F.aggregate("items", start, step)["ats"]).alias("then"))
+    out = out.join(walked, F.col("source").eqNullSafe(F.col("of")) & (F.col("at") == F.col("then")), "left")
+    return out.withColumn("taken", F.col("first") | F.col("then").isNotNull()).select(*items.columns, "taken")
+
+
 def plan(sizes: DataFrame, seed: int = SEED, levels: int = LEVELS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Sources (with targets and numbers of blocks), block copies by shard, and documents that the rest takes singly."""
     src = targets(sizes).withColumn("passes", F.when(F.col("source_size") > 0, F.least(F.lit(MOST), F.floor(F.col("target") / F.col("source_size")))).otherwise(0).cast("int"))
     src = src.withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size"))
     share = F.lit(float(BLOCKS)) * F.col("source_size") / F.greatest(F.sum("source_size").over(Window.partitionBy(F.lit(1))), F.lit(1))
     src = materialize(src.withColumn("blocks", F.least("docs", F.greatest(F.lit(1), F.ceil(share))).cast("long")), "sources")
-    small = F.broadcast(src) if src.count() <= BROADCAST_ROWS else src
+    few = src.count() <= BROADCAST_ROWS
+    small = F.broadcast(src) if few else src
     placed = sizes.join(small.withColumnRenamed("source", "of"), sizes["source"].eqNullSafe(F.col("of")))
     blocks = placed.groupBy("source", _block(seed).alias("block")).agg(F.sum("size").alias("words"), F.count("*").alias("n"), F.first("passes").alias("passes"), F.first("rest").alias("rest"))
     order = Window.partitionBy("source").orderBy(F.xxhash64("source", "block", F.lit(seed + 1)), "block")
-    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    blocks = blocks.withColumn("at", F.row_number().over(order)).withColumn("cum", F.sum("words").over(upto))
-    blocks = blocks.withColumn("extra", F.col("cum") <= F.col("rest")).withColumn("after", F.sum(F.when(~F.col("extra"), F.col("n")).otherwise(0)).over(upto) - F.col("n"))
-    blocks = materialize(blocks.withColumn("pool", ~F.col("extra") & (F.col("rest") > 0) & (F.col("after") < POOL)), "blocks")
-    # the rest of the rest: documents of the pool
-    pool = blocks.where("pool").select(F.col("source").alias("of"), F.col("block").alias("b"))
+    blocks = materialize(blocks.withColumn("at", F.row_number().over(order)), "blocks")
+    blocks = materialize(filled(blocks.withColumn("gap", F.col("rest")), "words").withColumnRenamed("taken", "extra"), "blocks")
     gap = blocks.groupBy("source").agg((F.first("rest") - F.sum(F.when(F.col("extra"), F.col("words")).otherwise(0))).alias("gap"))
+    # the rest of the rest: documents of blocks left
+    open_ = blocks.where(~F.col("extra") & (F.col("rest") > 0)).select(F.col("source").alias("of"), F.col("block").alias("b"))
     own = placed.select("doc_id", "source", "size", _block(seed).alias("block"))
-    own = own.join(F.broadcast(pool), own["source"].eqNullSafe(pool["of"]) & (own["block"] == pool["b"])).groupBy("doc_id", "source").agg(F.sum("size").alias("size"))
-    own = own.join(F.broadcast(gap.withColumnRenamed("source", "of")), own["source"].eqNullSafe(F.col("of"))).drop("of")
-    hashed = Window.partitionBy("source").orderBy(F.xxhash64("doc_id", F.lit(seed + 2)), "doc_id")
-    whole = Window.partitionBy("source")
-    own = own.withColumn("taken", F.lit(False))
-    for _ in range(3):  # in hashed order, past those that are too large
-        could = ~F.col("taken") & (F.col("size") <= F.col("gap"))
-        own = own.withColumn("now", could & (F.sum(F.when(could, F.col("size")).otherwise(0)).over(hashed.rowsBetween(Window.unboundedPreceding, Window.currentRow)) <= F.col("gap")))
-        own = own.withColumn("gap", F.col("gap") - F.sum(F.when(F.col("now"), F.col("size")).otherwise(0)).over(whole)).withColumn("taken", F.col("taken") | F.col("now"))
-    for _ in range(2):  # the one that comes nearest, over or under
-        off = F.abs(F.col("size") - F.col("gap"))
-        own = own.withColumn("fit", F.min(F.when(~F.col("taken") & (off < F.abs("gap")), F.struct(off.alias("off"), F.col("doc_id").alias("id"), F.col("size").alias("size")))).over(whole))
-        own = own.withColumn("taken", F.col("taken") | (F.col("fit").isNotNull() & F.col("fit.id").eqNullSafe(F.col("doc_id"))))
-        own = own.withColumn("gap", F.col("gap") - F.coalesce(F.col("fit.size"), F.lit(0)))
-    singles = materialize(own.where("taken").select("doc_id", "source"), "singles")
+    own = own.join(F.broadcast(open_) if few else open_, own["source"].eqNullSafe(F.col("of")) & (F.col("block") == F.col("b"))).drop("of", "b")
+    own = materialize(own.groupBy("doc_id", "source", "block").agg(F.sum("size").alias("size")), "left")  # rows that repeat a doc_id go together
+    untaken = lambda some, was: some if was is None else some.join(was.select(F.col("doc_id").alias("d"), F.col("source").alias("s")), F.col("doc_id").eqNullSafe(F.col("d")) & F.col("source").eqNullSafe(F.col("s")), "left_anti")
+    singles = None
+    while True:
+        left = materialize(gap.where("gap > 0").withColumnRenamed("source", "of"), "gaps")
+        fit = own.join(F.broadcast(left) if few else left, F.col("source").eqNullSafe(F.col("of"))).drop("of").where("size > 0 and size <= gap")
+        fit = untaken(fit, singles)
+        most = Window.partitionBy("source").orderBy(F.desc("words"), "block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        best = fit.groupBy("source", "block").agg(F.sum("size").alias("words"), F.first("gap").alias("gap")).withColumn("cum", F.sum("words").over(most))
+        best = best.where(F.col("cum") - F.col("words") < F.col("gap")).select("source", F.col("block").alias("b"))  # mostly one; more where none has enough
+        best = materialize(best.withColumnRenamed("source", "of"), "best")
+        if best.isEmpty():
+            break
+        one = fit.join(F.broadcast(best) if few else best, F.col("source").eqNullSafe(F.col("of")) & (F.col("block") == F.col("b"))).drop("of", "b")
+        hashed = Window.partitionBy("source").orderBy(F.xxhash64("doc_id", F.lit(seed + 2)), "doc_id")
+        one = materialize(filled(one.withColumn("at", F.row_number().over(hashed)), "size"), "round").where("taken")
+        if one.isEmpty():
+            break
+        used = one.groupBy(F.col("source").alias("of")).agg(F.sum("size").alias("used"))
+        gap = materialize(gap.join(used, F.col("source").eqNullSafe(F.col("of")), "left").select("source", (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap")), "gaps")
+        now = one.select("doc_id", "source")
+        singles = now if singles is None else materialize(singles.unionByName(now), "singles")
+    near = own.join(F.broadcast(left) if few else left, F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("off", F.abs(F.col("size") - F.col("gap"))).where("off < gap")
+    near = untaken(near, singles).groupBy("source").agg(F.min(F.struct("off", "doc_id")).alias("one")).select("one.doc_id", "source")  # the one that comes nearest, over the gap
+    singles = materialize(near if singles is None else singles.unionByName(near), "singles")
     # quotas: unit j of a source is the j-th block of its permutation, pass by pass; the singles are one unit more
     units = blocks.select("source", "block", F.explode(F.sequence(F.lit(0), F.col("passes"))).alias("copy"), "passes", "extra").where("copy < passes or extra").select("source", "block", "copy")
     units = units.unionByName(singles.groupBy("source").agg(F.lit(-1).cast("long").alias("block"), F.lit(0).alias("copy")))

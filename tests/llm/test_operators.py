@@ -439,6 +439,16 @@ def test_mixing(spark, docs, none):
     assert mixing.mix_digest(none).count() == 0
 
 
+def test_mixing_fills_the_rest_past_one_long_document(spark, monkeypatch):
+    names = "abcdefghij"
+    monkeypatch.setattr(mixing, "BLOCKS", 9 * len(names))
+    monkeypatch.setattr(mixing, "targets", lambda s: spark.createDataFrame([(x, 2001, 30_000, 19_000.0) for x in names], "source string, docs long, source_size long, target double"))
+    rows = [(10_000 * k + i, x, 10 if i else 10_000) for k, x in enumerate(names) for i in range(2001)]
+    sizes = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    got = mixing.draws(sizes, sizes).groupBy("source").agg(F.sum(F.col("size") * F.size("__shards")).alias("n")).collect()
+    assert [r["n"] for r in got] == [19_000] * len(names)
+
+
 def test_mixing_water_fills(spark):
     sizes = {"a": 5, "b": 1000, "c": 300, "d": 7, "e": 90, None: 40}
     df = spark.createDataFrame([(i, s, n) for i, (s, n) in enumerate(sizes.items())], "doc_id long, source string, size long")

@@ -1,45 +1,68 @@
 """Best-fit packing of tokenised documents into sequences, certified by lower bounds.
 
 Texts are tokenised once, on the map side; what moves on is one small row for each
-piece. Pieces are dealt by hash into groups of bounded size. Each group is packed
-best-fit decreasing and compares its bins with a lower bound from dual feasible
-functions over its lengths, before rounding up, as a remainder can join another
-group's. A group that meets its bound is certified and done. The others give the
-pieces of their unfilled bins to a common pool, which is dealt anew over fewer
-groups and packed again; a repacking is kept only where it saves bins.
+piece. Pieces are dealt into partitions of bounded size, every n-th piece in the
+order of lengths to each, so that all partitions have the same mix of lengths. Each
+is packed best-fit decreasing, and a lower bound from dual feasible functions over
+its lengths certifies its number of bins. The same bound over all lengths tells
+when the whole is done. Until then the partitions exchange the pieces of their least
+filled bins: these are dealt anew over fewer partitions and packed again, and a
+repacking is kept only where it saves bins.
 """
 
 from __future__ import annotations
 
 import base64
+import math
 import os
 import re
 import zlib
 from array import array
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.llm.common import texts
 from newsloom.plans.scratch import materialize
 
-#: Pieces in a group (about), exchanges at most, entries of a worker's cache.
-GROUP, ROUNDS, CACHE = 20_000, 4, 500_000
+#: Pieces in a partition (about), exchanges at most, entries of a worker's cache, characters above which a chunk isn't remembered, pieces of one length that are ranked together (about).
+GROUP, ROUNDS, CACHE, LONGEST, RANKED = 20_000, 6, 250_000, 64, 200_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Runs that no pre-token of the byte-level pattern crosses; texts that are encoded whole, and such with white space that only those runs cut rightly;
-#: punctuation that ends a word, which is a pre-token of its own. The marks stand before a chunk that has no space before it, and for a line's end.
+PACKED = f"{PIECES}, sequence_id long, offset long, gap long, certified boolean"
+#: Chunks that no pre-token of the byte-level pattern crosses; characters that Python takes for white space and the pattern doesn't (texts with them
+#: are encoded whole); white space that only those chunks cut rightly; punctuation that ends a word, which is a pre-token of its own.
 _CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s+")
-_WHOLE = re.compile(r"[\x1c-\x1f\x85]|<\|endoftext\|>")
+_WHOLE = re.compile(r"[\x1c-\x1f\x85]")
 _SPACES = re.compile(r"[^\S \n]|\s\s(?:\s|$)")
 _TAIL = re.compile(r"(.*[A-Za-z])([.,;:!?]+)", re.S)
-_BARE, _LINE = "\x1e", "\x1f"
+SPECIAL = "<|endoftext|>"
 _encoders: dict[tuple[str, str], "Encoder"] = {}
 
 
-class Encoder(dict):
+class Chunks(dict):
+    """Ids of chunks with ``before`` in front of each, remembered up to a bound."""
+
+    def __init__(self, encode: Callable[[str], list[int]], before: str, bare: "Chunks | None" = None):
+        super().__init__()
+        self.encode, self.before, self.bare = encode, before, self if bare is None else bare
+
+    def __missing__(self, chunk: str) -> bytes:
+        if m := _TAIL.fullmatch(chunk):
+            value = self[m[1]] + self.bare[m[2]]
+        else:
+            value = array("I", self.encode(self.before + chunk)).tobytes()
+        if len(chunk) <= LONGEST:
+            if len(self) >= CACHE:
+                self.clear()
+            self[chunk] = value
+        return value
+
+
+class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes, by chunks that a worker remembers.
 
     Whole texts with special strings go to the tokenizer itself. Chunks go to the
@@ -47,7 +70,6 @@ class Encoder(dict):
     """
 
     def __init__(self, path: str, ranks: str):
-        super().__init__()
         import tiktoken
         from public_tokenizers import PATTERN
         from tokenizers import Tokenizer
@@ -56,32 +78,30 @@ class Encoder(dict):
         self.tokenizer = Tokenizer.from_file(path)
         with open(ranks, "rb") as f:
             pairs = [line.split() for line in f]
-        self.encode = tiktoken.Encoding(ranks, pat_str=PATTERN, mergeable_ranks={base64.b64decode(k): int(v) for k, v in pairs}, special_tokens={}).encode_ordinary
-
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) > CACHE:
-            self.clear()
-        if m := _TAIL.fullmatch(chunk):
-            value = self[m[1]] + self[_BARE + m[2]]
-        elif chunk[:1] == _LINE:
-            value = self._ids("\n") + self._ids(chunk[1:])
-        else:
-            value = self._ids(chunk[1:] if chunk[:1] == _BARE else f" {chunk}")
-        self[chunk] = value
-        return value
-
-    def _ids(self, text: str) -> bytes:
-        return array("I", self.encode(text)).tobytes()
+        encode = tiktoken.Encoding(ranks, pat_str=PATTERN, mergeable_ranks={base64.b64decode(k): int(v) for k, v in pairs}, special_tokens={}).encode_ordinary
+        self.bare = Chunks(encode, "")
+        self.spaced = Chunks(encode, " ", self.bare)
+        self.line_end = self.bare["\n"]
 
     def ids(self, text: str) -> bytes:
-        ends = text.count(" ") + text.count("\n")
-        if "  " not in text and "\n\n" not in text and len(text.split()) == ends + 1 and "<|endoftext|>" not in text:  # single spaces and line ends between words, no other white space
-            return b"".join(map(self.__getitem__, (_BARE + text.replace("\n", f" {_LINE}")).split(" ")))
-        if _WHOLE.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if _SPACES.search(text):
-            return b"".join([self[x[1:] if x[0] == " " else _BARE + x] for x in _CHUNK.findall(text)])
-        return b"".join(map(self.__getitem__, (_BARE + text.replace("\n", f" {_LINE}")).split(" ")))
+        if SPECIAL in text:
+            return self._whole(text)
+        if text.replace("\n", " ").split(" ") != text.split():  # other white space than single spaces and line ends between words
+            if _WHOLE.search(text):
+                return self._whole(text)
+            if _SPACES.search(text):
+                return b"".join([self.spaced[x[1:]] if x[0] == " " else self.bare[x] for x in _CHUNK.findall(text)])
+        out = []
+        for line in text.split("\n"):
+            head, space, rest = line.partition(" ")
+            out.append(self.bare[head])
+            if space:
+                out += map(self.spaced.__getitem__, rest.split(" "))
+            out.append(self.line_end)
+        return b"".join(out[:-1])
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def encoder(path: str, ranks: str) -> Encoder:
@@ -114,9 +134,9 @@ def pieces(docs: DataFrame, tokenizer_path: str, ranks_path: str, end_id: int =
     return texts(docs).mapInArrow(run, PIECES)
 
 
-def lower_bound(lengths: np.ndarray, cap: int) -> float:
-    """Bins that any packing needs, by two families of dual feasible functions; not rounded up."""
-    n = np.bincount(lengths, minlength=cap + 1).astype(np.int64)
+def bound_of(counts: np.ndarray, cap: int) -> float:
+    """Bins that any packing of ``counts[length]`` pieces needs, by two families of dual feasible functions; not rounded up."""
+    n = counts.astype(np.int64)
     x = np.arange(cap + 1, dtype=np.int64)
     best = int((n * x).sum()) / cap
     above = np.r_[np.cumsum(n[::-1])[::-1], 0]
@@ -130,6 +150,11 @@ def lower_bound(lengths: np.ndarray, cap: int) -> float:
     return best
 
 
+def lower_bound(lengths: np.ndarray, cap: int) -> float:
+    """:func:`bound_of` for single lengths."""
+    return bound_of(np.bincount(lengths, minlength=cap + 1), cap)
+
+
 def best_fit_decreasing(lengths: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bin and offset of each length, and the fill of each bin."""
     order = np.argsort(-lengths, kind="stable")
@@ -155,46 +180,80 @@ def best_fit_decreasing(lengths: np.ndarray, cap: int) -> tuple[np.ndarray, np.n
     return bins, offsets, np.array(fill, np.int64)
 
 
-def _deal(items: DataFrame, groups: int, turn: int, cap: int) -> DataFrame:
-    """Pack each of ``groups`` groups. ``open``: the piece lies in an unfilled bin of a group that isn't certified."""
+def _deal(items: DataFrame, counts: dict[int, int], parts: int, turn: int, cap: int) -> DataFrame:
+    """Deal ``items``, of which ``counts`` have each length, over ``parts`` partitions in the order of lengths, and pack each.
+
+    The rank in that order comes from the ranks within a length, taken in chunks of
+    bounded size, and from the number of shorter pieces: ``cap`` numbers in all.
+    """
 
     def pack(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
         lengths = p["length"].to_numpy(np.int64)
         b, at, fill = best_fit_decreasing(lengths, cap)
-        certified = len(fill) <= lower_bound(lengths, cap)
-        return p.assign(sequence_id=(turn << 56) + (int(p["part"].iloc[0]) << 28) + b, offset=at, open=(not certified) & (fill[b] < cap))
-
-    part = F.pmod(F.xxhash64("doc_id", "piece", F.lit(turn)), F.lit(groups))
-    return items.withColumn("part", part).groupBy("part").applyInPandas(pack, f"{PIECES}, part long, sequence_id long, offset long, open boolean").drop("part")
+        certified = len(fill) <= math.ceil(lower_bound(lengths, cap))
+        return p.assign(sequence_id=(turn << 56) + (int(p["part"].iloc[0]) << 28) + b, offset=at, gap=cap - fill[b], certified=certified).drop(columns="part")
+
+    part = F.lit(0).cast("long")
+    if parts > 1:
+        lengths = sorted(counts)
+        before = dict(zip(lengths, np.cumsum([0, *(counts[x] for x in lengths[:-1])]).tolist(), strict=True))
+        starts = items.sparkSession.createDataFrame([(x, before[x], -(-counts[x] // RANKED)) for x in lengths], "of long, before long, chunks long")
+        items = items.join(F.broadcast(starts), F.col("length") == F.col("of"))
+        key = F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(turn))
+        items = items.withColumn("key", key).withColumn("chunk", F.pmod("key", F.col("chunks")))
+        rank = F.row_number().over(Window.partitionBy("length", "chunk").orderBy("key", "doc_id", "piece", "ids_crc32"))
+        part = F.pmod(F.col("before") + F.col("chunk") * RANKED + rank, F.lit(parts))
+    dealt = items.select(*[c.split()[0] for c in PIECES.split(", ")], part.alias("part"))
+    return dealt.groupBy("part").applyInPandas(pack, PACKED)
 
 
 def pack(items: DataFrame, cap: int = 1024, group: int = GROUP, rounds: int = ROUNDS) -> DataFrame:
-    """``items`` (doc_id, piece, start, length, ids_crc32) with ``sequence_id`` and ``offset``.
+    """``items`` (doc_id, piece, start, length, ids_crc32) with ``sequence_id, offset, gap, certified``.
 
-    Repeated rows are packed as often as they occur. An empty table gives an empty
-    result. A length over ``cap`` or under 1 is an error.
+    ``gap`` is what the sequence leaves free; ``certified`` tells that the partition
+    which packed it cannot do with fewer. Repeated rows are packed as often as they
+    occur. An empty table gives an empty result. A length over ``cap`` or under 1 is
+    an error.
     """
-    n = items.count()
-    now = materialize(_deal(items, max(1, -(-n // group)), 0, cap), "packed")
-    done = now.where("not open")
+    counted = lambda df: {r["length"]: r["n"] for r in df.groupBy("length").agg(F.count("*").alias("n")).collect()}  # noqa: E731  at most cap rows
+    counts = counted(items)
+    if any(not 1 <= x <= cap for x in counts):
+        raise ValueError(f"lengths must lie between 1 and {cap}")
+    n = np.zeros(cap + 1, np.int64)
+    n[list(counts)] = list(counts.values())
+    parts, least = max(1, -(-int(n.sum()) // group)), math.ceil(bound_of(n, cap))
+    now = materialize(_deal(items, counts, parts, 0, cap), "packed")
+    bins, want = now.where("offset = 0").count(), max(group, 8 * parts)
     for turn in range(1, rounds + 1):
-        pool = now.where("open")
-        had, bins = pool.agg(F.count("*"), F.count_distinct("sequence_id")).first()
-        if not had:
+        gaps = now.where("gap > 0").groupBy("gap").agg(F.count("*").alias("n"), F.count_if(F.col("offset") == 0).alias("bins")).collect() if bins > least else []  # at most cap rows
+        pool, had, above = 0, 0, None
+        for r in sorted(gaps, key=lambda r: -r["gap"]):  # the least filled first
+            if pool and pool + r["n"] > want:
+                break
+            pool, had, above = pool + r["n"], had + r["bins"], r["gap"]
+        if above is None:
             break
-        again = materialize(_deal(pool.drop("sequence_id", "offset", "open"), -(-had // group), turn, cap), "packed")
-        if again.select("sequence_id").distinct().count() >= bins:
+        open_ = now.where(F.col("gap") >= above).drop("sequence_id", "offset", "gap", "certified")
+        parts = -(-pool // group)
+        again = materialize(_deal(open_, counted(open_), parts, turn, cap), "packed")
+        used = again.where("offset = 0").count()
+        if used < had:
+            now, bins, want = now.where(F.col("gap") < above).unionByName(again), bins - had + used, max(group, 8 * parts)
+        elif pool == sum(r["n"] for r in gaps):
             break
-        done, now = done.unionByName(again.where("not open")), again
-    return done.unionByName(now.where("open")).drop("open")
+        else:
+            want = 2 * max(want, pool)
+    return now
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, ranks_path: str, end_id: int = 2, cap: int = 1024) -> DataFrame:
     """Tokenise and pack ``docs (doc_id, text)``.
 
-    Returns ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``, a row
-    for each piece. A null or empty text is one piece of one id, the end; null ids
-    and repeated rows are packed like others; an empty table gives no rows.
+    Returns ``doc_id, piece, start, length, ids_crc32, sequence_id, offset, gap,
+    certified`` (see :func:`pack`), a row for each piece. A null or empty text is one
+    piece of one id, the end; a text of any length is encoded whole and cut; null ids
+    and repeated rows are packed like others; an empty table gives no rows; other
+    columns are ignored.
     """
     return pack(materialize(pieces(docs, tokenizer_path, ranks_path, end_id, cap), "pieces"), cap)

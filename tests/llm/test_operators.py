@@ -375,6 +375,29 @@ def test_packing_meets_its_bounds(spark):
     assert out.count() == len(x) and out.select("sequence_id").distinct().count() <= 1.01 * packing.lower_bound(x, 1024) + 1
 
 
+def test_packing_ids_equal_the_tokenizer():
+    import random
+
+    e = packing.encoder(tokenizer("byte_bpe_50k.json"), tokenizer("byte_bpe_50k.tiktoken"))
+    rng = random.Random(5)
+    parts = [*"aabbCé1,.;!?'-", " ", " ", "  ", "\n", "\n\n", "\t", "\r\n", *"\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u2009\u200b\u2028\u3000\u0301\x00…", packing.SPECIAL, "it's", "we'll", "word,", "日本", "🙂", "x,y."]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 14))) for _ in range(25_000)]
+    texts += ["a \x1eb", "b\xa0b\n\xa0", "1\t1\n\xa0", "x" * 100_000, "ab " * 50_000, "日本" * 30_000]
+    for t in texts:
+        assert np.frombuffer(e.ids(t), "<u4").tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids, t[:50]
+
+
+def test_packing_tells_gaps_and_certificates(spark):
+    items = spark.createDataFrame([(i, 0, 0, n, 1) for i, n in enumerate([600] * 5 + [424] * 4 + [1024, 3])], packing.PIECES)
+    rows = packing.pack(items).collect()
+    fill = defaultdict(int)
+    for r in rows:
+        fill[r["sequence_id"]] += r["length"]
+    assert len(fill) == 6 and all(r["gap"] == 1024 - fill[r["sequence_id"]] and r["certified"] for r in rows)
+    with pytest.raises(ValueError):
+        packing.pack(spark.createDataFrame([(1, 0, 0, 1025, 1)], packing.PIECES))
+
+
 def test_toxicity(spark, docs, none):
     rng = np.random.default_rng(4)
     vocab = [f"word{i}" for i in range(300)]

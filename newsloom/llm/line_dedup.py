@@ -1,9 +1,15 @@
 """Removal of lines that many sites repeat, with DataFrame functions only.
 
-A HyperLogLog sketch of the sites of each line's hash is built by one aggregation
-with map-side merging, so a line that a third of all documents hold costs one row a
-task. Lines whose estimate lies near the threshold get exact distinct counts; the
-estimates decide the rest. The first occurrence of a line, by doc_id, stays.
+Each text is split and hashed once; its lines go, as small rows, into the shared
+folder. A HyperLogLog sketch of the sites of each line's hash is built by one
+aggregation with map-side merging, so a line that a third of all documents hold
+costs one row a task. Lines whose estimate lies near the threshold get exact distinct
+counts; the estimates decide the rest. The first occurrence of a line stays.
+
+The plan is the same at every size and its shuffles grow in proportion to the input:
+places of lines meet boilerplate hashes by merge join (adaptive execution splits a
+hot hash), and texts meet the places that they lose by merge join on their id and
+hash. No table is broadcast.
 """
 
 from __future__ import annotations
@@ -13,74 +19,85 @@ from pyspark.sql import functions as F
 
 from newsloom.plans.scratch import materialize
 
-#: Distinct sites that make a line boilerplate; log2 of a sketch's size; hashes that a broadcast table may hold.
-MIN_SITES, LG_K, BROADCAST_HASHES = 5, 12, 300_000
+#: Distinct sites that make a line boilerplate; log2 of a sketch's size.
+MIN_SITES, LG_K = 5, 12
 OUT = "__lines"
 
 
-def _lines() -> Column:
-    return F.split(F.col("text"), "\n", -1)
-
-
 def line_hash(line: Column) -> Column:
     """64-bit hash of a line without spaces, tabs and carriage returns at its ends; null for a blank one."""
     bare = F.btrim(line, F.lit(" \t\r"))
     return F.when(bare != "", F.xxhash64(bare))
 
 
-def _bounded(df: DataFrame, hashes: int | None) -> DataFrame:
-    """Broadcast a materialised table if it holds few hashes; else it is joined by shuffle."""
-    return F.broadcast(df) if (hashes or 0) <= BROADCAST_HASHES else df
+def places(docs: DataFrame) -> DataFrame:
+    """``doc_id, key, site, i, h``: hash and place of each line that isn't blank; ``key`` is the hash of its text."""
+    hashes = F.transform(F.split("text", "\n", -1), line_hash)
+    site = F.coalesce(F.col("source").cast("string"), F.lit(""))
+    whole = docs.select("doc_id", F.xxhash64("text").alias("key"), site.alias("site"), hashes.alias("hashes"))  # before the explosion, which else copies the text to each line
+    return whole.select("doc_id", "key", "site", F.posexplode("hashes").alias("i", "h")).where("h is not null")
 
 
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """``h, first``: hashes of ``lines (doc_id, site, h)`` on at least ``min_sites`` sites, and the least doc_id of each."""
-    spread = lines.groupBy("h").agg(F.hll_sketch_agg("site", LG_K).alias("sketch"), F.min("doc_id").alias("first"))
+    """``h, first``: hashes of ``lines`` (see :func:`places`) on at least ``min_sites`` sites, and the first place of each."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "i"))
+    spread = lines.groupBy("h").agg(F.hll_sketch_agg("site", LG_K).alias("sketch"), first.alias("first"))
     margin = max(1, -(-3 * min_sites * 104 // (100 * 2 ** (LG_K // 2))))
     seen = materialize(spread.select("h", "first", F.hll_sketch_estimate("sketch").alias("sites")).where(F.col("sites") >= min_sites - margin), "spread")
     clear = seen.where(F.col("sites") > min_sites + margin).select("h", "first")
     near = seen.where(F.col("sites") <= min_sites + margin).select("h", "first")
-    exact = lines.join(_bounded(near, near.count()), "h").groupBy("h", "first", "site").agg(F.lit(1).alias("one")).groupBy("h", "first").agg(F.sum("one").alias("sites"))
+    exact = lines.select("h", "site").distinct().join(near.hint("merge"), "h").groupBy("h").agg(F.count("*").alias("sites"), F.first("first").alias("first"))
     return clear.unionByName(exact.where(F.col("sites") >= min_sites).select("h", "first"))
 
 
+def _marked(docs: DataFrame, min_sites: int, *keep: str) -> DataFrame:
+    """``row`` (the columns ``keep``, or all), ``n, removed, kept``: number of lines, of those removed, and the text without them."""
+    lines = materialize(places(docs), "lines")
+    found = materialize(boilerplate(lines, min_sites), "boilerplate")
+    held = lines.select("doc_id", "key", "i", "h").join(found.hint("merge"), "h")
+    again = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key")) & (F.col("i") == F.col("first.i")))
+    gone = held.where(again).groupBy(F.col("doc_id").alias("of"), F.col("key").alias("of_key")).agg(F.collect_set("i").alias("gone"))
+    rows = docs.select(F.struct(*(keep or ("*",))).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("key"))
+    both = rows.join(gone.hint("merge"), F.col("id").eqNullSafe(F.col("of")) & (F.col("key") == F.col("of_key")), "left")
+    both = both.select("row", F.split("row.text", "\n", -1).alias("lines"), "gone")
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
+    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(F.transform(stay, lambda i: F.col("lines")[i]), "\n"))
+    return both.select("row", F.coalesce(F.array_size("lines"), F.lit(0)).alias("n"), F.coalesce(F.array_size("gone"), F.lit(0)).alias("removed"), text.alias("kept"))
+
+
 def mark_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """``docs`` and a struct ``__lines (n, removed, text)``: its lines, those removed, and the text without them.
 
     A line goes if its hash occurs on at least ``min_sites`` distinct sources, except
-    for its first occurrence in the document of the least doc_id that holds it. A
-    null source counts as one site of its own, a blank line never goes, and a null
-    text has no lines and stays null. Rows that repeat a doc_id are treated alike.
+    for its first occurrence, in the document of the least doc_id that holds it (of
+    rows that share it, the least text hash; ids that are null come last). A null
+    source counts as one site of its own, a blank line never goes, and a null text
+    has no lines and stays null. Rows that repeat a doc_id and text are treated alike.
+    Work is linear in a text's lines, however long it is. An empty table gives no
+    rows. Other columns, whatever their names, are kept; only one named ``__lines``
+    is replaced.
     """
-    lines = docs.select("doc_id", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("site"), F.explode(F.array_distinct(F.transform(_lines(), line_hash))).alias("h")).where("h is not null")
-    found = materialize(boilerplate(lines, min_sites), "boilerplate")
-    held = lines.select("doc_id", "h").join(_bounded(found, found.count()), "h")
-    own = held.groupBy("doc_id").agg(F.collect_set(F.when(F.col("doc_id").eqNullSafe(F.col("first")), F.col("h"))).alias("once"), F.collect_set(F.when(~F.col("doc_id").eqNullSafe(F.col("first")), F.col("h"))).alias("gone"))
-    own = materialize(own.withColumnRenamed("doc_id", "__of"), "line-marks")
-    hashes = F.transform(_lines(), lambda x: F.coalesce(line_hash(x), F.lit(0)))
-    both = docs.join(_bounded(own, own.agg(F.sum(1 + F.size("once") + F.size("gone"))).first()[0]), docs["doc_id"].eqNullSafe(F.col("__of")), "left")
-    kept = F.filter(F.arrays_zip(_lines().alias("line"), hashes.alias("h"), F.sequence(F.lit(1), F.size(_lines())).alias("i")), lambda x: ~F.array_contains("gone", x["h"]) & (~F.array_contains("once", x["h"]) | (F.array_position(hashes, x["h"]) == x["i"])))
-    some = F.when(F.col("gone").isNull(), F.struct(F.size(_lines()).alias("n"), F.lit(0).alias("removed"), F.col("text").alias("text")))
-    cut = F.transform(kept, lambda x: x["line"])
-    some = some.otherwise(F.struct(F.size(_lines()).alias("n"), (F.size(_lines()) - F.size(cut)).alias("removed"), F.array_join(cut, "\n").alias("text")))
-    none = F.struct(F.lit(0).alias("n"), F.lit(0).alias("removed"), F.lit(None).cast("string").alias("text"))
-    return both.select(*[docs[c] for c in docs.columns], F.when(docs["text"].isNull(), none).otherwise(some).alias(OUT))
+    out = _marked(docs, min_sites)
+    return out.select(*[F.col("row")[c].alias(c) for c in docs.columns if c != OUT], F.struct("n", "removed", F.col("kept").alias("text")).alias(OUT))
 
 
 def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """``docs`` without boilerplate lines, in the columns they have. A document that had text and has none left goes.
 
-    A column ``n_chars``, where there is one, gets the length of the new text.
+    A column ``n_chars``, where there is one, gets the length of the new text. For
+    nulls, repeated rows, long texts and empty tables see :func:`mark_lines`.
     """
-    out = mark_lines(docs, min_sites).where(f"{OUT}.removed = 0 or {OUT}.text rlike '\\\\S'")
-    new = {"text": F.col(f"{OUT}.text"), "n_chars": F.when(F.col(f"{OUT}.removed") > 0, F.length(f"{OUT}.text").cast(dict(docs.dtypes).get("n_chars", "long"))).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
-    return out.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+    out = _marked(docs, min_sites).where("removed = 0 or kept rlike '\\\\S'")
+    new = {"text": F.col("kept")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("removed") > 0, F.length("kept").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("row.n_chars"))
+    return out.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def line_digest(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """``doc_id, n_lines, n_removed, kept_chars, kept_sha256`` of each document (null text: 0 lines, the empty text)."""
-    text = F.coalesce(F.col(f"{OUT}.text"), F.lit(""))
-    return mark_lines(docs.select("doc_id", "source", "text"), min_sites).select("doc_id", F.col(f"{OUT}.n").cast("long").alias("n_lines"), F.col(f"{OUT}.removed").cast("long").alias("n_removed"), F.length(text).cast("long").alias("kept_chars"), F.sha2(text, 256).alias("kept_sha256"))
+    text = F.coalesce("kept", F.lit(""))
+    return _marked(docs, min_sites, "doc_id", "text").select("row.doc_id", F.col("n").cast("long").alias("n_lines"), F.col("removed").cast("long").alias("n_removed"), F.length(text).cast("long").alias("kept_chars"), F.sha2(text, 256).alias("kept_sha256"))
 
 
 LINE_DIGEST_SQL = f"""

@@ -110,6 +110,38 @@ def test_near_threshold_sites_are_counted_exactly(spark):
     assert {r["doc_id"] // 100 for r in out.where("n_removed > 0").collect()} == {5, 6, 7, 8}
 
 
+CLASHES = "gone once h i n lines kept key site first row removed blocks block copy node at of gap words rest passes shards sig cells part s a b c e label base text_hash"
+
+
+def clashing(spark, rows):
+    """Documents with an extra column for each helper name that an operator might use."""
+    names = [x for x in CLASHES.split() if x not in ("doc_id", "text", "source")]
+    df = spark.createDataFrame([(d, t, s, len(t or "")) for d, t, s in rows], "doc_id long, text string, source string, n_chars long")
+    return df.select("*", *[F.lit(f"own {x}").alias(x) for x in names])
+
+
+def test_line_dedup_with_clashing_columns_and_repeated_ids(spark):
+    line = "everywhere the same"
+    rows = [(i, f"{line}\nown {i}", f"s{i}") for i in range(6)] + [(0, f"other text\n{line}\n{line}", "s9"), (None, f"{line}\nnull id", "s1"), (None, None, None), (7, "\n\n", "s2"), (8, line, "s3")]
+    docs = clashing(spark, rows)
+    out = line_dedup.dedup_lines(docs)
+    assert out.columns == docs.columns and all(r["gone"] == "own gone" and r["row"] == "own row" for r in out.collect())
+    got = Counter((r["doc_id"], r["text"]) for r in out.collect())
+    key = {d: docs.where("doc_id = 0").select(F.xxhash64("text").alias("k"), "text").collect() for d in (0,)}[0]
+    least = min(key, key=lambda r: r["k"])["text"]  # of the rows of the least id, that of the least text hash has the first occurrence
+    zero = ["own 0", f"other text\n{line}"] if least.startswith("other") else [f"{line}\nown 0", "other text"]
+    want = [(0, zero[0]), (0, zero[1]), *((i, f"own {i}") for i in range(1, 6)), (None, "null id"), (None, None), (7, "\n\n")]
+    assert got == Counter(want)
+    assert line_dedup.mark_lines(docs).columns == [*docs.columns, line_dedup.OUT]
+
+
+def test_line_dedup_of_a_very_long_text(spark):
+    long = "\n".join(["shared"] * 200_000 + [f"line {i}" for i in range(300_000)])
+    rows = [(i, "shared", f"s{i}") for i in range(6)] + [(9, long, "s9")]
+    r = line_dedup.line_digest(spark.createDataFrame(rows, "doc_id long, text string, source string")).where("doc_id = 9").first()
+    assert (r["n_lines"], r["n_removed"]) == (500_000, 200_000)
+
+
 def test_fingerprints(docs, none):
     rows = sorted(((d, t or "") for d, t, _ in sample()))
     got = sorted((r["doc_id"], r["n_chars"], r["edited_sha256"], r["fingerprint"], r["near_edited"], r["near_next"]) for r in fingerprints.fingerprints(docs, ranges=5).collect())

@@ -30,14 +30,15 @@ from newsloom.llm.common import texts
 from newsloom.plans.scratch import materialize
 
 #: Pieces in a partition (about), exchanges at most, entries of a worker's cache, characters above which a chunk isn't remembered, pieces of one length that are ranked together (about).
-GROUP, ROUNDS, CACHE, LONGEST, RANKED = 20_000, 6, 250_000, 64, 200_000
+GROUP, ROUNDS, CACHE, LONGEST, RANKED = 20_000, 6, 500_000, 64, 200_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECES}, sequence_id long, offset long, gap long, certified boolean"
 #: Chunks that no pre-token of the byte-level pattern crosses; characters that Python takes for white space and the pattern doesn't (texts with them
-#: are encoded whole); white space that only those chunks cut rightly; punctuation that ends a word, which is a pre-token of its own.
+#: are encoded whole); white space but " " and line ends, and runs of it, that only those chunks cut rightly; punctuation that ends a word, which is a pre-token of its own.
 _CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 _WHOLE = re.compile(r"[\x1c-\x1f\x85]")
-_SPACES = re.compile(r"[^\S \n]|\s\s(?:\s|$)")
+_OTHER = re.compile(f"[{''.join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in ' \n')}]")
+_RUN = re.compile(r"\s\s(?:\s|$)")
 _TAIL = re.compile(r"(.*[A-Za-z])([.,;:!?]+)", re.S)
 SPECIAL = "<|endoftext|>"
 _encoders: dict[tuple[str, str], "Encoder"] = {}
@@ -86,11 +87,11 @@ class Encoder:
     def ids(self, text: str) -> bytes:
         if SPECIAL in text:
             return self._whole(text)
-        if text.replace("\n", " ").split(" ") != text.split():  # other white space than single spaces and line ends between words
-            if _WHOLE.search(text):
-                return self._whole(text)
-            if _SPACES.search(text):
-                return b"".join([self.spaced[x[1:]] if x[0] == " " else self.bare[x] for x in _CHUNK.findall(text)])
+        other = _OTHER.search(text)
+        if other and _WHOLE.search(text):
+            return self._whole(text)
+        if other or (any(x in text for x in ("  ", "\n\n", " \n", "\n ")) and _RUN.search(text)):
+            return b"".join([self.spaced[x[1:]] if x[0] == " " else self.bare[x] for x in _CHUNK.findall(text)])
         out = []
         for line in text.split("\n"):
             head, space, rest = line.partition(" ")

@@ -504,6 +504,41 @@ def test_mixing_fills_the_rest_past_one_long_document(spark, monkeypatch):
     assert [r["n"] for r in got] == [19_000] * len(names)
 
 
+def test_mixing_meets_targets_of_small_sources(spark):
+    rng = np.random.default_rng(11)
+    rows, d = [], 0
+    for k in range(24):  # sources of 1 to 20 documents, half of them with one giant
+        for j in range(int(rng.integers(1, 21))):
+            n = int(rng.integers(1, 80)) if j or k % 2 else 3000
+            rows.append((d, " ".join(f"w{d}x{i}" for i in range(n)), f"s{k:02d}"))
+            d += 1
+    rows += [(None, "a null id", "s00"), (None, "another null id", "s00"), (3, "the same id once more", "s05"), (d, None, "s07"), (d + 1, "", None)]
+    docs = clashing(spark, rows)
+    got = mixing.mix_digest(docs).collect()
+    per = defaultdict(int)
+    for _, t, s in rows:
+        per[s] += len((t or "").split())
+    want, taken = brute_targets(per), defaultdict(int)
+    source = {len(t.split()): None for _, t, _ in rows if t}  # sizes alone don't tell sources; targets do
+    assert len(got) == len(rows) and source
+    for r in got:
+        assert 0 <= r["taken"] <= 3 * r["size"] and r["copies"] == len(r["shards"])
+        taken[round(r["target"], 6), r["source_size"]] += r["taken"]
+    for (target, _), n in taken.items():
+        assert abs(n - target) <= 0.005 * target + 1 or sum(abs(want[s] - target) < 1e-6 for s in want) > 1
+    mix = mixing.mixed(docs)
+    assert mix.columns == docs.columns
+    words = defaultdict(int)
+    whole = {(d, t) for d, t, _ in rows}
+    cut = 0
+    for r in mix.collect():
+        assert r["blocks"] == "own blocks" and r["n_chars"] == len(r["text"] or "")
+        words[r["source"]] += len((r["text"] or "").split())
+        cut += (r["doc_id"], r["text"]) not in whole
+    assert all(abs(words[s] - want[s]) <= 0.005 * want[s] + 1 for s in want)
+    assert cut <= len(per)
+
+
 def test_mixing_water_fills(spark):
     sizes = {"a": 5, "b": 1000, "c": 300, "d": 7, "e": 90, None: 40}
     df = spark.createDataFrame([(i, s, n) for i, (s, n) in enumerate(sizes.items())], "doc_id long, source string, size long")

@@ -51,7 +51,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     """
     per = sizes.groupBy("source").agg(F.count("*").alias("docs"), F.sum("size").alias("source_size"))
     by_name = F.col("source").asc_nulls_last()
-    per = materialize(per.repartitionByRange(by_name).withColumn("range", F.spark_partition_id()), "source-ranges")
+    per = materialize(materialize(per, "source-sizes").repartitionByRange(by_name).withColumn("range", F.spark_partition_id()), "source-ranges")
     before, so_far = [], 0
     for r in sorted(per.groupBy("range").agg(F.count("*").alias("n")).collect()):  # a row for each partition
         before.append((r["range"], so_far))
@@ -79,18 +79,13 @@ def _block(seed: int) -> Column:
     return F.pmod(F.xxhash64(F.col("key"), F.lit(seed)), F.col("blocks"))
 
 
-def _counted(df: DataFrame) -> DataFrame:
-    """A materialised table, broadcast if it has few rows."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
-def _of_source(df: DataFrame, other: DataFrame, how: str = "inner", *also: str) -> DataFrame:
-    """Join on source, where null equals null, and the columns ``also``; ``other`` gives its further columns."""
+def _of_source(df: DataFrame, other: DataFrame, few: bool, how: str = "inner", *also: str) -> DataFrame:
+    """Join on source, where null equals null, and the columns ``also``; ``other``, which is broadcast if it has few rows, gives its further columns."""
     side = other.select(F.col("source").alias("__s"), *[F.col(c).alias(f"__{c}") for c in also], *[c for c in other.columns if c != "source" and c not in also])
     on = F.col("source").eqNullSafe(F.col("__s"))
     for c in also:
         on = on & (F.col(c) == F.col(f"__{c}"))
-    out = df.join(F.broadcast(side) if other.count() <= BROADCAST_ROWS else side, on, how)
+    out = df.join(F.broadcast(side) if few else side, on, how)
     return out.drop("__s", *[f"__{c}" for c in also])
 
 
@@ -116,46 +111,47 @@ def plan(sizes: DataFrame, seed: int = SEED, levels: int = LEVELS) -> tuple[Data
     The last has ``key, source, cut``: the words that are taken of a document, null for all.
     """
     src = targets(sizes).withColumn("passes", F.when(F.col("source_size") > 0, F.least(F.lit(MOST), F.floor(F.col("target") / F.col("source_size")))).otherwise(0).cast("int"))
-    src = materialize(src.withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size")), "rests")
-    total = src.agg(F.sum("source_size")).first()[0] or 1
-    share = F.ceil(F.lit(BLOCKS / total) * F.col("source_size"))
+    n, total = src.agg(F.count("*"), F.sum("source_size")).first()
+    few = n <= BROADCAST_ROWS  # a row for each source, and at most BLOCKS more
+    share = F.ceil(F.lit(BLOCKS / (total or 1)) * F.col("source_size"))
+    src = src.withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size"))
     src = materialize(src.withColumn("blocks", F.least("docs", F.greatest(F.lit(1), share)).cast("long")), "sources")
-    placed = _of_source(sizes.select("source", "size", _keyed(sizes).alias("key")), src.select("source", "blocks", "passes", "rest")).withColumn("block", _block(seed))
+    placed = _of_source(sizes.select("source", "size", _keyed(sizes).alias("key")), src.select("source", "blocks", "passes", "rest"), few).withColumn("block", _block(seed))
     blocks = placed.groupBy("source", "block").agg(F.sum("size").alias("size"), F.first("passes").alias("passes"), F.first("rest").alias("gap"))
     order = Window.partitionBy("source").orderBy(F.xxhash64("source", "block", F.lit(seed + 1)), "block")
-    blocks = materialize(filled(materialize(blocks.withColumn("at", F.row_number().over(order)), "blocks"), 2 * PASSES), "blocks")
-    near = src.select(F.col("source"), (F.lit(MISS) * F.col("target")).alias("near"))
-    gaps = materialize(_of_source(blocks.groupBy("source").agg(F.first("gap").alias("gap")), near).where("gap >= 1"), "gaps")
+    blocks = materialize(filled(materialize(blocks.withColumn("at", F.row_number().over(order)), "blocks")), "blocks")
+    near = src.select("source", (F.lit(MISS) * F.col("target")).alias("near"))
+    gaps = materialize(_of_source(blocks.groupBy("source").agg(F.first("gap").alias("gap")), near, few).where("gap >= 1"), "gaps")
     # the rest of the rest: documents of blocks left
-    open_ = _of_source(blocks.where("not taken").select("source", "block"), gaps)
-    own = _of_source(placed.select("source", "size", "key", "block"), materialize(open_.select("source", "block"), "open"), "inner", "block")
+    open_ = _of_source(blocks.where("not taken").select("source", "block"), gaps.select("source"), few)
+    own = _of_source(placed.select("source", "size", "key", "block"), open_, few, "inner", "block")
     own = materialize(own.where("size > 0").groupBy("key", "source", "block").agg(F.sum("size").alias("size"), F.count("*").alias("n")), "left")  # rows with one key go together
     singles = None
     left = lambda: own if singles is None else own.join(singles.select(F.col("key").alias("k"), F.col("source").alias("s")), (F.col("key") == F.col("k")) & F.col("source").eqNullSafe(F.col("s")), "left_anti")
-    while not gaps.isEmpty():
-        fit = materialize(_of_source(left(), gaps).where("size <= gap"), "fitting")
+    while True:
+        fit = materialize(_of_source(left(), gaps, few).where("size <= gap"), "fitting")
+        if fit.isEmpty():
+            break
         most = Window.partitionBy("source").orderBy(F.desc("size"), "block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         best = fit.groupBy("source", "block").agg(F.sum("size").alias("size"), F.first("gap").alias("gap")).withColumn("cum", F.sum("size").over(most))
-        best = materialize(best.where(F.col("cum") - F.col("size") < F.col("gap")).select("source", "block"), "best")  # mostly one; more where none has enough
-        if best.isEmpty():
-            break
+        best = best.where(F.col("cum") - F.col("size") < F.col("gap")).select("source", "block")  # mostly one; more where none has enough
         hashed = Window.partitionBy("source").orderBy(F.xxhash64("key", F.lit(seed + 2)), "key")
-        one = filled(_of_source(fit, best, "inner", "block").withColumn("at", F.row_number().over(hashed)))
-        one = materialize(one.where("taken").select("key", "source", "gap", "size"), "round")
+        one = filled(_of_source(fit, best, few, "inner", "block").withColumn("at", F.row_number().over(hashed)))
+        one = materialize(one.where("taken").select("key", "source", "gap"), "round")
         now = one.select("key", "source", F.lit(None).cast("long").alias("cut"))
-        singles = now if singles is None else materialize(singles.unionByName(now), "singles")
-        after = materialize(one.groupBy("source").agg(F.first("gap").alias("after")), "after")
-        gaps = materialize(_of_source(gaps, after, "left").select("source", F.coalesce("after", "gap").alias("gap"), "near").where("gap >= 1"), "gaps")
+        singles = now if singles is None else singles.unionByName(now)
+        after = one.groupBy("source").agg(F.first("gap").alias("after"))
+        gaps = materialize(_of_source(gaps, after, few, "left").select("source", F.coalesce("after", "gap").alias("gap"), "near").where("gap >= 1"), "gaps")
     # where whole documents don't come near, the least one left, which is larger than the gap, in part
-    part = _of_source(left(), gaps.where("gap > near")).groupBy("source").agg(F.min(F.struct("size", "key", "n", "gap")).alias("r"))
+    part = _of_source(left(), gaps.where("gap > near"), few).groupBy("source").agg(F.min(F.struct("size", "key", "n", "gap")).alias("r"))
     part = part.select("r.key", "source", F.greatest(F.lit(1), F.floor(F.col("r.gap") / F.col("r.n"))).cast("long").alias("cut"))
     singles = materialize(part if singles is None else singles.unionByName(part), "singles")
     # quotas: unit j of a source is the j-th block of its permutation, pass by pass; the singles are one unit more
     units = blocks.select("source", "block", F.explode(F.sequence(F.lit(0), F.col("passes"))).alias("copy"), "passes", "taken").where("copy < passes or taken").select("source", "block", "copy")
     units = units.unionByName(singles.select("source").distinct().select("source", F.lit(-1).cast("long").alias("block"), F.lit(0).alias("copy")))
-    units = units.withColumn("node", F.lit(0))
+    units = materialize(units.withColumn("node", F.lit(0)), "units")
     for level in range(levels):
-        units = materialize(_halved(materialize(units, "units"), seed + 10 + level), "units")
+        units = materialize(_halved(units, seed + 10 + level), "units")
     return src, materialize(units.groupBy("source", "block").agg(F.sort_array(F.collect_list("node")).alias("shards")), "units"), singles
 
 
@@ -179,11 +175,12 @@ def draws(docs: DataFrame, sizes: DataFrame, seed: int = SEED) -> DataFrame:
     ``sizes (doc_id, source, size)`` are those of the same rows.
     """
     src, units, singles = plan(sizes, seed)
+    few = src.count() <= BROADCAST_ROWS
     rows = docs.select(F.struct("*").alias("row"), F.col("source").cast("string").alias("source"), _keyed(docs).alias("key"))
-    out = _of_source(rows, src.select("source", "source_size", "target", "blocks")).withColumn("block", _block(seed))
-    out = _of_source(out, units.where("block >= 0").select("source", "block", F.col("shards").alias("own")), "left", "block")
-    more = _of_source(singles, units.where("block = -1").select("source", F.col("shards").alias("more")))
-    out = _of_source(out, materialize(more.select("source", "key", "more", "cut"), "singles-at"), "left", "key")
+    out = _of_source(rows, src.select("source", "source_size", "target", "blocks"), few).withColumn("block", _block(seed))
+    out = _of_source(out, units.where("block >= 0").select("source", "block", F.col("shards").alias("own")), few, "left", "block")
+    more = _of_source(singles, units.where("block = -1").select("source", F.col("shards").alias("more")), few)
+    out = _of_source(out, more.select("source", "key", "more", "cut"), singles.count() <= BROADCAST_ROWS, "left", "key")
     none = F.array().cast("array<int>")
     shards = F.concat(F.coalesce("own", none), F.coalesce("more", none))
     return out.select(*[F.col("row")[c].alias(c) for c in docs.columns], F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), shards.alias("__shards"), F.col("cut").alias("__cut"))

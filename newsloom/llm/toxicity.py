@@ -16,15 +16,15 @@ from dataclasses import dataclass
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm.common import HASHES, shingles, texts
 from newsloom.llm.lm import crc
 from newsloom.session import ship
 
-#: Labelled rows that the lexicon and the logistic function are fitted on at most (about, chosen by hash of the id), and terms of the lexicon at most.
-FIT_ROWS, TERMS = 20_000, 5_000
+#: Labelled rows that the lexicon and the logistic function are fitted on at most (about, chosen by hash of the id).
+FIT_ROWS = 20_000
 #: Least documents, log odds and log-likelihood ratio of a learned term, lengths of stems, weight of a built-in term that isn't learned.
 LEAST_DOCS, LEAST_ODDS, LEAST_SURPRISE, STEMS, PRIOR = 3, 3.0, 20.0, (4, 5, 6, 7), 3.0
 THRESHOLD = 0.3
@@ -124,7 +124,19 @@ def surprise(pos: int, neg: int, n_pos: int, n_neg: int) -> float:
     return 2 * sum(k * float(np.log(k * n / (all_ * m))) for k, m in ((pos, n_pos), (neg, n_neg)) if k)
 
 
-def choose(pos: dict[str, int], neg: dict[str, int], n_pos: int, n_neg: int, size: int = TERMS) -> dict[str, float]:
+def log_odds(n_pos: int, n_neg: int) -> Column:
+    """Log odds of a row ``(pos, neg)``, as :func:`choose` takes them."""
+    return F.log((F.col("pos") + 0.5) / (n_pos + 1)) - F.log((F.col("neg") + 0.5) / (n_neg + 1))
+
+
+def surprise_of(n_pos: int, n_neg: int) -> Column:
+    """:func:`surprise` of a row ``(pos, neg)``."""
+    share = (F.col("pos") + F.col("neg")) / (n_pos + n_neg)
+    part = lambda k, m: F.when(F.col(k) > 0, F.col(k) * F.log(F.col(k) / (share * m))).otherwise(0.0)
+    return 2 * (part("pos", n_pos) + part("neg", max(n_neg, 1)))
+
+
+def choose(pos: dict[str, int], neg: dict[str, int], n_pos: int, n_neg: int) -> dict[str, float]:
     """Terms and log odds, most telling first: a term goes if a kept stem begins it, or if a kept longer term explains nearly all of its documents."""
     kept: dict[str, float] = {}
     covered: dict[str, int] = {}
@@ -136,15 +148,15 @@ def choose(pos: dict[str, int], neg: dict[str, int], n_pos: int, n_neg: int, siz
         kept[t] = odds
         for k in range(4, len(t)):
             covered[t[:k]] = max(covered.get(t[:k], 0), n)
-        if len(kept) >= size:
-            break
     return kept
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
-    """Learn from ``labels (doc_id, toxic)``, all of which may be used; near copies count once.
+    """Learn from about ``rows`` of ``labels (doc_id, toxic)``, chosen by hash of the id, or from all where there are fewer; near copies count once.
 
-    With no usable labels the built-in terms and fixed coefficients remain.
+    ``rows`` is the one bound: the lexicon has every term of their texts that is
+    telling enough. With no usable labels the built-in terms and fixed coefficients
+    remain.
     """
     spark = docs.sparkSession
     own = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
@@ -167,25 +179,20 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     once = once.select("text", "toxic").persist()
     n = {r["toxic"]: r["n"] for r in once.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
 
-    def counted(wanted: dict[str, int] | None):
-        def run(batches):
-            seen: dict[str, int] = {}
-            for b in batches:
-                for t in b.column(0).to_pylist():
-                    for x in terms_of(fold(t)):
-                        if wanted is None or x in wanted:
-                            seen[x] = seen.get(x, 0) + 1
-            yield pa.record_batch({"t": pa.array(list(seen), pa.string()), "n": pa.array(list(seen.values()), pa.int64())})
-
-        return run
-
-    def count(toxic: int, wanted=None) -> dict[str, int]:
-        rows = once.where(F.col("toxic") == toxic).select("text").mapInArrow(counted(wanted), "t string, n long").groupBy("t").agg(F.sum("n").alias("n"))
-        least = max(LEAST_DOCS, n.get(1, 0) // 500) if toxic else 1
-        return {r["t"]: r["n"] for r in rows.where(F.col("n") >= least).orderBy(F.desc("n"), "t").limit(40 * TERMS).toLocalIterator()}
-
-    pos = count(1)
-    learned = choose(pos, count(0, pos), n.get(1, 0), n.get(0, 0)) if pos else {}
+    def counted(batches):
+        seen: dict[str, list[int]] = {}
+        for b in batches:
+            for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for x in terms_of(fold(t)):
+                    seen.setdefault(x, [0, 0])[y] += 1
+        yield pa.record_batch({"t": pa.array(list(seen), pa.string()), "neg": pa.array([v[0] for v in seen.values()], pa.int64()), "pos": pa.array([v[1] for v in seen.values()], pa.int64())})
+
+    learned: dict[str, float] = {}
+    if n_pos := n.get(1, 0):
+        n_neg = n.get(0, 0)
+        terms = once.mapInArrow(counted, "t string, neg long, pos long").groupBy("t").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where(F.col("pos") >= max(LEAST_DOCS, n_pos // 500))
+        some = {r["t"]: (r["pos"], r["neg"]) for r in terms.where((log_odds(n_pos, n_neg) >= LEAST_ODDS) & (surprise_of(n_pos, n_neg) >= LEAST_SURPRISE)).toLocalIterator()}
+        learned = choose({t: v[0] for t, v in some.items()}, {t: v[1] for t, v in some.items()}, n_pos, n_neg)
     weights = {f" {fold(s).strip()} ": PRIOR for s in SEEDS.split()} | learned
     model = Model(weights, np.array([-3.0, 0.5, 1.0]))
 
@@ -247,8 +254,9 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, held_out, score, predicted``, learned from labels outside the held-out fold only.
 
     A null or empty text has no hits; null ids and repeated rows are scored like
-    others; labels that are null or not 0 or 1 aren't used; an empty table gives no
-    rows.
+    others; a text of any length is matched whole; labels that are null or not 0 or 1
+    aren't used, and of labels that disagree on an id the toxic one counts; an empty
+    table gives no rows; other columns, whatever their names, are ignored.
     """
     model = fit(docs, labels.where(~held_out()))
     return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")

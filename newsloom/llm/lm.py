@@ -34,6 +34,8 @@ from newsloom.plans.scratch import materialize, scratch_path
 
 #: Tokens that a counting or scoring task gathers at a time; documents sampled for frequent contexts.
 COUNT_TOKENS, SCORE_TOKENS, SAMPLE_DOCS = 3_000_000, 1_000_000, 2_000
+#: Bytes of training text for one bucket of the model's arrays (about).
+BUCKET_BYTES = 32_000_000
 #: Hashes have 56 bits. The start of a text and its end are tokens 0 and 1.
 _BITS, START, END = 56, 1, 2
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
@@ -218,16 +220,22 @@ def frequent_contexts(docs: DataFrame, buckets: int) -> np.ndarray:
             top = np.argsort(-n)[: 32 * buckets]
             yield pa.record_batch({"u": pa.array(np.array(ids.hashes, np.int64)[k[top]]), "n": pa.array(n[top].astype(np.int64)), "total": pa.array(np.where(np.arange(len(top)) == 0, n.sum(), 0))})
 
-    drawn = texts(docs).where(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0).select("text").coalesce(1 if step == 1 else 8)
+    drawn = texts(docs).where(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0).select("text")
     rows = drawn.mapInArrow(count, "u long, n long, total long").groupBy("u").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).orderBy(F.desc("n"), "u").limit(8 * buckets + 64).collect()
     total = sum(r["total"] for r in rows)
     return np.array(sorted({START, *(r["u"] for r in rows if r["n"] * 8 * buckets > total)}), np.uint64)
 
 
 def train(docs: DataFrame, buckets: int | None = None) -> Model:
-    """Count ``docs (doc_id, text)`` and write the model's arrays."""
+    """Count ``docs (doc_id, text)`` and write the model's arrays.
+
+    Buckets grow with the bytes of text, so what a task merges doesn't; small corpora
+    have two for each shuffle partition.
+    """
     spark = docs.sparkSession
-    buckets = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if not buckets:
+        size = texts(docs).agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
     hot, uri = frequent_contexts(docs, buckets), scratch_path(spark, "lm")
 
     def count(batches):
@@ -326,8 +334,8 @@ def score(docs: DataFrame, model: Broadcast) -> DataFrame:
     """``doc_id, n_tokens, n_known, base_score, score`` of each text under a broadcast :class:`Model`.
 
     Tokens are words after lower-casing A-Z and one end of text. A null or empty
-    text has one token, its end; null ids and repeated rows are kept; an empty
-    table gives no rows.
+    text has one token, its end; null ids and repeated rows are kept; a text of any
+    length is scored whole; an empty table gives no rows; other columns are ignored.
     """
 
     def run(batches):

@@ -79,7 +79,7 @@ def frequent_lengths(docs: DataFrame, model_path: str, sample_docs: int = SAMPLE
         top = seen.most_common(size)
         yield pa.record_batch({"token": pa.array([k for k, _ in top], pa.binary()), "n": pa.array([v for _, v in top], pa.int64())})
 
-    drawn = texts(docs).where(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0).select("text").coalesce(1 if step == 1 else 8)
+    drawn = texts(docs).where(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0).select("text")
     top = drawn.mapInArrow(count, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(size)
     model = sentencepiece.SentencePieceProcessor(model_file=model_path)
     return {(k := bytes(r["token"])): length_of(model, k) for r in top.toLocalIterator()}
@@ -89,7 +89,8 @@ def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096) -> DataFra
     """``doc_id, n_bytes, n_tokens, over_limit`` for each row of ``docs (doc_id, text)``.
 
     A null text counts as empty (0 tokens); a null doc_id and repeated rows are
-    kept as they are; an empty table gives no rows. Other columns are ignored.
+    kept as they are; a text of any length is counted whole; an empty table gives no
+    rows. Other columns, whatever their names, are ignored.
     """
     spark = docs.sparkSession
     apart = splits_at_spaces(sentencepiece.SentencePieceProcessor(model_file=model_path))

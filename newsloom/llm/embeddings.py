@@ -23,9 +23,9 @@ from newsloom.plans.components import connected_components
 from newsloom.plans.scratch import materialize
 from newsloom.session import ship
 
-#: Vectors that the codebooks are trained on at most (about), wanted vectors of a label in a cell, most centroids of a half,
+#: Vectors that the codebooks are trained on at most (about), wanted vectors of the largest label in a cell, most centroids of a half (the sample has 20 for each),
 #: home and visiting vectors of a block, share of the sample's pairs that the stop radius must reach and the factor on it, pairs below which the exact bound is used.
-SAMPLE, PER_CELL, CENTROIDS, HOME_BLOCK, VISIT_BLOCK, RECALL, MARGIN, LEAST_PAIRS = 20_000, 100, 128, 512, 1_024, 0.9995, 1.5, 50
+SAMPLE, PER_CELL, CENTROIDS, HOME_BLOCK, VISIT_BLOCK, RECALL, MARGIN, LEAST_PAIRS = 20_000, 100, 1_024, 512, 1_024, 0.9995, 1.5, 50
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -104,17 +104,18 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     Null, zero or empty vectors, such with null or non-finite components, and rows
     without a label link with nothing; vectors of different lengths neither. Equal
     vectors of a label always link. A null vec_id takes part in counts, but its
-    component is null unless a link leads to an id. An empty table gives no rows.
+    component is null unless a link leads to an id; rows that repeat a vec_id are each
+    scored. An empty table gives no rows. Other columns are ignored.
     """
     spark = vectors.sparkSession
     ship(spark)
     e = F.transform("embedding", lambda x: x.cast("double"))
     own = vectors.select("vec_id", F.when(valid(), F.concat_ws(":", F.size("embedding").cast("string"), F.col("label").cast("string"))).alias("key"), e.alias("e"))
     classes = materialize(own.where("key is not null").groupBy("key", "e").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")).withColumn("c", F.xxhash64("key", "e")), "vectors")
-    n, labels = classes.agg(F.count("*"), F.approx_count_distinct("key")).first()
+    n = classes.count()
     met = None
     for (dim,) in [tuple(r) for r in classes.select(F.size("e")).distinct().toLocalIterator()] if n else []:
-        part = _links(classes.where(F.size("e") == dim), least, n, max(1, labels))
+        part = _links(classes.where(F.size("e") == dim), least, n)
         met = part if met is None else met.unionByName(part)
     if met is None:
         return vectors.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"), F.lit(True).alias("kept"))
@@ -130,7 +131,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
 
 
-def _links(classes: DataFrame, least: float, n: int, labels: int) -> DataFrame:
+def _links(classes: DataFrame, least: float, n: int) -> DataFrame:
     """``c, links, other``: partial counts of each class's links to other classes' vectors, and edges of spanning forests."""
     spark = classes.sparkSession
     step = -(-n // SAMPLE)
@@ -138,14 +139,15 @@ def _links(classes: DataFrame, least: float, n: int, labels: int) -> DataFrame:
     if drawn.empty:
         drawn = classes.select("key", "e").limit(1).toPandas()
     x = unit(np.stack(drawn["e"].to_numpy()).astype(np.float64))
-    h, k = x.shape[1] // 2, int(np.clip(round((n / (labels * PER_CELL)) ** 0.5), 2, CENTROIDS))
+    most = classes.groupBy("key").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    h, k = x.shape[1] // 2, int(np.clip(round((most / PER_CELL) ** 0.5), 2, CENTROIDS))
     books = kmeans(x[:, :h], k), kmeans(x[:, h:], k)
     radius = stop_radius(x, drawn["key"].to_numpy().astype(str), books, least)
     index = spark.sparkContext.broadcast((books, radius))
 
     def visit(batches):
         b2, r = index.value
-        for b in batches:
+        for b in (whole.slice(lo, 1000) for whole in batches for lo in range(0, whole.num_rows, 1000)):
             if b.num_rows:
                 v = unit(np.stack(b.column(1).to_numpy(zero_copy_only=False)).astype(np.float64))
                 rows, cells, home = visits(v, b2, r)

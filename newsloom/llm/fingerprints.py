@@ -68,8 +68,9 @@ def fingerprints(docs: DataFrame, k: int = SHINGLE, ranges: int | None = None) -
     Returns ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited, near_next``. The next document is that with the next id, the first
     after the last; of a single document, itself. A null text is empty; null ids
-    come before all others; rows with equal ids follow each other by text. An empty
-    table gives no rows.
+    come before all others; rows with equal ids follow each other by text. A text of
+    any length is read whole, its shingles in slices. An empty table gives no rows.
+    Other columns, whatever their names, are ignored.
     """
     spark = docs.sparkSession
     t = texts(docs)

@@ -154,7 +154,8 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least:
     ``license`` is the template of the best coefficient (ties: by name) and null
     where none reaches the threshold; ``licenses`` are the names of all that do,
     sorted and joined by ``; ``. Sentences with words count from 0. A null or empty
-    text has none; null ids and repeated rows are kept; an empty table gives no rows.
+    text has none; null ids and repeated rows are kept; a text of any length is
+    scanned whole; an empty table gives no rows; other columns are ignored.
     """
 
     def run(batches):

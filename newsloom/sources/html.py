@@ -33,7 +33,7 @@ class _Reader(HTMLParser):
     def __init__(self, s: Selectors):
         super().__init__(convert_charrefs=True)
         self.s, self.open, self.found = s, [], []
-        self.article, self.into, self.main_seen = None, None, not s.main
+        self.article, self.into = None, []  # what text goes into: kind, depth, runs of text, place among the paragraphs
 
     @staticmethod
     def _is(tag: str, classes: list[str], selector: str) -> bool:
@@ -52,40 +52,41 @@ class _Reader(HTMLParser):
         if self.article is None:
             if self._is(tag, classes, s.article) and self._inside(s.main):
                 self.article = {"depth": len(self.open), "best": None, "any": None, "p": []}
-        elif self.into is None:
-            if self._is(tag, classes, s.title) and self.article["best"] is None:
-                self.into = ("best", len(self.open), [])
-            elif self._is(tag, classes, s.any_title) and self.article["any"] is None:
-                self.into = ("any", len(self.open), [])
-            elif self._is(tag, classes, s.paragraph) and self._inside(s.body):
-                self.into = ("p", len(self.open), [])
+            return
+        for kind, selector in (("best", s.title), ("any", s.any_title)):
+            if self.article[kind] is None and self._is(tag, classes, selector):
+                self.article[kind] = ""
+                self.into.append((kind, len(self.open), [], 0))
+        if self._is(tag, classes, s.paragraph) and self._inside(s.body):  # also one in another that was left open
+            self.into.append(("p", len(self.open), [], len(self.article["p"])))
+            self.article["p"].append("")
 
     def handle_data(self, data):
         if self.into and not any(t in ("script", "style") for t, _ in self.open):
-            self.into[2].append(data)
+            for x in self.into:
+                x[2].append(data.strip())
 
     def handle_endtag(self, tag):
         at = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] == tag), None)
         if at is None:
             return
         del self.open[at:]
-        if self.into and len(self.open) < self.into[1]:
-            kind, _, parts = self.into
-            text = "".join(parts).strip()
+        while self.into and len(self.open) < self.into[-1][1]:
+            kind, _, parts, place = self.into.pop()
             if kind == "p":
-                self.article["p"].append(text)
+                self.article["p"][place] = "".join(parts)
             else:
-                self.article[kind] = text
-            self.into = None
+                self.article[kind] = "".join(parts)
         if self.article and len(self.open) < self.article["depth"]:
             a, self.article = self.article, None
-            self.found.append((a["best"] if a["best"] is not None else a["any"] or "", "\n".join(p for p in a["p"] if p)))
+            self.found.append((a["best"] if a["best"] is not None else a["any"] or "", "\n".join(a["p"])))
 
 
 def articles_of(page: str | None, selectors: Selectors) -> list[tuple[str, str]]:
     """``(title, body)`` of each article of a page."""
     r = _Reader(selectors)
     r.feed(page or "")
+    r.close()
     while r.open:  # tags that the page leaves open
         r.handle_endtag(r.open[-1][0])
     return r.found

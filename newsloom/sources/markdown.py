@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from newsloom.functions.text import news_id
 
-_URL = r"^\s*<!--\s*source-url:\s*(\S+)\s*-->\s*$"
+# What stands before and after an item's URL.
+_BEFORE, _AFTER = "<!-- source_url: ", " -->"
 
 
 def read_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -24,13 +25,15 @@ def parse(files: DataFrame) -> DataFrame:
     """``file, broadcast_date, order_in_broadcast, news_id, title, full_text, url`` of all items.
 
     Before the first ``## `` nothing counts; rules ``---``, headings ``# `` and blank
-    lines are skipped. A row whose date or URL is wrong has ``error`` set.
+    lines are skipped; a comment line ``<!-- source_url: ... -->`` is the item's URL,
+    the last of several. A row whose date or URL is wrong has ``error`` set.
     """
     lines = files.select("file", F.posexplode(F.split("content", r"\r\n|\r|\n")).alias("pos", "line"))
     by_file = Window.partitionBy("file").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     lines = lines.withColumn("is_item", F.col("line").startswith("## ")).withColumn("item", F.count_if("is_item").over(by_file)).where("item > 0")
-    url = F.regexp_extract("line", _URL, 1)
-    lines = lines.withColumn("url", F.when(url != "", url))
+    marked = F.col("line").startswith(_BEFORE) & F.col("line").endswith(_AFTER) & (F.length("line") >= len(_BEFORE) + len(_AFTER))
+    url = F.trim(F.substring(F.col("line"), F.lit(len(_BEFORE) + 1), F.length("line") - len(_BEFORE) - len(_AFTER)))
+    lines = lines.withColumn("url", F.when(marked & ~F.col("is_item"), url))
     body = ~F.col("is_item") & F.col("url").isNull() & (F.trim("line") != "---") & (F.trim("line") != "") & ~F.col("line").startswith("# ")
     out = lines.groupBy("file", "item").agg(
         F.max(F.when(F.col("is_item"), F.trim(F.substring("line", 4, 1 << 30)))).alias("title"),
@@ -38,14 +41,14 @@ def parse(files: DataFrame) -> DataFrame:
         F.max_by("url", F.when(F.col("url").isNotNull(), F.col("pos"))).alias("url"),
     )
     date = file_date(F.col("file"))
-    bad_url = F.col("url").isNotNull() & ~F.lower("url").rlike("^https?://")
+    bad_url = F.col("url").isNotNull() & ~F.col("url").rlike("^https?://")
     error = F.when(date.isNull(), "file name is no date").when(bad_url, "url is not http").when(F.coalesce("title", F.lit("")) == "", "no title").when(F.trim("full_text") == "", "no text")
     return out.select("file", date.alias("broadcast_date"), F.col("item").cast("int").alias("order_in_broadcast"), news_id(date, F.col("item")).alias("news_id"), "title", "full_text", "url", error.alias("error"))
 
 
 def render(items: DataFrame) -> DataFrame:
     """``file, content``: the files that :func:`parse` reads back to the same items."""
-    url = F.when(F.col("url").isNotNull(), F.concat(F.lit("<!-- source-url: "), F.col("url"), F.lit(" -->\n"))).otherwise("")
+    url = F.when(F.col("url").isNotNull(), F.concat(F.lit(_BEFORE), F.col("url"), F.lit(f"{_AFTER}\n\n"))).otherwise("")
     item = F.concat(F.lit("## "), F.col("title"), F.lit("\n\n"), url, F.col("full_text"), F.lit("\n\n---\n"))
     own = items.groupBy("broadcast_date").agg(F.array_sort(F.collect_list(F.struct("order_in_broadcast", item.alias("x")))).alias("x"))
     day = F.date_format("broadcast_date", "yyyyMMdd")

@@ -21,6 +21,22 @@ def heat_windows(items: DataFrame, key: str, ts: str, late: str = "1 day", lengt
     return items.withWatermark(ts, late).groupBy(F.window(ts, length, step), key).agg(F.count("*").alias("news_count")).select(key, F.col("window.start").alias("starts"), F.col("window.end").alias("ends"), "news_count")
 
 
-def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> None:
-    """Process what is there and stop; the checkpoint makes a rerun go on from there."""
-    stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "append", out: str | None = None) -> DataFrame:
+    """Process what is there and stop; the checkpoint makes a rerun go on from there.
+
+    Each batch is a folder of Parquet files below ``out`` (by default beside the
+    checkpoint), which a repeated batch replaces. The result, also the view ``name``,
+    is all batches, or with mode complete the last one.
+    """
+    spark, out = stream.sparkSession, out or f"{checkpoint}-out"
+
+    def write(batch: DataFrame, i: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={i}")
+
+    stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    done = spark.read.option("basePath", out).parquet(f"{out}/batch=*")
+    if mode == "complete":
+        done = done.where(F.col("batch") == done.agg(F.max("batch")).first()[0])
+    done = done.drop("batch")
+    done.createOrReplaceTempView(name)
+    return done

@@ -2,47 +2,78 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.operators.clusters import candidate_edges
+from newsloom.plans.scratch import materialize
 from newsloom.schema import REVIEW_LABELS
 
 STRATA = ("model_positive", "topical_unmatched", "random_control")
 
 
-def pair_strata(articles: DataFrame, window_days: int = 7) -> DataFrame:
-    """``left, right, stratum`` of all pairs within the window: accepted, otherwise related by topic, person or organization, or neither.
+def pair_strata(articles: DataFrame, window_days: int = 7, chosen: DataFrame | None = None) -> DataFrame:
+    """``left, right, stratum, score`` of pairs within the window: accepted, otherwise related by topic, person or organization, or neither.
 
     Days are the keys of an equi join: each article meets those of the window's days.
+    With ``chosen (news_id)`` only pairs that hold one of these are made, besides all
+    accepted ones.
     """
     if window_days < 0:
         raise ValueError("window_days must not be negative")
     own = articles.select("news_id", "day", "topics", "people", "organizations")
     side = lambda s: own.select(*[F.col(c).alias(f"{c}_{s}") for c in own.columns])
-    left = side("l").withColumn("day_r", F.explode(F.expr(f"sequence(date_sub(day_l, {window_days}), date_add(day_l, {window_days}), interval 1 day)")))
-    p = left.join(side("r"), "day_r").where("news_id_l < news_id_r")
+    left = side("l") if chosen is None else side("l").join(F.broadcast(chosen.select(F.col("news_id").alias("news_id_l"))), "news_id_l", "left_semi")
+    left = left.withColumn("day_r", F.explode(F.expr(f"sequence(date_sub(day_l, {window_days}), date_add(day_l, {window_days}), interval 1 day)")))
+    p = left.join(side("r"), "day_r").where("news_id_l < news_id_r" if chosen is None else "news_id_l <> news_id_r")
     related = F.lit(False)
     for c in ("topics", "people", "organizations"):
         related = related | F.arrays_overlap(f"{c}_l", f"{c}_r")
-    p = p.select(F.col("news_id_l").alias("left"), F.col("news_id_r").alias("right"), F.coalesce(related, F.lit(False)).alias("related"))
-    known = candidate_edges(articles, window_days).select("left", "right", F.lit(True).alias("known"))
-    p = p.join(known, ["left", "right"], "left")
-    return p.select("left", "right", F.when(F.col("known"), STRATA[0]).when(F.col("related"), STRATA[1]).otherwise(STRATA[2]).alias("stratum"))
+    p = p.select(F.least("news_id_l", "news_id_r").alias("left"), F.greatest("news_id_l", "news_id_r").alias("right"), F.coalesce(related, F.lit(False)).alias("related"))
+    known = materialize(candidate_edges(articles, window_days).select("left", "right", "score"), "accepted")
+    rest = (p if chosen is None else p.distinct()).join(known.select("left", "right"), ["left", "right"], "left_anti")
+    rest = rest.select("left", "right", F.when(F.col("related"), STRATA[1]).otherwise(STRATA[2]).alias("stratum"), F.lit(None).cast("double").alias("score"))
+    return known.select("left", "right", F.lit(STRATA[0]).alias("stratum"), "score").unionByName(rest)
 
 
-def make_queue(articles: DataFrame, limit: int = 90, seed: int = 20261029, window_days: int = 7) -> DataFrame:
-    """At most ``limit`` pairs, a third of each stratum where there are so many, then others in the order of strata. Blank review columns."""
+def _drawn(seed: int, *columns: str) -> Column:
+    """A number of a row that depends on the seed, as a key to draw by."""
+    return F.sha2(F.concat_ws("|", F.lit(seed), *[F.col(c).cast("string") for c in columns]), 256)
+
+
+def make_queue(articles: DataFrame, limit: int = 90, seed: int = 20261029, window_days: int = 7, per_row: int = 20) -> DataFrame:
+    """At most ``limit`` pairs for review, a third of each stratum where there are so many, then others in the order of strata.
+
+    Accepted pairs are drawn from all; the others from pairs of ``limit * per_row``
+    drawn articles with any other, so that their number grows with the articles and
+    not with the pairs. Each row has ``source`` (titles, dates, URLs, excerpts of both),
+    ``evidence`` (score and shared names) and blank review columns. ``articles`` may
+    have ``url``, ``excerpt`` and ``summary``.
+    """
     if limit <= 0:
         raise ValueError("limit must be positive")
-    p = pair_strata(articles, window_days)
-    key = F.xxhash64(F.lit(seed), "left", "right")
-    at = F.row_number().over(Window.partitionBy("stratum").orderBy(key, "left", "right"))
-    p = p.withColumn("at", at).where(F.col("at") <= limit)
+    chosen = articles.select("news_id").orderBy(_drawn(seed, "news_id"), "news_id").limit(limit * per_row)
+    p = pair_strata(articles, window_days, chosen).withColumn("draw", _drawn(seed, "left", "right"))
+    at = F.row_number().over(Window.partitionBy("stratum").orderBy("draw", "left", "right"))
+    tops = None  # the first of each stratum, without sorting all of it
+    for s in STRATA:
+        own = p.where(F.col("stratum") == s).orderBy("draw", "left", "right").limit(limit)
+        tops = own if tops is None else tops.unionByName(own)
+    tops = materialize(tops, "queue").withColumn("at", at)
     quota = F.when(F.col("stratum") == STRATA[2], limit - 2 * (limit // 3)).otherwise(limit // 3)
-    p = p.withColumn("late", (F.col("at") > quota).cast("int")).withColumn("turn", F.array_position(F.array(*map(F.lit, STRATA)), F.col("stratum")))
+    tops = tops.withColumn("late", (F.col("at") > quota).cast("int")).withColumn("turn", F.array_position(F.array(*map(F.lit, STRATA)), F.col("stratum")))
+    rows = tops.orderBy("late", "turn", "at").limit(limit)
+    more = [c for c in ("url", "excerpt", "summary") if c in articles.columns]
+    side = lambda s: articles.select(F.col("news_id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("title", "day", "topics", "people", "organizations", *more)])
+    rows = rows.join(side("left"), "left").join(side("right"), "right")
+    text = lambda c, s: F.col(f"{c}_{s}") if c in more else F.lit(None).cast("string")
+    excerpt = lambda s: F.coalesce(F.nullif(text("excerpt", s), F.lit("")), text("summary", s))
+    both = ("left", "right")
+    source = F.struct(*[F.col(f"title_{s}").alias(f"{s}_title") for s in both], *[F.col(f"day_{s}").alias(f"{s}_date") for s in both], *[text("url", s).alias(f"{s}_url") for s in both], *[excerpt(s).alias(f"{s}_excerpt") for s in both])
+    shared = lambda c: F.array_sort(F.array_intersect(f"{c}_left", f"{c}_right")).alias(f"shared_{c}")
+    evidence = F.struct(F.col("score").alias("matched_pair_score"), shared("topics"), shared("people"), shared("organizations"))
     blank = F.lit(None).cast("struct<id:string,label:string,evidence:string>")
-    return p.orderBy("late", "turn", "at").limit(limit).select("left", "right", "stratum", blank.alias("reviewer_1"), blank.alias("reviewer_2"), F.lit(None).cast("struct<label:string,reviewer:string,note:string>").alias("adjudication"))
+    return rows.orderBy("late", "turn", "at").select("left", "right", "stratum", source.alias("source"), evidence.alias("evidence"), blank.alias("reviewer_1"), blank.alias("reviewer_2"), F.lit(None).cast("struct<label:string,reviewer:string,note:string>").alias("adjudication"))
 
 
 def check_reviews(reviews: DataFrame) -> None:
@@ -58,12 +89,12 @@ def check_reviews(reviews: DataFrame) -> None:
 
 
 def review_state(reviews: DataFrame) -> DataFrame:
-    """Each review's ``state``: unreviewed, single, ready or needs_adjudication, and its final ``label`` if ready."""
+    """Each review's ``state``: unreviewed (a label is missing), ready or needs_adjudication, and its final ``label`` if ready."""
     a, b, c = (F.col(x) for x in ("reviewer_1.label", "reviewer_2.label", "adjudication.label"))
     both = a.isNotNull() & b.isNotNull()
     agreed = both & (a == b) & (a != "UNSURE")
     settled = both & c.isNotNull() & (c != "UNSURE") & (F.coalesce(F.trim("adjudication.reviewer"), F.lit("")) != "")
-    state = F.when(agreed | settled, "ready").when(both, "needs_adjudication").when(a.isNotNull() | b.isNotNull(), "single").otherwise("unreviewed")
+    state = F.when(agreed | settled, "ready").when(both, "needs_adjudication").otherwise("unreviewed")
     return reviews.withColumn("state", state).withColumn("label", F.when(agreed, a).when(settled, c))
 
 
@@ -78,6 +109,24 @@ def agreement(ratings: DataFrame) -> DataFrame:
     return top.crossJoin(margin).select("n", "agreed", F.round(po, 6).alias("agreement"), F.round(F.when(pe < 1, F.try_divide(po - pe, 1 - pe)), 6).alias("kappa"))
 
 
+def review_summary(reviews: DataFrame) -> DataFrame:
+    """One row: pairs in all, unreviewed, doubly reviewed, agreed on a definitive label, adjudicated, still to adjudicate, ready, and the reviewers' agreement."""
+    state = review_state(reviews)
+    a, b = F.col("reviewer_1.label"), F.col("reviewer_2.label")
+    ready = F.col("state") == "ready"
+    counts = state.agg(
+        F.count("*").alias("total_pairs"),
+        F.count_if(F.col("state") == "unreviewed").alias("unreviewed"),
+        F.count_if(F.col("state") != "unreviewed").alias("double_reviewed"),
+        F.count_if(ready & (a == b) & (a != "UNSURE")).alias("agreed_and_definitive"),
+        F.count_if(ready & ((a != b) | (a == "UNSURE"))).alias("adjudicated"),
+        F.count_if(F.col("state") == "needs_adjudication").alias("needs_adjudication"),
+        F.count_if(ready).alias("ready_definitive_pairs"),
+    )
+    own = agreement(reviews.select(a.alias("a"), b.alias("b")))
+    return counts.crossJoin(own.select(F.col("agreement").alias("reviewer_agreement"), F.col("kappa").alias("cohens_kappa")))
+
+
 def strata_counts(articles: DataFrame, window_days: int = 7) -> DataFrame:
     """Pairs within the window by stratum, without making the pairs: articles alike in day, topics, people and organizations are one class with a count."""
     columns = ("day", "topics", "people", "organizations")

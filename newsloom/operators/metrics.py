@@ -15,15 +15,17 @@ def _pairs(n: Column) -> Column:
 
 def check_partition(labels: DataFrame, expected: DataFrame) -> None:
     """Raise unless ``labels (item, label)`` names each expected item once, with a label that isn't blank."""
-    twice = labels.groupBy("item").count().where("count > 1").count()
-    blank = labels.where(F.coalesce(F.trim(F.col("label").cast("string")), F.lit("")) == "").count()
-    lost = expected.select("item").join(labels, "item", "left_anti").count()
-    extra = labels.join(expected.select("item"), "item", "left_anti").count()
-    if twice or blank or lost or extra:
-        raise ValueError(f"not a partition: {twice} repeated, {blank} without a label, {lost} missing, {extra} unexpected items")
+    blank = F.coalesce(F.trim(F.col("label").cast("string")), F.lit("")) == ""
+    own = labels.groupBy("item").agg(F.count("*").alias("n"), F.count_if(blank).alias("blank"))
+    both = own.join(expected.groupBy("item").agg(F.count("*").alias("e")), "item", "full_outer")
+    twice, blanks, lost, extra = both.agg(F.count_if((F.col("n") > 1) | (F.col("e") > 1)), F.coalesce(F.sum("blank"), F.lit(0)), F.count_if(F.col("n").isNull()), F.count_if(F.col("e").isNull())).first()
+    if twice or blanks or lost or extra:
+        raise ValueError(f"not a partition: {twice} repeated, {blanks} without a label, {lost} missing, {extra} unexpected items")
 
 
 def _cells(gold: DataFrame, predicted: DataFrame) -> DataFrame:
+    check_partition(gold, gold.select("item"))
+    check_partition(predicted, gold.select("item"))
     both = gold.select("item", F.col("label").alias("g")).join(predicted.select("item", F.col("label").alias("p")), "item")
     return both.groupBy("g", "p").agg(F.count("*").alias("n"))
 
@@ -36,7 +38,7 @@ def pairwise_metrics(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     """True, false and missed pairs, precision, recall and F1 of pairs put together.
 
     Without predicted pairs precision is 1 if there are no gold pairs either, else 0;
-    without gold pairs recall is 1.
+    without gold pairs recall is 1. Both must be partitions of the same items.
     """
     cells = _cells(gold, predicted)
     tp = cells.agg(F.coalesce(F.sum(_pairs(F.col("n"))), F.lit(0)).alias("tp"))
@@ -50,12 +52,12 @@ def pairwise_metrics(gold: DataFrame, predicted: DataFrame) -> DataFrame:
 
 
 def bcubed_metrics(gold: DataFrame, predicted: DataFrame) -> DataFrame:
-    """Mean over items of the shares of its predicted and its gold cluster that the two have in common."""
+    """Mean over items of the shares of its predicted and its gold cluster that the two have in common; 1 without items. Both must be partitions of the same items."""
     cells = _cells(gold, predicted)
     p, g = cells.groupBy("p").agg(F.sum("n").alias("np")), cells.groupBy("g").agg(F.sum("n").alias("ng"))
     n = F.sum("n")
     square = (F.col("n") * F.col("n")).cast("double")
-    out = cells.join(p, "p").join(g, "g").agg(F.coalesce(F.sum(square / F.col("np")) / n, F.lit(0.0)).alias("precision"), F.coalesce(F.sum(square / F.col("ng")) / n, F.lit(0.0)).alias("recall"))
+    out = cells.join(p, "p").join(g, "g").agg(F.coalesce(F.sum(square / F.col("np")) / n, F.lit(1.0)).alias("precision"), F.coalesce(F.sum(square / F.col("ng")) / n, F.lit(1.0)).alias("recall"))
     return out.withColumn("f1", _f1(F.col("precision"), F.col("recall")))
 
 
@@ -70,10 +72,14 @@ def size_histogram(clusters: DataFrame) -> DataFrame:
 
 
 def pair_retrieval(gold: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Precision, recall and F1 of retrieved ``(left, right)`` pairs against a gold partition."""
-    p = pairs.select(F.least("left", "right").alias("left"), F.greatest("left", "right").alias("right")).where("left <> right").distinct()
+    """Precision, recall and F1 of retrieved ``(left, right)`` pairs against a gold partition; a pair of an item with itself or with an unknown one is an error."""
+    check_partition(gold, gold.select("item"))
+    p = pairs.select(F.least("left", "right").alias("left"), F.greatest("left", "right").alias("right")).distinct()
     g = gold.select("item", "label")
-    met = p.join(g.select(F.col("item").alias("left"), F.col("label").alias("a")), "left").join(g.select(F.col("item").alias("right"), F.col("label").alias("b")), "right")
+    met = p.join(g.select(F.col("item").alias("left"), F.col("label").alias("a")), "left", "left").join(g.select(F.col("item").alias("right"), F.col("label").alias("b")), "right", "left")
+    wrong = met.where("a is null or b is null or left = right").count()
+    if wrong:
+        raise ValueError(f"{wrong} invalid candidate pairs")
     got = met.agg(F.count("*").alias("retrieved"), F.count_if(F.col("a") == F.col("b")).alias("hits"))
     wanted = gold.groupBy("label").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(_pairs(F.col("n"))), F.lit(0)).alias("wanted"))
     d = lambda c: F.col(c).cast("double")

@@ -35,7 +35,8 @@ def is_generic(head: Column) -> Column:
 
 def grams(head: Column) -> Column:
     """Distinct character bigrams of a headline; none for a generic or very short one."""
-    two = F.transform(F.sequence(F.lit(1), F.greatest(F.length(head) - 1, F.lit(1))), lambda i: F.substring(head, i, 2))
+    chars, n = F.split(head, ""), F.greatest(F.length(head) - 1, F.lit(0))
+    two = F.zip_with(F.slice(chars, F.lit(1), n), F.slice(chars, F.lit(2), n), lambda a, b: F.concat(a, b))  # linear in the length
     return F.when((F.length(head) < 4) | is_generic(head), F.array().cast("array<string>")).otherwise(F.array_distinct(two))
 
 

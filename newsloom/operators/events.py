@@ -16,6 +16,14 @@ def generic_topics(news_topic: DataFrame, top: int = 3) -> DataFrame:
     return news_topic.groupBy("topic_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "topic_id").limit(top).select("topic_id")
 
 
+def topic_islands(placed: DataFrame, window_days: int = 7) -> DataFrame:
+    """``topic_id, day, start``: the distinct days of each topic in ``placed (topic_id, day)``, and the first day of the island that each belongs to."""
+    by_topic = Window.partitionBy("topic_id").orderBy("day")
+    starts = F.coalesce(F.datediff("day", F.lag("day").over(by_topic)) > window_days, F.lit(True))
+    days = placed.select("topic_id", "day").distinct()
+    return days.withColumn("start", F.last(F.when(starts, F.col("day")), ignorenulls=True).over(by_topic))
+
+
 def topical_clusters(items: DataFrame, news_topic: DataFrame, window_days: int = 7, exclude_top: int = 3, min_items: int = 1) -> DataFrame:
     """``news_id, cluster_id``: components of items that share a topic within ``window_days``.
 
@@ -28,10 +36,7 @@ def topical_clusters(items: DataFrame, news_topic: DataFrame, window_days: int =
         raise ValueError("window_days must not be negative")
     kept = news_topic.select("news_id", "topic_id").join(F.broadcast(generic_topics(news_topic, exclude_top)), "topic_id", "left_anti") if exclude_top else news_topic.select("news_id", "topic_id")
     placed = kept.join(items.select("news_id", F.col("broadcast_date").alias("day")), "news_id")
-    days = placed.select("topic_id", "day").distinct()
-    by_topic = Window.partitionBy("topic_id").orderBy("day")
-    starts = F.coalesce(F.datediff("day", F.lag("day").over(by_topic)) > window_days, F.lit(True))
-    islands = days.withColumn("start", F.last(F.when(starts, F.col("day")), ignorenulls=True).over(by_topic))
+    islands = topic_islands(placed, window_days)
     island = F.concat_ws("|", F.col("topic_id").cast("string"), F.col("start").cast("string"))
     member = materialize(placed.join(islands, ["topic_id", "day"]).select("news_id", island.alias("island")), "members")
     least = member.groupBy("news_id").agg(F.min("island").alias("a"), F.collect_set("island").alias("all"))

@@ -9,14 +9,18 @@ from newsloom.functions.text import ascii_lower
 
 
 def export_news(items: DataFrame, news_person: DataFrame, persons: DataFrame, news_org: DataFrame, orgs: DataFrame, news_topic: DataFrame, topics: DataFrame) -> DataFrame:
-    """Items with people and organizations by name and topics by relevance, as arrays of structs; one join for each kind."""
+    """Items with people ``(name, name_chinese, title)``, organizations ``(name, type)`` and topics ``(topic_id, name, category, relevance)``, as arrays of structs.
+
+    People and organizations go by name, topics by falling relevance; one join for each kind.
+    """
 
     def nested(links: DataFrame, dim: DataFrame, key: str, *columns: str, order=None) -> DataFrame:
         rows = links.join(dim, key).select("news_id", F.struct(*([order] if order is not None else []), *columns).alias("x"))
         return rows.groupBy("news_id").agg(F.array_sort(F.collect_list("x")).alias("x"))
 
-    people = nested(news_person, persons.select("person_id", "name"), "person_id", "name", "person_id").withColumnRenamed("x", "people")
-    org = nested(news_org, orgs.select("org_id", "name"), "org_id", "name", "org_id").withColumnRenamed("x", "organizations")
+    people = nested(news_person, persons.select("person_id", "name", "name_chinese", "title"), "person_id", "name", "name_chinese", "title", order=F.col("name_chinese").alias("o"))
+    people = people.select("news_id", F.transform("x", lambda x: F.struct(x["name"].alias("name"), x["name_chinese"].alias("name_chinese"), x["title"].alias("title"))).alias("people"))
+    org = nested(news_org, orgs.select("org_id", "name", "type"), "org_id", "name", "type").withColumnRenamed("x", "organizations")
     topic = nested(news_topic, topics.select("topic_id", "name", "category"), "topic_id", "topic_id", "name", "category", "relevance_score", order=(-F.col("relevance_score")).alias("o"))
     topic = topic.select("news_id", F.transform("x", lambda x: F.struct(x["topic_id"].alias("topic_id"), x["name"].alias("name"), x["category"].alias("category"), x["relevance_score"].alias("relevance"))).alias("topics"))
     excerpt = F.coalesce(F.nullif("summary", F.lit("")), F.substring("full_text", 1, 200))
@@ -34,11 +38,19 @@ def export_dates(items: DataFrame) -> DataFrame:
 
 
 def export_events(events: DataFrame, links: DataFrame, items: DataFrame, actors: DataFrame, relations: DataFrame, people: int = 10, related: int = 5) -> DataFrame:
-    """Events with their items, at most so many primary actors and related events, hottest first."""
-    own = links.join(items.select("news_id", "title", "broadcast_date"), "news_id").groupBy("event_id").agg(F.array_sort(F.collect_list(F.struct("broadcast_date", "news_id", "title"))).alias("items"))
-    who = actors.groupBy("event_id").agg(F.slice(F.array_sort(F.collect_set("person_id")), 1, people).alias("people"))
-    rel = relations.groupBy(F.col("source_event_id").alias("event_id")).agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("similarity_score")).alias("o"), "target_event_id"))), 1, related).alias("related"))
-    return events.join(own, "event_id", "left").join(who, "event_id", "left").join(rel.select("event_id", F.transform("related", lambda x: x["target_event_id"]).alias("related")), "event_id", "left").orderBy(F.desc("heat_score"), "event_id")
+    """Events with their items ``(news_id, title, date)``, at most so many key persons ``(name, role)`` and related events ``(event_id, name, similarity, type)``, hottest first.
+
+    ``actors (event_id, name, role)`` are the primary ones; ``events`` have an id and a name.
+    """
+    by_date = F.array_sort(F.collect_list(F.struct("broadcast_date", "news_id", "title")))
+    own = links.join(items.select("news_id", "title", "broadcast_date"), "news_id").groupBy("event_id").agg(by_date.alias("items"))
+    own = own.select("event_id", F.transform("items", lambda x: F.struct(x["news_id"].alias("news_id"), x["title"].alias("title"), x["broadcast_date"].alias("date"))).alias("items"))
+    who = actors.groupBy("event_id").agg(F.slice(F.array_sort(F.collect_set(F.struct("name", "role"))), 1, people).alias("key_persons"))
+    other = events.select(F.col("event_id").alias("target_event_id"), F.col("name").alias("target_name"))
+    rows = relations.join(other, "target_event_id").select(F.col("source_event_id").alias("event_id"), F.struct((-F.col("similarity_score")).alias("o"), "target_event_id", "target_name", "relation_type").alias("x"))
+    rel = rows.groupBy("event_id").agg(F.slice(F.array_sort(F.collect_list("x")), 1, related).alias("x"))
+    rel = rel.select("event_id", F.transform("x", lambda x: F.struct(x["target_event_id"].alias("event_id"), x["target_name"].alias("name"), (-x["o"]).alias("similarity"), x["relation_type"].alias("type"))).alias("related_events"))
+    return events.join(own, "event_id", "left").join(who, "event_id", "left").join(rel, "event_id", "left").orderBy(F.desc("heat_score"), "event_id")
 
 
 def dashboard_filter(articles: DataFrame, date=None, topic: str | None = None, person: str | None = None, keyword: str | None = None) -> DataFrame:

@@ -19,9 +19,9 @@ def selected(links: DataFrame, chosen: DataFrame, dim: DataFrame, key: str, top:
 
 
 def graph_nodes(chosen: DataFrame, people: DataFrame, orgs: DataFrame, topics: DataFrame) -> DataFrame:
-    """``id, kind, label`` of all nodes."""
-    kind = lambda df, key, name, k: df.select(F.concat(F.lit(f"{k}_"), F.col(key).cast("string")).alias("id"), F.lit(k).alias("kind"), F.substring(name, 1, 40).alias("label"))
-    return kind(chosen, "news_id", "title", "news").unionByName(kind(people, "person_id", "label", "person")).unionByName(kind(orgs, "org_id", "label", "org")).unionByName(kind(topics, "topic_id", "label", "topic"))
+    """``id, kind, label`` of all nodes; of a title the first 40 characters."""
+    kind = lambda df, key, name, k: df.select(F.concat(F.lit(f"{k}_"), F.col(key).cast("string")).alias("id"), F.lit(k).alias("kind"), F.col(name).alias("label"))
+    return kind(chosen.withColumn("title", F.substring("title", 1, 40)), "news_id", "title", "news").unionByName(kind(people, "person_id", "label", "person")).unionByName(kind(orgs, "org_id", "label", "org")).unionByName(kind(topics, "topic_id", "label", "topic"))
 
 
 def cooccurrence(links: DataFrame, chosen: DataFrame, people: DataFrame, limit: int = 50, least: int = 2) -> DataFrame:

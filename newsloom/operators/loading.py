@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -121,6 +122,25 @@ def stub(texts: pd.Series) -> pd.Series:
     return texts.map(one)
 
 
+class Busy(Exception):
+    """What a provider raises where another try may succeed: too many requests, an error of the server."""
+
+
+def with_retries(provider: Callable[[pd.Series], pd.Series], tries: int = 3, first_wait: float = 1.0, sleep: Callable[[float], None] = time.sleep) -> Callable[[pd.Series], pd.Series]:
+    """``provider`` with up to ``tries`` calls, and twice the wait before each further one, where it is :class:`Busy` or the network fails."""
+
+    def call(texts: pd.Series) -> pd.Series:
+        for i in range(tries):
+            try:
+                return provider(texts)
+            except (Busy, OSError):
+                if i + 1 == tries:
+                    raise
+                sleep(first_wait * 2**i)
+
+    return call
+
+
 def enrich(items: DataFrame, provider: Callable[[pd.Series], pd.Series] = stub, tasks: int = 8) -> DataFrame:
     """``news_id, status, result`` of each pending item; the provider turns texts into replies, a batch at a time.
 

@@ -87,7 +87,7 @@ def compare_coverage(items: DataFrame, news_person: DataFrame, persons: DataFram
     for name in dict.fromkeys(names):
         own = persons.where((F.col("name_chinese") == name) | like(F.col("name"), name) | contains(F.col("name_chinese"), name)).select(F.lit(name).alias("requested"), "person_id")
         asked = own if asked is None else asked.unionByName(own)
-    return items.join(news_person.join(F.broadcast(asked), "person_id"), "news_id").select("requested", "person_id", "news_id", "title", "broadcast_date").orderBy("requested", "broadcast_date", "news_id", "person_id")
+    return items.join(news_person.join(asked, "person_id"), "news_id").select("requested", "person_id", "news_id", "title", "broadcast_date").orderBy("requested", "broadcast_date", "news_id", "person_id")
 
 
 def list_events(events: DataFrame, links: DataFrame, status: str | None = None, importance: str | None = None, limit: int = 20) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from newsloom.schema import ORG_TYPES
+
 CATEGORIES = ("Economy", "Politics", "Military", "Technology", "Culture", "Environment")
 
 
@@ -26,10 +28,11 @@ class Relational:
         return o.select(F.col("o_orderkey").alias("news_id"), day.alias("broadcast_date"), order.alias("order_in_broadcast"), title.alias("title"), F.concat(title, F.lit(" order "), F.col("o_orderkey").cast("string")).alias("full_text"), F.when(F.col("o_orderstatus") == "F", F.col("o_orderpriority")).alias("summary"), F.col("o_custkey").alias("event_id"))
 
     def persons(self) -> DataFrame:
-        return self.t("supplier").select(F.col("s_suppkey").alias("person_id"), F.col("s_name").alias("name"), F.col("s_name").alias("name_chinese"), F.col("s_nationkey").alias("organization_id"))
+        return self.t("supplier").select(F.col("s_suppkey").alias("person_id"), F.col("s_name").alias("name"), F.upper("s_name").alias("name_chinese"), F.concat(F.lit("Supplier of nation "), F.col("s_nationkey").cast("string")).alias("title"), F.col("s_nationkey").alias("organization_id"))
 
     def orgs(self) -> DataFrame:
-        return self.t("nation").select(F.col("n_nationkey").alias("org_id"), F.col("n_name").alias("name"))
+        kind = F.element_at(F.array(*map(F.lit, ORG_TYPES)), F.pmod("n_regionkey", F.lit(len(ORG_TYPES))).cast("int") + 1)
+        return self.t("nation").select(F.col("n_nationkey").alias("org_id"), F.col("n_name").alias("name"), kind.alias("type"))
 
     def topics(self) -> DataFrame:
         n = F.pmod(F.substring("p_brand", 7, 9).cast("int"), F.lit(len(CATEGORIES)))
@@ -55,8 +58,8 @@ class Relational:
 SQL_R = f"""
 items as (select o_orderkey as news_id, cast(o_orderdate as date) as broadcast_date, cast(row_number() over (partition by cast(o_orderdate as date) order by o_orderkey) as int) as order_in_broadcast,
   o_orderpriority || ' ' || o_orderstatus as title, o_orderpriority || ' ' || o_orderstatus || ' order ' || o_orderkey as full_text, case when o_orderstatus = 'F' then o_orderpriority end as summary, o_custkey as event_id from orders),
-persons as (select s_suppkey as person_id, s_name as name, s_nationkey as organization_id from supplier),
-orgs as (select n_nationkey as org_id, n_name as name from nation),
+persons as (select s_suppkey as person_id, s_name as name, upper(s_name) as name_chinese, 'Supplier of nation ' || s_nationkey as title, s_nationkey as organization_id from supplier),
+orgs as (select n_nationkey as org_id, n_name as name, ([{', '.join(repr(c) for c in ORG_TYPES)}])[cast(n_regionkey as int) % {len(ORG_TYPES)} + 1] as type from nation),
 topics as (select distinct p_brand as topic_id, p_brand as name, ([{', '.join(repr(c) for c in CATEGORIES)}])[cast(substr(p_brand, 7) as int) % {len(CATEGORIES)} + 1] as category from part),
 news_person as (select distinct l_orderkey as news_id, l_suppkey as person_id from lineitem),
 news_org as (select distinct l_orderkey as news_id, s_nationkey as org_id from lineitem join supplier on l_suppkey = s_suppkey),
@@ -73,15 +76,15 @@ def stream_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as articles: the first line is the title, language and source are topics, the source is the organization."""
-    title = F.substring(F.split("text", "\n").getItem(0), 1, 60)
+    title = F.split("text", "\n").getItem(0)
     d = table(spark, sf_dir, "documents").where("text is not null")
     long_words = F.array_sort(F.array_distinct(F.filter(F.split(title, " "), lambda w: F.length(w) >= 5)))
-    return d.select(F.col("doc_id").alias("news_id"), title.alias("title"), F.col("text").alias("full_text"), F.expr("date_add(date '2024-01-01', cast(doc_id % 30 as int))").alias("day"), F.array("lang", "source").alias("topics"), F.array(F.concat(F.lit("by "), F.col("source"))).alias("people"), F.array("source").alias("organizations"), long_words.alias("keywords"), F.when(F.col("lang") == "en", title).alias("summary"), F.substring("text", 1, 200).alias("excerpt"))
+    return d.select(F.col("doc_id").alias("news_id"), title.alias("title"), F.col("text").alias("full_text"), F.expr("date_add(date '2024-01-01', cast(doc_id % 30 as int))").alias("day"), F.array("lang", "source").alias("topics"), F.array(F.concat(F.lit("by "), F.col("source"))).alias("people"), F.array("source").alias("organizations"), long_words.alias("keywords"), F.when(F.col("lang") == "en", title).alias("summary"), F.substring("text", 1, 200).alias("excerpt"), F.concat(F.lit("https://"), F.col("source"), F.lit(".example/"), F.col("doc_id").cast("string")).alias("url"))
 
 
 SQL_T = r"""
-articles as (select doc_id as news_id, substr(split_part(text, chr(10), 1), 1, 60) as title, text as full_text, date '2024-01-01' + cast(doc_id % 30 as int) as day, [lang, source] as topics, ['by ' || source] as people, [source] as organizations,
-  list_sort(list_distinct(list_filter(string_split(substr(split_part(text, chr(10), 1), 1, 60), ' '), lambda w: length(w) >= 5))) as keywords, case when lang = 'en' then substr(split_part(text, chr(10), 1), 1, 60) end as summary, substr(text, 1, 200) as excerpt from documents where text is not null),
+articles as (select doc_id as news_id, split_part(text, chr(10), 1) as title, text as full_text, date '2024-01-01' + cast(doc_id % 30 as int) as day, [lang, source] as topics, ['by ' || source] as people, [source] as organizations,
+  list_sort(list_distinct(list_filter(string_split(split_part(text, chr(10), 1), ' '), lambda w: length(w) >= 5))) as keywords, case when lang = 'en' then split_part(text, chr(10), 1) end as summary, substr(text, 1, 200) as excerpt, 'https://' || source || '.example/' || doc_id as url from documents where text is not null),
 heads as (select *, lower(regexp_replace(trim(regexp_replace(title, '^【[^】]{1,32}】', '')), '[^\p{L}\p{N}]+', '', 'g')) as head from articles),
 prep as (select *, case when length(head) < 4 or head in ('国内联播快讯', '国际联播快讯', '联播快讯', '新闻联播') then [] else list_distinct(list_transform(range(1, length(head)), lambda i: substr(head, cast(i as int), 2))) end as grams from heads)
 """

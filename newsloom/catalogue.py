@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.bindings import SQL_EDGES, SQL_PAIRS, SQL_R, SQL_T, Relational, articles, stream_links, table
-from newsloom.functions.text import grams, headline, news_id
-from newsloom.operators import annotation, clusters, events, exports, graph, loading, metrics, search
+from newsloom.functions.text import grams, headline, news_id, safe_url
+from newsloom.operators import annotation, clusters, events, exports, graph, loading, metrics, report, search
 from newsloom.sources import html, markdown
 from newsloom.streaming import ingest
 
@@ -41,6 +41,16 @@ def search_news(spark, d):
     return search.search_news(articles(spark, d).withColumnRenamed("day", "broadcast_date"), KEYWORD)
 
 
+@query(_SEARCH.replace(f"'%{KEYWORD}%'", "'%on the%'").replace("limit 50", "limit 10"))
+def search_relevance_topk(spark, d):
+    return search.search_news(articles(spark, d).withColumnRenamed("day", "broadcast_date"), "On The", 10)
+
+
+@query("select page_id, case when regexp_matches(lower(url), '^https?:') then url end as url from pages")
+def safe_urls(spark, d):
+    return table(spark, d, "pages").select("page_id", safe_url(F.col("url")).alias("url"))
+
+
 @query(f"with {SQL_R} select news_id, title, broadcast_date from items where news_id in (select news_id from news_person join persons using (person_id) where name = '{PERSON}')")
 def person_profile_items(spark, d):
     r = Relational(spark, d)
@@ -214,13 +224,24 @@ def detected_events(spark, d):
     f"with {SQL_R}, pt as (select distinct l_orderkey as news_id, p_brand as topic_id from lineitem join part on l_partkey = p_partkey), day as (select distinct topic_id, broadcast_date from pt join items using (news_id)), g as (select *, coalesce(broadcast_date - lag(broadcast_date) over (partition by topic_id order by broadcast_date) > 7, true) as s from day), i as (select *, sum(s::int) over (partition by topic_id order by broadcast_date) as k from g) select topic_id, count(distinct k) as islands, count(*) as days from i group by topic_id"
 )
 def legacy_islands(spark, d):
-    from pyspark.sql import Window
+    r = Relational(spark, d)
+    placed = r.news_topic().join(r.items().select("news_id", F.col("broadcast_date").alias("day")), "news_id")
+    return events.topic_islands(placed).groupBy("topic_id").agg(F.count_distinct("start").alias("islands"), F.count("*").alias("days"))
 
+
+_WEEK = f"""with recursive {SQL_R}, pt as (select distinct l_orderkey as news_id, cast(l_partkey as varchar) as topic_id from lineitem), generic as (select topic_id from pt group by topic_id order by count(*) desc, topic_id limit 3),
+placed as (select news_id, topic_id, broadcast_date from pt join items using (news_id) where topic_id not in (select topic_id from generic)),
+chain as (select a.news_id as a, lag(a.news_id) over (partition by topic_id order by broadcast_date, a.news_id) as b, a.broadcast_date - lag(a.broadcast_date) over (partition by topic_id order by broadcast_date, a.news_id) as gap from placed a),
+edge as (select distinct a, b from chain where b is not null and gap <= 7 and a <> b), twoway as (select a, b from edge union select b, a from edge),
+reach(a, b) as (select news_id, news_id from items union select reach.a, twoway.b from reach join twoway on reach.b = twoway.a)"""
+
+
+@query(f"{_WEEK} select a as news_id, min(b) as cluster_id from reach group by a")
+def window_clusters(spark, d):
+    """Components of orders that share a part within 7 days of each other."""
     r = Relational(spark, d)
-    days = r.news_topic().join(r.items().select("news_id", "broadcast_date"), "news_id").select("topic_id", "broadcast_date").distinct()
-    w = Window.partitionBy("topic_id").orderBy("broadcast_date")
-    start = F.coalesce(F.datediff("broadcast_date", F.lag("broadcast_date").over(w)) > 7, F.lit(True))
-    return days.withColumn("start", start).groupBy("topic_id").agg(F.count_if("start").alias("islands"), F.count("*").alias("days"))
+    topics = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("news_id"), F.col("l_partkey").cast("string").alias("topic_id")).distinct()
+    return events.topical_clusters(r.items(), topics)
 
 
 # clustering of articles
@@ -257,7 +278,9 @@ def constrained_clusters(spark, d):
     return clusters.cluster(articles(spark, d), "constrained")
 
 
-@query()
+@query(
+    f"with recursive {SQL_EDGES}, twoway as (select l as a, r as b from edges union select r, l from edges), reach(a, b) as (select news_id, news_id from articles union select reach.a, twoway.b from reach join twoway on reach.b = twoway.a), comp as (select a as news_id, min(b) as cluster_id from reach group by a) select 'preview-' || substr(sha256(string_agg(cast(news_id as varchar), '|' order by cast(news_id as varchar))), 1, 16) as preview_id, cluster_id, string_agg(cast(news_id as varchar), ',' order by cast(news_id as varchar)) as members from comp group by cluster_id having count(*) >= 2 order by cluster_id limit 15"
+)
 def cluster_previews(spark, d):
     return clusters.preview(clusters.cluster(articles(spark, d), "connected")).withColumn("members", F.array_join(F.transform("members", lambda x: x.cast("string")), ","))
 
@@ -330,6 +353,48 @@ def annotation_strata(spark, d):
     return annotation.strata_counts(articles(spark, d))
 
 
+_DRAWN = "sha256(concat_ws('|', '20261029', cast({0} as varchar), cast({1} as varchar)))"
+
+
+@query(
+    f"""with {SQL_EDGES}, chosen as (select news_id from articles order by sha256('20261029|' || news_id), news_id limit 1800), p as (select least(a.news_id, b.news_id) as l, greatest(a.news_id, b.news_id) as r, bool_or(list_has_any(a.topics, b.topics) or list_has_any(a.people, b.people) or list_has_any(a.organizations, b.organizations)) as rel from articles a join articles b on a.news_id <> b.news_id and abs(a.day - b.day) <= 7 where a.news_id in (from chosen) group by 1, 2),
+x as (select l, r, 'model_positive' as stratum, round(raw, 6) as score from edges union all select p.l, p.r, case when rel then 'topical_unmatched' else 'random_control' end, null from p anti join edges e on p.l = e.l and p.r = e.r),
+y as (select *, row_number() over (partition by stratum order by {_DRAWN.format('l', 'r')}, l, r) as rk, case stratum when 'model_positive' then 1 when 'topical_unmatched' then 2 else 3 end as turn from x),
+z as (select * from y order by rk > 30, turn, rk limit 90)
+select z.l as "left", z.r as "right", stratum, a.title as left_title, b.title as right_title, a.day as left_date, b.day as right_date, a.url as left_url, b.url as right_url, coalesce(nullif(a.excerpt, ''), a.summary) as left_excerpt, coalesce(nullif(b.excerpt, ''), b.summary) as right_excerpt, score as matched_pair_score,
+  array_to_string(list_sort(list_distinct(list_intersect(a.topics, b.topics))), ',') as shared_topics, array_to_string(list_sort(list_distinct(list_intersect(a.people, b.people))), ',') as shared_people, array_to_string(list_sort(list_distinct(list_intersect(a.organizations, b.organizations))), ',') as shared_organizations
+from z join articles a on a.news_id = z.l join articles b on b.news_id = z.r"""
+)
+def annotation_queue(spark, d):
+    q = annotation.make_queue(articles(spark, d))
+    flat = lambda c: F.array_join(f"evidence.{c}", ",").alias(c)
+    return q.select("left", "right", "stratum", "source.*", "evidence.matched_pair_score", *[flat(f"shared_{c}") for c in ("topics", "people", "organizations")])
+
+
+def _reviews(spark, d):
+    q, t = F.col("quality") == 1, F.col("toxic") == 1
+    who = lambda i, label: F.struct(F.lit(i).alias("id"), label.alias("label"))
+    settled = F.when(~q & ~t, F.struct(F.lit("RELATED_NOT_SAME").alias("label"), F.lit("third").alias("reviewer")))
+    second = F.when(F.pmod("doc_id", F.lit(5)) > 0, F.when(t, "SAME_EVENT").otherwise("DIFFERENT_EVENT"))
+    return table(spark, d, "labels").select(F.col("doc_id").alias("left"), (-1 - F.col("doc_id")).alias("right"), who("one", F.when(q, "SAME_EVENT").otherwise("UNSURE")).alias("reviewer_1"), who("two", second).alias("reviewer_2"), settled.alias("adjudication"))
+
+
+@query(
+    "with r as (select case when quality = 1 then 'SAME_EVENT' else 'UNSURE' end as a, case when doc_id % 5 > 0 then case when toxic = 1 then 'SAME_EVENT' else 'DIFFERENT_EVENT' end end as b, case when quality = 0 and toxic = 0 then 'RELATED_NOT_SAME' end as c from labels), s as (select *, b is not null as both_, coalesce(a = b and a <> 'UNSURE', false) as agreed, b is not null and c is not null as settled from r), t as (select count(*) as total_pairs, count(*) filter (where not both_) as unreviewed, count(*) filter (where both_) as double_reviewed, count(*) filter (where agreed) as agreed_and_definitive, count(*) filter (where settled and not agreed) as adjudicated, count(*) filter (where both_ and not agreed and not settled) as needs_adjudication, count(*) filter (where agreed or settled) as ready_definitive_pairs from s), n as (select count(*)::double as n, count(*) filter (where a = b)::double as k from s where both_), m as (select coalesce(sum(x.n * y.n), 0)::double as m from (select a, count(*) as n from s where both_ group by a) x join (select b, count(*) as n from s where both_ group by b) y on x.a = y.b) select t.*, round(k / n, 6) as reviewer_agreement, round((k / n - m / (n * n)) / (1 - m / (n * n)), 6) as cohens_kappa from t, n, m"
+)
+def review_summary(spark, d):
+    r = _reviews(spark, d)
+    annotation.check_reviews(r.where("reviewer_2.label is not null"))
+    return annotation.review_summary(r)
+
+
+@query()
+def ablation_report(spark, d):
+    """Blocking and the three variants of clustering against the language as gold label, a row for each variant."""
+    gold = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("item"), F.col("lang").alias("label"))
+    return report.ablations(articles(spark, d), gold)
+
+
 # graph
 
 
@@ -345,7 +410,7 @@ def _graph(spark, d):
 
 _GRAPH = f"""{SQL_R}, chosen as (select * from items order by broadcast_date desc, order_in_broadcast, news_id limit 100), np as (select * from news_person where news_id in (select news_id from chosen)), no_ as (select * from news_org where news_id in (select news_id from chosen)), nt as (select * from news_topic where news_id in (select news_id from chosen)),
 pp as (select person_id from np group by 1 order by count(*) desc, person_id limit 30), oo as (select org_id from no_ group by 1 order by count(*) desc, org_id limit 30), tt as (select topic_id from nt group by 1 order by count(*) desc, topic_id limit 15),
-nodes as (select 'news_' || news_id as id, 'news' as kind, substr(title, 1, 40) as label from chosen union all select 'person_' || person_id, 'person', substr(name, 1, 40) from persons where person_id in (from pp) union all select 'org_' || org_id, 'org', substr(name, 1, 40) from orgs where org_id in (from oo) union all select 'topic_' || topic_id, 'topic', substr(name, 1, 40) from topics where topic_id in (from tt)),
+nodes as (select 'news_' || news_id as id, 'news' as kind, substr(title, 1, 40) as label from chosen union all select 'person_' || person_id, 'person', name from persons where person_id in (from pp) union all select 'org_' || org_id, 'org', name from orgs where org_id in (from oo) union all select 'topic_' || topic_id, 'topic', name from topics where topic_id in (from tt)),
 co as (select a.person_id as a, b.person_id as b, count(*) as weight from np a join np b on a.news_id = b.news_id and a.person_id < b.person_id where a.person_id in (from pp) and b.person_id in (from pp) group by all having count(*) >= 2 order by weight desc, a, b limit 50),
 edges as (select 'news_' || news_id as source, 'person_' || person_id as target, 'mentions' as kind, 1::bigint as weight from np where person_id in (from pp) union all select 'news_' || news_id, 'org_' || org_id, 'mentions', 1 from no_ where org_id in (from oo) union all select 'news_' || news_id, 'topic_' || topic_id, 'about', 1 from nt where topic_id in (from tt) union all select 'person_' || a, 'person_' || b, 'co_occur', weight from co)"""
 
@@ -366,7 +431,15 @@ def cooccurrence(spark, d):
     return graph.cooccurrence(r.news_person(), chosen, people)
 
 
-@query()
+@query(
+    f"""with recursive {_GRAPH}, e as (select distinct source as a, target as b from edges where source <> target union select distinct target, source from edges where source <> target), size as (select count(*)::double as n from nodes), deg as (select a as id, count(*)::double as k from e group by a),
+walk(step, id, rank) as (select 0, id, 1.0::double / n from nodes, size union all
+  select step + 1, id, any_value(0.15::double / n + 0.85::double * idle / n) + 0.85::double * sum(got) from (
+    select w.step, e.b as id, w.rank / k as got, 0.0::double as x from walk w join deg on deg.id = w.id join e on e.a = w.id union all select step, id, 0.0::double, 0.0::double from walk) s, size,
+    (select coalesce(sum(rank), 0.0::double) as idle from walk where id not in (select id from deg)) i where step < 30 group by step, id),
+final as (select * from walk where step = 30), span as (select min(rank) as lo, max(rank) as hi from final), norm as (select id, round(case when hi - lo > 1e-15 then (rank - lo) / (hi - lo) else 1.0::double / n end, 4) as pagerank from final, span, size)
+select id, pagerank, kind, (case kind when 'news' then 4 when 'topic' then 8 else 6 end) + greatest(0.0::double, least(1.0::double, pagerank)) * (case kind when 'news' then 14 else 18 end) as radius from norm join nodes using (id)"""
+)
 def pagerank(spark, d):
     nodes, edges, _ = _graph(spark, d)
     return graph.radius(graph.normalised(graph.pagerank(nodes, edges)).join(nodes.select("id", "kind"), "id"))
@@ -395,9 +468,11 @@ def import_conflicts(spark, d):
     return loading.compare_import(own, own.withColumn("full_text", F.replace("full_text", F.lit("a"), F.lit("A")))).groupBy("state").agg(F.count("*").alias("items"))
 
 
-@query(f"with m as ({_IMPORT}), n as (select *, row_number() over (partition by broadcast_date order by order_in_broadcast) as k from m) select strftime(broadcast_date, '%Y%m%d') || '.md' as file, cast(k as int) as order_in_broadcast, trim(title) as title from n")
+@query(f"with m as ({_IMPORT}), n as (select *, row_number() over (partition by broadcast_date order by order_in_broadcast) as k from m) select strftime(broadcast_date, '%Y%m%d') || '.md' as file, cast(k as int) as order_in_broadcast, trim(title) as title, case when order_in_broadcast % 2 = 1 then 'https://news.example/' || strftime(broadcast_date, '%Y%m%d') || '?item=' || order_in_broadcast end as url, array_to_string(list_filter(string_split(full_text, chr(10)), lambda x: trim(x) <> '' and trim(x) <> '---' and not starts_with(x, '# ')), chr(10)) as full_text from n")
 def import_markdown_roundtrip(spark, d):
-    return markdown.parse(markdown.render(_broadcasts(spark, d).withColumn("url", F.lit(None).cast("string")))).select("file", "order_in_broadcast", "title")
+    url = F.concat(F.lit("https://news.example/"), F.date_format("broadcast_date", "yyyyMMdd"), F.lit("?item="), F.col("order_in_broadcast").cast("string"))
+    own = _broadcasts(spark, d).withColumn("url", F.when(F.col("order_in_broadcast") % 2 == 1, url))
+    return markdown.parse(markdown.render(own)).select("file", "order_in_broadcast", "title", "url", "full_text")
 
 
 @query("select 'orders without lines' as relation, cast(o_orderkey as varchar) as value from orders where o_orderkey not in (select l_orderkey from lineitem) union all select 'customers of orders', cast(o_custkey as varchar) from (select distinct o_custkey from orders) where o_custkey not in (select c_custkey from customer) union all select 'labelled documents', cast(doc_id as varchar) from labels where doc_id not in (select doc_id from documents) union all select 'parts of lines', cast(l_partkey as varchar) from (select distinct l_partkey from lineitem) where l_partkey not in (select p_partkey from part)")
@@ -436,7 +511,15 @@ def enrich_status(spark, d):
     return loading.enrich(items).groupBy("status").agg(F.count("*").alias("items"))
 
 
-@query()
+_TEXT_OF = "array_to_string(list_transform(regexp_split_to_array({0}, '<[^>]*>'), lambda run: trim(replace(replace(replace(replace(run, '&quot;', chr(34)), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'))), '')"
+
+
+@query(
+    f"""with a as (select page_id, string_split(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '<p>') as s from pages), h as (select page_id, regexp_extract(s[1], '(?s)<h1>(.*?)</h1>', 1) as t, s[2:] as s from a),
+f as (select page_id, t, list_transform(range(1, len(s) + 1), lambda i: case when contains(s[i], '</p>') then split_part(s[i], '</p>', 1) else array_to_string(s[i:], '') end) as f from h),
+x as (select page_id, 1::int as order_in_broadcast, {_TEXT_OF.format('t')} as title, array_to_string(list_transform(f, lambda y: {_TEXT_OF.format('y')}), chr(10)) as full_text from f)
+select * from x where title <> '' and length(full_text) >= 20 and not regexp_matches(title, '网络原因或无此页面|请稍后尝试|页面不存在|访问出错')"""
+)
 def html_extract(spark, d):
     s = html.Selectors(main="", article="article", title="h1", any_title="h1", body="")
     return html.usable(html.extract(table(spark, d, "pages"), "page_id", s))
@@ -461,19 +544,22 @@ def topic_tiles(spark, d):
     return exports.topic_tiles(export_topics(spark, d))
 
 
-@query(f"with {SQL_R}, p as (select news_id, string_agg(name, ', ' order by name) as people from news_person join persons using (person_id) group by 1), o as (select news_id, string_agg(name, ', ' order by name) as organizations from news_org join orgs using (org_id) group by 1), t as (select news_id, string_agg(topic_id, ', ' order by relevance_score desc, topic_id) as topics from news_topic group by 1) select news_id, title, broadcast_date, coalesce(nullif(summary, ''), substr(full_text, 1, 200)) as excerpt, coalesce(people, '') as people, coalesce(organizations, '') as organizations, coalesce(topics, '') as topics from items left join p using (news_id) left join o using (news_id) left join t using (news_id)")
+@query(f"with {SQL_R}, p as (select news_id, string_agg(name || '/' || name_chinese || '/' || title, ', ' order by name_chinese) as people from news_person join persons using (person_id) group by 1), o as (select news_id, string_agg(name || '/' || type, ', ' order by name) as organizations from news_org join orgs using (org_id) group by 1), t as (select news_id, string_agg(topic_id || '/' || name || '/' || category, ', ' order by relevance_score desc, topic_id) as topics from news_topic join topics using (topic_id) group by 1) select news_id, title, broadcast_date, coalesce(nullif(summary, ''), substr(full_text, 1, 200)) as excerpt, coalesce(people, '') as people, coalesce(organizations, '') as organizations, coalesce(topics, '') as topics from items left join p using (news_id) left join o using (news_id) left join t using (news_id)")
 def export_news(spark, d):
     r = Relational(spark, d)
     out = exports.export_news(r.items(), r.news_person(), r.persons(), r.news_org(), r.orgs(), r.news_topic(), r.topics())
-    flat = lambda c, f: F.coalesce(F.array_join(F.transform(c, lambda x: x[f]), ", "), F.lit("")).alias(c)
-    return out.select("news_id", "title", "broadcast_date", "excerpt", flat("people", "name"), flat("organizations", "name"), flat("topics", "topic_id"))
+    flat = lambda c, *f: F.coalesce(F.array_join(F.transform(c, lambda x: F.concat_ws("/", *[x[k] for k in f])), ", "), F.lit("")).alias(c)
+    return out.select("news_id", "title", "broadcast_date", "excerpt", flat("people", "name", "name_chinese", "title"), flat("organizations", "name", "type"), flat("topics", "topic_id", "name", "category"))
 
 
-@query(f"with {_MONTHS} select ev.event_id, ev.news_count, (select string_agg(cast(news_id as varchar), ',' order by broadcast_date, news_id) from items where strftime(broadcast_date, '%Y-%m') = ev.event_id) as items, (select string_agg(cast(person_id as varchar), ',' order by person_id) from (select person_id from ep where ep.event_id = ev.event_id order by person_id limit 10)) as people, (select string_agg(target_event_id, ',' order by least(0.2 * shared, 1.0) desc, target_event_id) from top where source_event_id = ev.event_id) as related from ev")
+@query(f"with {_MONTHS} select ev.event_id, ev.news_count, (select string_agg(news_id || '/' || title || '/' || broadcast_date, ',' order by broadcast_date, news_id) from items where strftime(broadcast_date, '%Y-%m') = ev.event_id) as items, (select string_agg(name || '/primary_actor', ',' order by name) from (select name from ep join persons using (person_id) where ep.event_id = ev.event_id order by name limit 10)) as key_persons, (select string_agg(target_event_id || '/Month ' || target_event_id || '/' || least(0.2::double * shared, 1.0::double) || '/thematic', ',' order by least(0.2 * shared, 1.0) desc, target_event_id) from top where source_event_id = ev.event_id) as related_events from ev")
 def export_events(spark, d):
     own, ev, people = _months(spark, d)
-    out = exports.export_events(ev.withColumn("heat_score", F.col("news_count").cast("double")), own.select("news_id", "event_id"), own.drop("event_id"), people, events.related_events(people, ev))
-    return out.select("event_id", "news_count", F.array_join(F.transform("items", lambda x: x["news_id"].cast("string")), ",").alias("items"), F.array_join(F.transform("people", lambda x: x.cast("string")), ",").alias("people"), F.array_join("related", ",").alias("related"))
+    named = ev.withColumn("heat_score", F.col("news_count").cast("double")).withColumn("name", F.concat(F.lit("Month "), F.col("event_id")))
+    actors = people.join(Relational(spark, d).persons().select("person_id", "name"), "person_id").select("event_id", "name", F.lit("primary_actor").alias("role"))
+    out = exports.export_events(named, own.select("news_id", "event_id"), own.drop("event_id"), actors, events.related_events(people, ev))
+    flat = lambda c, *f: F.array_join(F.transform(c, lambda x: F.concat_ws("/", *[x[k].cast("string") for k in f])), ",").alias(c)
+    return out.select("event_id", "news_count", flat("items", "news_id", "title", "date"), flat("key_persons", "name", "role"), flat("related_events", "event_id", "name", "similarity", "type"))
 
 
 _FILTER = f"with {SQL_T}, f as (select * from articles where list_contains(topics, 'en') and (contains(lower(title), 'an') or contains(lower(coalesce(summary, '')), 'an') or contains(lower(excerpt), 'an')))"

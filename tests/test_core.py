@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from newsloom.functions import text
-from newsloom.operators import annotation, clusters, events, exports, graph, loading, metrics, search
+from newsloom.operators import annotation, clusters, events, exports, graph, loading, metrics, report, search
 from newsloom.plans import publish
 from newsloom.plans.components import connected_components
 from newsloom.sources import html, jsonl, markdown
@@ -148,6 +148,15 @@ def test_metrics_known_values(spark):
     for bad in ({"a": "x", "b": "x"}, {"a": "x", "b": "x", "c": " "}, {"a": "x", "b": "x", "c": "y", "d": "y"}):
         with pytest.raises(ValueError):
             metrics.check_partition(p(bad), gold)
+    for bad in ({"a": "x", "b": "x"}, {"a": "x", "b": "x", "c": "y", "d": "y"}):  # an item is missing, or unknown
+        for measure in (metrics.pairwise_metrics, metrics.bcubed_metrics):
+            with pytest.raises(ValueError):
+                measure(gold, p(bad))
+    for pair in (("a", "zz"), ("a", "a")):
+        with pytest.raises(ValueError):
+            metrics.pair_retrieval(gold, spark.createDataFrame([pair, ("a", "b")], "left string, right string"))
+    none = spark.createDataFrame([], "item string, label string")
+    assert one(metrics.bcubed_metrics(none, none)) == {"precision": 1.0, "recall": 1.0, "f1": 1.0}
     single = p({"a": "1", "b": "2"})
     assert one(metrics.pairwise_metrics(single, single))["precision"] == 1 == one(metrics.pairwise_metrics(single, single))["recall"]
 
@@ -174,6 +183,8 @@ def test_reviews(spark):
     for bad in (("a", "a", None, None, None), ("b", "a", None, None, None), ("x", "y", ("r1", "MAYBE"), None, None), ("x", "y", ("r1", "UNSURE"), ("r1", "UNSURE"), None)):
         with pytest.raises(ValueError):
             annotation.check_reviews(df.unionByName(spark.createDataFrame([bad], REVIEW)))
+    s = one(annotation.review_summary(df))
+    assert [s[k] for k in ("total_pairs", "unreviewed", "double_reviewed", "agreed_and_definitive", "adjudicated", "needs_adjudication", "ready_definitive_pairs", "reviewer_agreement")] == [5, 1, 4, 1, 1, 2, 2, 0.5]
     k = one(annotation.agreement(spark.createDataFrame([("S", "S"), ("S", "D"), ("D", "D"), ("D", "D"), (None, "S")], "a string, b string")))
     assert k["n"] == 4 and k["agreement"] == 0.75 and k["kappa"] == pytest.approx(0.5)
     assert one(annotation.agreement(spark.createDataFrame([], "a string, b string")))["kappa"] is None
@@ -183,6 +194,9 @@ def test_queue_is_reproducible_and_counts_agree(spark):
     c = corpus(spark)
     q = [tuple(r)[:3] for r in annotation.make_queue(c, limit=9).collect()]
     assert q == [tuple(r)[:3] for r in annotation.make_queue(c.repartition(5), limit=9).collect()] and len(q) == len(set(q)) == 9
+    first = next(r for r in annotation.make_queue(c, limit=9).collect() if r["stratum"] == "model_positive")
+    assert first["evidence"]["matched_pair_score"] >= 0.34 and first["source"]["left_title"] and first["source"]["left_url"] is None and first["reviewer_1"] is None
+    assert annotation.make_queue(c, limit=6, per_row=1).count() == 6
     counted = {r["stratum"]: r["pairs"] for r in annotation.strata_counts(c).collect()}
     made = {r["stratum"]: r["count"] for r in annotation.pair_strata(c).groupBy("stratum").count().collect()}
     assert {k: v for k, v in counted.items() if v} == made
@@ -234,17 +248,25 @@ def files(spark, rows):
 
 
 def test_markdown_round_trip_and_errors(spark):
-    page = "# head\nlost\n\n## One\n<!-- source-url: https://x.example/1 -->\n\nbody a\n\nbody b\n---\n## Two \nbody c\n"
+    page = "# head\nlost\n\n## One\n<!-- source_url: https://x.example/1 -->\n\nbody a\n\nbody b\n---\n## Two \nbody c\n"
     got = sorted(tuple(r)[2:] for r in markdown.parse(files(spark, [("20260901.md", page)])).select("file", "news_id", "order_in_broadcast", "title", "full_text", "url", "error").collect())
     assert got == [(1, "One", "body a\nbody b", "https://x.example/1", None), (2, "Two", "body c", None, None)]
     items = markdown.parse(files(spark, [("20260901.md", page)]))
     again = markdown.parse(markdown.render(items))
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, items.collect()))
-    errors = {r["file"]: r["error"] for r in markdown.parse(files(spark, [("20260230.md", "## A\nb"), ("x.md", "## A\nb"), ("20260902.md", "## A\n"), ("20260903.md", "## A\n<!-- source-url: ftp://x -->\nb")])).collect()}
+    errors = {r["file"]: r["error"] for r in markdown.parse(files(spark, [("20260230.md", "## A\nb"), ("x.md", "## A\nb"), ("20260902.md", "## A\n"), ("20260903.md", "## A\n<!-- source_url: ftp://x -->\nb")])).collect()}
     assert errors == {"20260230.md": "file name is no date", "x.md": "file name is no date", "20260902.md": "no text", "20260903.md": "url is not http"}
     assert [r["date"] for r in markdown.broadcast_dates(spark, "2026-03-01", 2).collect()] == ["20260301", "20260228"]
 
 
+def test_markdown_files_as_scrapers_write_them(spark):
+    page = "# 新闻联播 2026-09-01\n\n## 标题一\n\n<!-- source_url: https://tv.example/a?x=1 -->\n\n正文一\n第二段\n\n---\n\n## 标题二\n\n正文 <!-- source-url: https://no.example -->\n\n---\n\n"
+    got = sorted(tuple(r) for r in markdown.parse(files(spark, [("20260901.md", page)])).select("order_in_broadcast", "title", "full_text", "url", "error").collect())
+    assert got == [(1, "标题一", "正文一\n第二段", "https://tv.example/a?x=1", None), (2, "标题二", "正文 <!-- source-url: https://no.example -->", None, None)]
+    empty = "## A\n<!-- source_url:  -->\nb"
+    assert markdown.parse(files(spark, [("20260901.md", empty)])).first()["error"] == "url is not http"
+
+
 def test_import_is_idempotent(spark):
     items = markdown.parse(files(spark, [("20260901.md", "## One\nbody a\n## Two\nbody b")])).drop("file", "error")
     none = items.where("false").withColumn("word_count", F.lit(None).cast("int")).withColumn("summary", F.lit(None).cast("string"))
@@ -281,10 +303,41 @@ def test_html(spark):
     page = "<body><main class='article-content x'><article class='content-section'><h2 class='content-heading'>T &amp; 1</h2><div class='content-body'><p> first <b>bold</b></p><p></p><p>second paragraph</p></div></article><article class='content-section'><h2>short</h2><div class='content-body'><p>x</p></div></article><article class='content-section'><h2>third</h2><div class='content-body'><p>a body that is long enough</p></div></article></main><article class='content-section'><h2>out</h2></article></body>"
     df = spark.createDataFrame([(1, page), (2, "<p>no main</p>"), (3, None)], "page_id int, html string")
     got = sorted(map(tuple, html.extract(df, "page_id").collect()))
-    assert got == [(1, 1, "T & 1", "first bold\nsecond paragraph"), (1, 2, "short", "x"), (1, 3, "third", "a body that is long enough")]
+    assert got == [(1, 1, "T & 1", "firstbold\n\nsecond paragraph"), (1, 2, "short", "x"), (1, 3, "third", "a body that is long enough")]
     assert [r["order_in_broadcast"] for r in html.usable(html.extract(df, "page_id")).orderBy("order_in_broadcast").collect()] == [1, 3]
 
 
+def test_html_of_open_paragraphs(spark):
+    page = "<article><h1> a<i> b </i></h1><p><b>first<br><p>second</p><p> third <!-- x --> part</p></article>"
+    s = html.Selectors(main="", article="article", title="h1", any_title="h1", body="")
+    assert html.articles_of(page, s) == [("ab", "firstsecondthirdpart\nsecond\nthirdpart")]
+
+
+def test_report_compares_variants(spark):
+    c = corpus(spark)
+    gold = spark.createDataFrame([("a1", "a"), ("a2", "a"), ("b1", "b"), ("c1", "c"), ("c2", "c"), ("g1", "g"), ("g2", "h"), ("k1", "k")], "item string, label string")
+    rows = {r["variant"]: r for r in report.ablations(c, gold).collect()}
+    assert set(rows) == {"legacy", "connected", "constrained"} and all(r["items"] == 8 for r in rows.values())
+    assert rows["constrained"]["pairwise_precision"] == 1 and rows["legacy"]["edge_f1"] is None and rows["connected"]["edge_precision"] == 1
+    assert all(r["bcubed_f1"] is None for r in report.ablations(c).collect())
+
+
+def test_providers_are_tried_again(spark):
+    import pandas as pd
+
+    calls, waits = [], []
+
+    def provider(texts):
+        calls.append(1)
+        if len(calls) < 3:
+            raise loading.Busy
+        return texts
+
+    assert loading.with_retries(provider, sleep=waits.append)(pd.Series(["x"])).tolist() == ["x"] and waits == [1.0, 2.0]
+    with pytest.raises(ValueError):
+        loading.with_retries(lambda t: (_ for _ in ()).throw(ValueError()), sleep=waits.append)(pd.Series(["x"]))
+
+
 def test_fixture_source(spark, tmp_path):
     rec = {"news_id": "a", "title": "t", "broadcast_date": "2026-09-01", "topics": [{"name": " x "}, "y", "", {"name": "x"}], "people": [{"name_chinese": "李"}], "keywords": "none"}
     (tmp_path / "f.json").write_text(json.dumps({"fixture_type": "synthetic", "records": [rec], "labels": {"a": "e"}}))

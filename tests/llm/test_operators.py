@@ -452,6 +452,72 @@ def test_toxicity(spark, docs, none):
     assert toxicity.toxicity_scores(docs, labels.where("false")).count() == docs.count()
 
 
+def brute_fold(text):
+    """Skeleton of a text, letter by letter."""
+    import unicodedata
+
+    out = []
+    for c in text:
+        if unicodedata.category(c) in ("Cf", "Mn"):
+            continue
+        if c.lower() in toxicity.LOOKALIKES:
+            plain = toxicity.LOOKALIKES[c.lower()]
+        else:
+            plain = ""
+            for x in unicodedata.normalize("NFKD", c).lower():
+                if unicodedata.category(x) != "Mn":
+                    plain += toxicity.LOOKALIKES.get(x, x)
+        new = ""
+        for x in plain:
+            new += "i" if x in ("l", "j") else x if x.isalnum() else " "
+        out.append(new or " ")
+    return " " + " ".join("".join(out).split()) + " "
+
+
+def brute_score(model, text):
+    """The score by trying each term and phrase at each place."""
+    folded = brute_fold(text)
+    spans = []
+    for phrase in map(brute_fold, toxicity.EXCEPTIONS):
+        spans += [(i, i + len(phrase) - 1) for i in range(len(folded)) if folded[i : i + len(phrase)] == phrase]
+    best = {}
+    for term, w in model.weights.items():
+        for i in range(len(folded)):
+            if folded[i : i + len(term)] == term:
+                best[i] = max(w, best.get(i, -math.inf))
+    total = 0.0
+    for i, w in best.items():
+        if not any(a <= i < b for a, b in spans):
+            total += w
+    by_length = total / math.log2(8 + folded.count(" "))
+    z = model.coef[0] + model.coef[1] * math.log1p(total) + model.coef[2] * math.log1p(by_length)
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+
+
+def test_toxicity_matches_brute_force(spark):
+    rng = np.random.default_rng(8)
+    vocab = [f"word{i}" for i in range(60)] + ["ünïcode", "Ωmega", "l1l", "trash", "can", "clown", "fish", "stupid", "question"]
+    bad = ["idiot", "scum", "zorkling", "zorkler", "blempish"]
+    rows = [(i, " ".join([*rng.choice(vocab, 12), *(rng.choice(bad, 2) if i % 4 == 0 else [])]), int(i % 4 == 0)) for i in range(240)]
+    odd = ["1d10t ID\u200bIOT m\u043er\u043en sc\u00fcm", "the trash can, trash; can TRASH", "clown fish clown", "zorklings zork zorkle", "", None, "  \n ", "!!!", "idiotidiot scumscum", "stupid question stupid", "s7upid 5cum", "x" * 5000 + " scum"]
+    docs = spark.createDataFrame([(d, t) for d, t, _ in rows] + [(1000 + i, t) for i, t in enumerate(odd)], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(d, y) for d, _, y in rows], "doc_id long, toxic int"))
+    assert any("zork" in t for t in model.weights) and all(f == brute_fold(t) for t in odd if t for f in [toxicity.fold(t)])
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    for r in docs.collect():
+        assert got[r["doc_id"]] == pytest.approx(brute_score(model, r["text"] or ""), abs=1e-12)
+    # learned terms and their log odds, counted plainly
+    pos, neg = Counter(), Counter()
+    kept = {}
+    for d, t, y in rows:
+        kept.setdefault((y, t), d)
+    for y, t in kept:
+        (pos if y else neg).update(toxicity.terms_of(toxicity.fold(t)))
+    n_pos, n_neg = sum(y for y, _ in kept), sum(1 - y for y, _ in kept)
+    want = toxicity.choose({t: n for t, n in pos.items() if n >= toxicity.LEAST_DOCS}, neg, n_pos, n_neg)
+    assert {t: w for t, w in model.weights.items() if t in want} == {t: pytest.approx(w) for t, w in want.items()}
+
+
 def brute_targets(sizes):
     """Resharing the excess by weight until no target is above its cap."""
     names = sorted(sizes, key=lambda s: (s is None, s))

@@ -5,6 +5,8 @@ from collections import Counter
 import numpy as np
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from newsloom.llm import line_dedup, ngram_join, packing, toxicity
 from newsloom.llm.common import table, tokenizer
 
@@ -60,6 +62,20 @@ def test_rows_of_one_id_go_only_where_links_join_them(spark):
     assert Counter(map(tuple, out.collect())) == Counter(want)
 
 
+def test_stages_keep_columns_whose_names_they_use_themselves(spark):
+    names = "gone once h i n lines kept key row first node at of of_key block blocks copy copies cut shard shards size gap taken passes rest score predicted sig prefix common cells text_hash stays best sequence_id offset piece".split()
+    rows = [(i if i % 7 else None, f"line that all sites share\n{' '.join(f'w{i % 20}x{j}' for j in range(30))}", f"s{i % 6}") for i in range(40)]
+    docs = spark.createDataFrame([(d, t, "en", s, len(t)) for d, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.select("*", *[F.lit(f"own {x}").alias(x) for x in names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF).persist()
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", *names], name
+        got = docs.collect()
+        assert got and all(r[x] == f"own {x}" for r in got for x in names), name
+    out = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert out.count() >= docs.count()
+
+
 def test_empty_corpus(spark):
     docs = table(spark, SF, "documents").where("false")
     for name, stage in corpus_pipeline.STAGES[:-1]:

@@ -4,6 +4,10 @@ Each stage is ``(name, function)`` with ``function(spark, docs, sf_dir)``. All b
 last return the columns of ``documents``; the last returns the packed pieces. Each
 stage works on every row that the one before it kept. ``run`` writes each stage's
 result as Parquet into the shared folder and reads it back as the next one's input.
+
+For all stages: null texts are empty and stay; null ids, null sources and rows that
+repeat an id are rows like others; a text of any length is taken whole; an empty
+table gives no rows; further columns, whatever their names, come through unchanged.
 """
 
 from __future__ import annotations
@@ -17,13 +21,13 @@ from newsloom.plans.scratch import materialize
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity operator rejects go. It learns from the labelled documents outside the held-out fold."""
+    """Documents that the toxicity operator rejects go. It learns from the labelled documents outside the held-out fold. Texts without words have no hits and stay; equal texts score alike."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~toxicity.held_out()))
     return toxicity.without_toxic(docs, model)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that many sources repeat go but for their first occurrence, and with them documents that held nothing else."""
+    """Lines that many sources repeat go but for their first occurrence, and with them documents that held nothing else. Documents that were empty stay; rows that share id and text are treated alike."""
     return line_dedup.dedup_lines(docs)
 
 
@@ -31,6 +35,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Of rows that links join, that of the least doc_id stays, once; of an id's rows, that of the least text hash. Null ids come last.
 
     Rows are told apart by doc_id and text, so rows that share an id, or have none, go only where links join them.
+    Of rows equal in both one stays. Texts without words link with nothing and stay.
     """
     rows = ngram_join.labelled(docs).where("at is not null").groupBy("at", "doc_id", "text_hash").agg(F.count("*").alias("n"))
     rows = materialize(rows, "groups")
@@ -49,12 +54,12 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of sources takes it."""
+    """Each document as often as the mix of sources takes it, at most three times; of a source that whole documents leave short of its target, one more in part. Rows equal in id and text are drawn alike."""
     return mixing.mixed(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The packed pieces of all documents of the mix."""
+    """The packed pieces of all documents of the mix; an empty text is one piece, each copy of a document has its own."""
     return packing.pack_documents(docs, tokenizer("byte_bpe_50k.json"), tokenizer("byte_bpe_50k.tiktoken"))
 
 

@@ -93,14 +93,14 @@ def sums(matcher: ahocorasick.Automaton, text: str) -> tuple[float, float]:
     """Summed weights of hit words, each by its heaviest term and none inside an exception phrase; and the same by length."""
     folded = fold(text)
     hits: dict[int, float] = {}
-    excused = []
+    excused: set[int] = set()
     for end, (size, w) in matcher.iter(folded):
         start = end - size + 1
         if w is None:
-            excused.append((start, end))
+            excused.update(range(start, end))
         else:
             hits[start] = max(w, hits.get(start, w))
-    total = sum(w for at, w in hits.items() if not any(a <= at < b for a, b in excused))
+    total = sum(w for at, w in hits.items() if at not in excused)
     return total, total / np.log2(8 + folded.count(" "))
 
 

@@ -407,6 +407,31 @@ def test_packing_meets_its_bounds(spark):
     assert out.count() == len(x) and out.select("sequence_id").distinct().count() <= 1.01 * packing.lower_bound(x, 1024) + 1
 
 
+def test_very_long_texts(spark):
+    """One text of some 400,000 words, and one without any white space, beside short ones."""
+    rng = np.random.default_rng(6)
+    long = " ".join(f"word{i}" if i % 3 else "trash can, idiot." for i in rng.integers(0, 50_000, 300_000))
+    rows = [(1, long), (2, "a short text of seven words here"), (3, "z" * 1_000_000), (4, long + " and a little more")]
+    docs = spark.createDataFrame([(d, t, f"s{d}") for d, t in rows], "doc_id long, text string, source string")
+    n = {d: len(WORD.findall(t)) for d, t in rows}
+    got = {r["doc_id"]: r for r in ngram_join.jaccard_components(docs).collect()}
+    assert got[1]["component_id"] == got[4]["component_id"] == 1 and got[3]["component_id"] == 3
+    scored = {r["doc_id"]: r for r in lm.kneser_ney_scores(docs).collect()}
+    assert all(scored[d]["n_tokens"] == n[d] + 1 for d in n)
+    tox = {r["doc_id"]: r["score"] for r in toxicity.toxicity_scores(docs, docs.selectExpr("doc_id", "1 as toxic").where("false")).collect()}
+    assert tox[1] > tox[3]
+    size = {r["doc_id"]: r["size"] for r in mixing.mix_digest(docs).collect()}
+    assert size == n
+    packed = packing.pack_documents(docs, tokenizer("byte_bpe_50k.json"), tokenizer("byte_bpe_50k.tiktoken")).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("length").alias("most")).collect()
+    assert all(r["most"] <= 1024 for r in packed) and len(packed) == 4
+    tokens = {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(docs, tokenizer("piece_bpe_32k.model")).collect()}
+    assert tokens[1] > n[1] and tokens[3] > 1000
+    prints = {r["doc_id"]: r for r in fingerprints.fingerprints(docs).collect()}
+    assert prints[1]["n_chars"] == len(long) and prints[3]["n_chars"] == 1_000_000
+    assert licenses.scan_licenses(docs).where("license is not null").count() == 0
+    assert line_dedup.line_digest(docs).agg(F.sum("n_lines")).first()[0] == 4
+
+
 def test_packing_ids_equal_the_tokenizer():
     import random
 

@@ -200,11 +200,12 @@ def _deal(items: DataFrame, counts: dict[int, int], parts: int, turn: int, cap:
         lengths = sorted(counts)
         before = dict(zip(lengths, np.cumsum([0, *(counts[x] for x in lengths[:-1])]).tolist(), strict=True))
         starts = items.sparkSession.createDataFrame([(x, before[x], -(-counts[x] // RANKED)) for x in lengths], "of long, before long, chunks long")
-        items = items.join(F.broadcast(starts), F.col("length") == F.col("of"))
-        key = F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(turn))
-        items = items.withColumn("key", key).withColumn("chunk", F.pmod("key", F.col("chunks")))
+        items = items.withColumn("key", F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(turn)))
+        full = items.where(F.col("length") == cap).withColumn("at", F.col("key"))  # each is a sequence of its own, wherever it lies
+        rest = items.where(F.col("length") < cap).join(F.broadcast(starts), F.col("length") == F.col("of")).withColumn("chunk", F.pmod("key", F.col("chunks")))
         rank = F.row_number().over(Window.partitionBy("length", "chunk").orderBy("key", "doc_id", "piece", "ids_crc32"))
-        part = F.pmod(F.col("before") + F.col("chunk") * RANKED + rank, F.lit(parts))
+        items = rest.withColumn("at", F.col("before") + F.col("chunk") * RANKED + rank).select(*full.columns).unionByName(full)
+        part = F.pmod(F.col("at"), F.lit(parts))
     dealt = items.select(*[c.split()[0] for c in PIECES.split(", ")], part.alias("part"))
     return dealt.groupBy("part").applyInPandas(pack, PACKED)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from newsloom.bindings import SQL_EDGES, SQL_PAIRS, SQL_R, SQL_T, Relational, articles, stream_links, table
 from newsloom.functions.text import grams, headline, news_id, safe_url
-from newsloom.operators import annotation, clusters, events, exports, graph, loading, metrics, report, search
+from newsloom.operators import annotation, clusters, events, exports, graph, loading, metrics, rendering, report, search
 from newsloom.sources import html, markdown
 from newsloom.streaming import ingest
 
@@ -88,6 +88,27 @@ def topic_network(spark, d):
     return search.topic_network(r.news_topic(), r.topics(), search.find_topic(r.topics(), TOPIC))
 
 
+@query(f"with {SQL_R}, n as (select topic_id, count(*) as k from news_topic where news_id in (select news_id from news_topic where topic_id = '{TOPIC}') and topic_id <> '{TOPIC}' group by topic_id order by k desc, topic_id limit 20) select topic_id, printf('  %-20s %2d ', topic_id, k) || repeat('█', least(k, 20)) as line from n")
+def network_lines(spark, d):
+    return rendering.network_lines(topic_network(spark, d))
+
+
+@query(f"with {SQL_R}, n as (select broadcast_date, count(*) as k from items join news_topic using (news_id) where topic_id = '{TOPIC}' group by 1) select broadcast_date, printf('  %s  %2d ', cast(broadcast_date as varchar), k) || repeat('█', k) as line from n")
+def evolution_lines(spark, d):
+    return rendering.evolution_lines(topic_evolution(spark, d))
+
+
+@query(f"with {SQL_R}, own as (select * from items where broadcast_date = date '{DATE}'), x as (select news_id, order_in_broadcast, title, coalesce((select string_agg(distinct name, ', ' order by name) from news_person p join persons using (person_id) where p.news_id = own.news_id), '') as people, coalesce((select string_agg(distinct name, ', ' order by name) from news_org p join orgs using (org_id) where p.news_id = own.news_id), '') as organizations from own) select news_id, printf('  #%d %s', order_in_broadcast, substr(title, 1, 70)) || case when people <> '' then chr(10) || '     People: ' || people else '' end || case when organizations <> '' then chr(10) || '     Orgs: ' || organizations else '' end as line from x")
+def date_lines(spark, d):
+    r = Relational(spark, d)
+    return rendering.date_lines(search.date_summary(r.items(), r.news_person(), r.persons(), r.news_org(), r.orgs(), DATE))
+
+
+@query(f"with found as ({_SEARCH}) select news_id, printf('  [%s] %s', cast(broadcast_date as varchar), substr(title, 1, 70)) || case when excerpt <> '' then chr(10) || '       ' || replace(substr(excerpt, 1, 120), chr(10), ' ') || '...' else '' end as line from found")
+def search_lines(spark, d):
+    return rendering.search_lines(search_news(spark, d))
+
+
 @query(f"with {SQL_R}, asked(requested) as (values ('supplier#000000003'), ('#00000000')), who as (select requested, person_id from asked join persons on contains(name, requested) or lower(name) = requested) select requested, person_id, news_id, title, broadcast_date from who join news_person using (person_id) join items using (news_id)")
 def compare_coverage(spark, d):
     r = Relational(spark, d)
@@ -129,6 +150,11 @@ def list_events(spark, d):
     return search.list_events(board, links)
 
 
+@query(f"with {_BOARD} select event_id, printf('  [%-10s] %s%s    Status: %-12s Heat: %d Items: %d%s    %s -> %s  ', importance, substr(cast(event_id as varchar), 1, 60), chr(10), status, cast(round_even(heat_score, 0) as bigint), news_count, chr(10), cast(first_date as varchar), cast(last_date as varchar)) || repeat('█', cast(least(floor(heat_score / 5), 20) as bigint)) as line from board order by heat_score desc, event_id limit 20")
+def event_lines(spark, d):
+    return rendering.event_lines(list_events(spark, d), "event_id")
+
+
 @query(f"with {_BOARD} select *, news_count as item_count from board where status = 'developing' and importance = 'critical' order by heat_score desc, event_id limit 20")
 def list_events_filtered(spark, d):
     links, board = _board(spark, d)

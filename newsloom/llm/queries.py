@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import embeddings, fingerprints, licenses, line_dedup, lm, mixing, ngram_join, packing, token_counts, toxicity
+from newsloom.llm import conversations, embeddings, fingerprints, licenses, line_dedup, lm, mixing, ngram_join, packing, secrets, token_counts, toxicity, vector_codes
 from newsloom.llm.common import table, tokenizer
 
 
@@ -54,6 +54,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_digest(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.conversation_repairs(table(spark, sf_dir, "conversations"))
+
+
+def op13_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_spans(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -67,7 +79,10 @@ QUERIES = {
         op8_best_fit_packing,
         op9_toxicity,
         op10_mixing,
+        op11_vector_codes,
+        op12_conversation_repair,
+        op13_secret_scans,
         fingerprint_bands,
     )
 } | {"pipeline": corpus_pipeline.run}
-SQL: dict[str, str] = {"op1_line_dedup": line_dedup.LINE_DIGEST_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+SQL: dict[str, str] = {"op1_line_dedup": line_dedup.LINE_DIGEST_SQL, "op11_vector_codes": vector_codes.CODES_SQL, "op12_conversation_repair": conversations.REPAIRS_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

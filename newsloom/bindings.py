@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from newsloom.functions.text import GENERIC_HEADLINES
 from newsloom.schema import ORG_TYPES
 
 CATEGORIES = ("Economy", "Politics", "Military", "Technology", "Culture", "Environment")
@@ -75,19 +76,21 @@ def stream_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as articles: the first line is the title, language and source are topics, the source is the organization."""
+    """Documents as articles, a null text as an empty one: the first line is the title, language and source are topics, the source is the organization."""
     title = F.split("text", "\n").getItem(0)
-    d = table(spark, sf_dir, "documents").where("text is not null")
+    d = table(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit("")))
     long_words = F.array_sort(F.array_distinct(F.filter(F.split(title, " "), lambda w: F.length(w) >= 5)))
     return d.select(F.col("doc_id").alias("news_id"), title.alias("title"), F.col("text").alias("full_text"), F.expr("date_add(date '2024-01-01', cast(doc_id % 30 as int))").alias("day"), F.array("lang", "source").alias("topics"), F.array(F.concat(F.lit("by "), F.col("source"))).alias("people"), F.array("source").alias("organizations"), long_words.alias("keywords"), F.when(F.col("lang") == "en", title).alias("summary"), F.substring("text", 1, 200).alias("excerpt"), F.concat(F.lit("https://"), F.col("source"), F.lit(".example/"), F.col("doc_id").cast("string")).alias("url"))
 
 
+#: The digests' headlines as SQL takes them.
+_GENERIC = ", ".join(f"'{h}'" for h in GENERIC_HEADLINES)
 SQL_T = r"""
 articles as (select doc_id as news_id, split_part(text, chr(10), 1) as title, text as full_text, date '2024-01-01' + cast(doc_id % 30 as int) as day, [lang, source] as topics, ['by ' || source] as people, [source] as organizations,
-  list_sort(list_distinct(list_filter(string_split(split_part(text, chr(10), 1), ' '), lambda w: length(w) >= 5))) as keywords, case when lang = 'en' then split_part(text, chr(10), 1) end as summary, substr(text, 1, 200) as excerpt, 'https://' || source || '.example/' || doc_id as url from documents where text is not null),
+  list_sort(list_distinct(list_filter(string_split(split_part(text, chr(10), 1), ' '), lambda w: length(w) >= 5))) as keywords, case when lang = 'en' then split_part(text, chr(10), 1) end as summary, substr(text, 1, 200) as excerpt, 'https://' || source || '.example/' || doc_id as url from (select doc_id, coalesce(text, '') as text, lang, source from documents)),
 heads as (select *, lower(regexp_replace(trim(regexp_replace(title, '^【[^】]{1,32}】', '')), '[^\p{L}\p{N}]+', '', 'g')) as head from articles),
-prep as (select *, case when length(head) < 4 or head in ('国内联播快讯', '国际联播快讯', '联播快讯', '新闻联播') then [] else list_distinct(list_transform(range(1, length(head)), lambda i: substr(head, cast(i as int), 2))) end as grams from heads)
-"""
+prep as (select *, case when length(head) < 4 or head in (GENERIC) then [] else list_distinct(list_transform(range(1, length(head)), lambda i: substr(head, cast(i as int), 2))) end as grams from heads)
+""".replace("GENERIC", _GENERIC)
 SQL_PAIRS = (
     SQL_T
     + r""",
@@ -112,8 +115,8 @@ met as (select l, r, a.grams as ga, b.grams as gb, a.keywords as ka, b.keywords
   from pairs join prep a on a.news_id = l join prep b on b.news_id = r, (select list(topic) as gt from generic)),
 sims as (select *, case when len(ga) > 0 and len(gb) > 0 then len(list_intersect(ga, gb)) / len(list_distinct(list_concat(ga, gb)))::double else 0.0::double end as lex, case when len(ka) > 0 and len(kb) > 0 then len(list_intersect(ka, kb)) / len(list_distinct(list_concat(ka, kb)))::double else 0.0::double end as kw,
     case when len(pa) > 0 and len(pb) > 0 then sp / len(list_distinct(list_concat(pa, pb)))::double else 0.0::double end as actor, case when len(oa) > 0 and len(ob) > 0 then so / len(list_distinct(list_concat(oa, ob)))::double else 0.0::double end as org
-  from met where not (len(oa) > 0 and len(ob) > 0 and so = 0 and sp = 0) and ha not in ('国内联播快讯', '国际联播快讯', '联播快讯', '新闻联播') and hb not in ('国内联播快讯', '国际联播快讯', '联播快讯', '新闻联播')),
+  from met where not (len(oa) > 0 and len(ob) > 0 and so = 0 and sp = 0) and ha not in (GENERIC) and hb not in (GENERIC)),
 scored as (select *, 0.60::double * lex + 0.18::double * kw + 0.12::double * actor + 0.07::double * org + (case when st > 0 then 0.03 else 0.0 end)::double as raw from sims),
 edges as (select * from scored where (st > 0 or sp > 0 or so > 0) and (lex >= 0.34 or (lex >= 0.20 and kw >= 0.25)) and raw >= 0.34)
-"""
+""".replace("GENERIC", _GENERIC)
 )

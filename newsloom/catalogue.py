@@ -308,7 +308,8 @@ def constrained_clusters(spark, d):
     f"with recursive {SQL_EDGES}, twoway as (select l as a, r as b from edges union select r, l from edges), reach(a, b) as (select news_id, news_id from articles union select reach.a, twoway.b from reach join twoway on reach.b = twoway.a), comp as (select a as news_id, min(b) as cluster_id from reach group by a) select 'preview-' || substr(sha256(string_agg(cast(news_id as varchar), '|' order by cast(news_id as varchar))), 1, 16) as preview_id, cluster_id, string_agg(cast(news_id as varchar), ',' order by cast(news_id as varchar)) as members from comp group by cluster_id having count(*) >= 2 order by cluster_id limit 15"
 )
 def cluster_previews(spark, d):
-    return clusters.preview(clusters.cluster(articles(spark, d), "connected")).withColumn("members", F.array_join(F.transform("members", lambda x: x.cast("string")), ","))
+    rows = clusters.preview(clusters.cluster(articles(spark, d), "connected"))
+    return rows.groupBy("preview_id", "cluster_id").agg(F.array_join(F.array_sort(F.collect_list(F.col("news_id").cast("string"))), ",").alias("members"))
 
 
 # evaluation
@@ -379,13 +380,11 @@ def annotation_strata(spark, d):
     return annotation.strata_counts(articles(spark, d))
 
 
-_DRAWN = "sha256(concat_ws('|', '20261029', cast({0} as varchar), cast({1} as varchar)))"
-
-
 @query(
-    f"""with {SQL_EDGES}, chosen as (select news_id from articles order by sha256('20261029|' || news_id), news_id limit 1800), p as (select least(a.news_id, b.news_id) as l, greatest(a.news_id, b.news_id) as r, bool_or(list_has_any(a.topics, b.topics) or list_has_any(a.people, b.people) or list_has_any(a.organizations, b.organizations)) as rel from articles a join articles b on a.news_id <> b.news_id and abs(a.day - b.day) <= 7 where a.news_id in (from chosen) group by 1, 2),
-x as (select l, r, 'model_positive' as stratum, round(raw, 6) as score from edges union all select p.l, p.r, case when rel then 'topical_unmatched' else 'random_control' end, null from p anti join edges e on p.l = e.l and p.r = e.r),
-y as (select *, row_number() over (partition by stratum order by {_DRAWN.format('l', 'r')}, l, r) as rk, case stratum when 'model_positive' then 1 when 'topical_unmatched' then 2 else 3 end as turn from x),
+    f"""with {SQL_EDGES}, drawn as (select *, ('0x' || substr(sha256('20261029|' || news_id), 1, 12))::bigint as number from articles),
+p as (select least(a.news_id, b.news_id) as l, greatest(a.news_id, b.news_id) as r, (a.number + b.number) % 281474976710656 as draw, list_has_any(a.topics, b.topics) or list_has_any(a.people, b.people) or list_has_any(a.organizations, b.organizations) as rel from drawn a join drawn b on a.news_id < b.news_id and abs(a.day - b.day) <= 7),
+x as (select p.l, p.r, draw, case when e.l is not null then 'model_positive' when rel then 'topical_unmatched' else 'random_control' end as stratum, round(raw, 6) as score from p left join edges e on p.l = e.l and p.r = e.r),
+y as (select *, row_number() over (partition by stratum order by draw, l, r) as rk, case stratum when 'model_positive' then 1 when 'topical_unmatched' then 2 else 3 end as turn from x),
 z as (select * from y order by rk > 30, turn, rk limit 90)
 select z.l as "left", z.r as "right", stratum, a.title as left_title, b.title as right_title, a.day as left_date, b.day as right_date, a.url as left_url, b.url as right_url, coalesce(nullif(a.excerpt, ''), a.summary) as left_excerpt, coalesce(nullif(b.excerpt, ''), b.summary) as right_excerpt, score as matched_pair_score,
   array_to_string(list_sort(list_distinct(list_intersect(a.topics, b.topics))), ',') as shared_topics, array_to_string(list_sort(list_distinct(list_intersect(a.people, b.people))), ',') as shared_people, array_to_string(list_sort(list_distinct(list_intersect(a.organizations, b.organizations))), ',') as shared_organizations
@@ -417,7 +416,7 @@ def review_summary(spark, d):
 @query()
 def ablation_report(spark, d):
     """Blocking and the three variants of clustering against the language as gold label, a row for each variant."""
-    gold = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("item"), F.col("lang").alias("label"))
+    gold = table(spark, d, "documents").select(F.col("doc_id").alias("item"), F.col("lang").alias("label"))
     return report.ablations(articles(spark, d), gold)
 
 
@@ -475,12 +474,12 @@ def pagerank(spark, d):
 
 
 def _broadcasts(spark, d):
-    c = table(spark, d, "conversations").where("text is not null")
+    c = table(spark, d, "conversations").withColumn("text", F.coalesce("text", F.lit("")))
     day = F.expr("date_add(date '2000-01-01', cast(conv_id as int))")
     return c.select(day.alias("broadcast_date"), (F.col("turn") + 1).cast("int").alias("order_in_broadcast"), news_id(day, F.col("turn") + 1).alias("news_id"), F.col("role").alias("title"), F.col("text").alias("full_text"))
 
 
-_IMPORT = "select substr(sha256(cast(date '2000-01-01' + cast(conv_id as int) as varchar) || ':' || (turn + 1)), 1, 16) as news_id, date '2000-01-01' + cast(conv_id as int) as broadcast_date, cast(turn + 1 as int) as order_in_broadcast, role as title, text as full_text from conversations where text is not null"
+_IMPORT = "select substr(sha256(cast(date '2000-01-01' + cast(conv_id as int) as varchar) || ':' || (turn + 1)), 1, 16) as news_id, date '2000-01-01' + cast(conv_id as int) as broadcast_date, cast(turn + 1 as int) as order_in_broadcast, role as title, coalesce(text, '') as full_text from conversations"
 
 
 @query(f"select news_id, broadcast_date, order_in_broadcast, length(full_text)::int as word_count from ({_IMPORT})")

@@ -12,53 +12,138 @@ from newsloom.schema import REVIEW_LABELS
 STRATA = ("model_positive", "topical_unmatched", "random_control")
 
 
-def pair_strata(articles: DataFrame, window_days: int = 7, chosen: DataFrame | None = None) -> DataFrame:
-    """``left, right, stratum, score`` of pairs within the window: accepted, otherwise related by topic, person or organization, or neither.
+#: Articles that may hold a name for the pairs under it to be made, names of an article that may have more, bits of drawn numbers, pairs looked at for each one wanted.
+LONGEST, FREQUENT, BITS, LOOK = 100, 12, 48, 8
 
-    Days are the keys of an equi join: each article meets those of the window's days.
-    With ``chosen (news_id)`` only pairs that hold one of these are made, besides all
-    accepted ones.
+
+def _names(articles: DataFrame) -> DataFrame:
+    """``news_id, day, name`` of each article's topics, people and organizations, each kind apart; repeated ones once."""
+    marked = lambda c: F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.concat(F.lit(c[0]), x.cast("string")))
+    each = F.array_distinct(F.concat(*map(marked, ("topics", "people", "organizations"))))
+    return articles.select("news_id", "day", F.explode(each).alias("name")).where("name is not null")
+
+
+def _related(articles: DataFrame) -> Column:
+    """Whether a pair with columns ``_l`` and ``_r`` shares a topic, a person or an organization."""
+    return F.coalesce(F.arrays_overlap("topics_l", "topics_r"), F.lit(False)) | F.coalesce(F.arrays_overlap("people_l", "people_r"), F.lit(False)) | F.coalesce(F.arrays_overlap("organizations_l", "organizations_r"), F.lit(False))
+
+
+def _pairs_of_days(counts: DataFrame, keys: list[str], window_days: int) -> DataFrame:
+    """``pairs`` for each row of ``counts (keys, day, n)``: those of its items among each other and with later ones within the window."""
+    later = Window.partitionBy(*keys, F.lit(0)).orderBy(F.unix_date("day")).rangeBetween(1, max(window_days, 1))
+    n, more = F.col("n").cast("decimal(38,0)"), F.coalesce(F.sum("n").over(later), F.lit(0)).cast("decimal(19,0)")
+    own = F.col("n").cast("decimal(19,0)")
+    return counts.withColumn("pairs", (own * (n - 1) / 2).cast("decimal(38,0)") + (own * (more if window_days else F.lit(0).cast("decimal(19,0)"))).cast("decimal(38,0)"))
+
+
+def related_pairs(articles: DataFrame, window_days: int = 7) -> DataFrame:
+    """One row ``related``: the pairs within the window that share a name, counted and not made.
+
+    Names of many articles go by inclusion and exclusion: each set of such names that an
+    article holds counts its articles by day, and its pairs follow from these counts.
+    Pairs that share only names of few articles are made; these are at most as many as
+    the entries times the longest list. An article may hold ``FREQUENT`` frequent names;
+    where one holds more, the length from which a name is frequent grows.
     """
+    names = _names(articles)
+    sized = materialize(names.join(names.groupBy("name").agg(F.count("*").alias("n")), "name"), "names")
+    of_article = sized.groupBy("news_id", "day").agg(F.sort_array(F.collect_list("n"), asc=False).alias("sizes"))
+    longest = max(LONGEST, of_article.agg(F.max(F.get("sizes", F.lit(FREQUENT)))).first()[0] or 0)
+    held = sized.groupBy("news_id", "day").agg(F.sort_array(F.collect_list(F.when(F.col("n") > longest, F.col("name")))).alias("held"))
+    held = materialize(held, "frequent-names")
+    classes = held.where(F.size("held") > 0).groupBy("day", "held").agg(F.count("*").alias("n"))
+    masks = F.explode(F.expr("sequence(1, shiftleft(1, size(held)) - 1)"))
+    subset = F.expr("filter(held, (x, i) -> (mask & shiftleft(1, i)) <> 0)")
+    sets = classes.withColumn("mask", masks).select(subset.alias("names"), "day", "n").groupBy("names", "day").agg(F.sum("n").alias("n"))
+    sign = F.when(F.size("names") % 2 == 1, 1).otherwise(-1).cast("decimal(1,0)")
+    frequent = _pairs_of_days(sets, ["names"], window_days).agg(F.coalesce(F.sum((F.col("pairs") * sign).cast("decimal(38,0)")), F.lit(0)).cast("decimal(38,0)").alias("frequent"))
+    rare = sized.where(F.col("n") <= longest)
+    side = lambda s: rare.select("name", F.col("news_id").alias(f"news_id_{s}"), F.col("day").alias(f"day_{s}"))
+    met = side("l").join(side("r"), "name").where((F.col("news_id_l") < F.col("news_id_r")) & (F.abs(F.datediff("day_l", "day_r")) <= window_days)).select("news_id_l", "news_id_r").distinct()
+    hold = lambda s: held.where(F.size("held") > 0).select(F.col("news_id").alias(f"news_id_{s}"), F.col("held").alias(f"held_{s}"))
+    met = met.join(hold("l"), "news_id_l", "left").join(hold("r"), "news_id_r", "left").where(~F.coalesce(F.arrays_overlap("held_l", "held_r"), F.lit(False)))
+    return frequent.crossJoin(met.agg(F.count("*").alias("rare"))).select((F.col("frequent") + F.col("rare")).cast("decimal(38,0)").alias("related"))
+
+
+def accepted_pairs(articles: DataFrame, window_days: int = 7) -> DataFrame:
+    """``left, right, score`` of the pairs that the clustering accepts, written."""
+    return materialize(candidate_edges(articles, window_days).select("left", "right", "score"), "accepted")
+
+
+def strata_counts(articles: DataFrame, window_days: int = 7, accepted: DataFrame | None = None) -> DataFrame:
+    """Pairs within the window by stratum: accepted, otherwise related by topic, person or organization, or neither. No pairs are made but those of rare names."""
     if window_days < 0:
         raise ValueError("window_days must not be negative")
-    own = articles.select("news_id", "day", "topics", "people", "organizations")
-    side = lambda s: own.select(*[F.col(c).alias(f"{c}_{s}") for c in own.columns])
-    left = side("l") if chosen is None else side("l").join(F.broadcast(chosen.select(F.col("news_id").alias("news_id_l"))), "news_id_l", "left_semi")
-    left = left.withColumn("day_r", F.explode(F.expr(f"sequence(date_sub(day_l, {window_days}), date_add(day_l, {window_days}), interval 1 day)")))
-    p = left.join(side("r"), "day_r").where("news_id_l < news_id_r" if chosen is None else "news_id_l <> news_id_r")
-    related = F.lit(False)
-    for c in ("topics", "people", "organizations"):
-        related = related | F.arrays_overlap(f"{c}_l", f"{c}_r")
-    p = p.select(F.least("news_id_l", "news_id_r").alias("left"), F.greatest("news_id_l", "news_id_r").alias("right"), F.coalesce(related, F.lit(False)).alias("related"))
-    known = materialize(candidate_edges(articles, window_days).select("left", "right", "score"), "accepted")
-    rest = (p if chosen is None else p.distinct()).join(known.select("left", "right"), ["left", "right"], "left_anti")
-    rest = rest.select("left", "right", F.when(F.col("related"), STRATA[1]).otherwise(STRATA[2]).alias("stratum"), F.lit(None).cast("double").alias("score"))
-    return known.select("left", "right", F.lit(STRATA[0]).alias("stratum"), "score").unionByName(rest)
+    accepted = accepted_pairs(articles, window_days) if accepted is None else accepted
+    days = articles.groupBy("day").agg(F.count("*").alias("n"))
+    total = _pairs_of_days(days, [], window_days).agg(F.coalesce(F.sum("pairs"), F.lit(0)).cast("decimal(38,0)").alias("total"))
+    one = total.crossJoin(related_pairs(articles, window_days)).crossJoin(accepted.agg(F.count("*").alias("accepted")))
+    one = one.select(F.col("accepted").alias("a"), F.expr("cast(related - accepted as bigint)").alias("b"), F.expr("cast(total - related as bigint)").alias("c"))
+    return one.select(F.expr(f"stack(3, '{STRATA[0]}', a, '{STRATA[1]}', b, '{STRATA[2]}', c) as (stratum, pairs)"))
+
 
+def _number(seed: int) -> Column:
+    """An article's drawn number of ``BITS`` bits, from the seed and its id."""
+    return F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(seed), F.col("news_id").cast("string")), 256), 1, BITS // 4), 16, 10).cast("long")
 
-def _drawn(seed: int, *columns: str) -> Column:
-    """A number of a row that depends on the seed, as a key to draw by."""
-    return F.sha2(F.concat_ws("|", F.lit(seed), *[F.col(c).cast("string") for c in columns]), 256)
 
+def drawn_pairs(articles: DataFrame, window_days: int, share: int, by_name: bool) -> DataFrame:
+    """``left, right, draw, related``: one pair of ``share`` (a power of two) within the window, drawn evenly; with ``by_name`` only of those that share a name.
 
-def make_queue(articles: DataFrame, limit: int = 90, seed: int = 20261029, window_days: int = 7, per_row: int = 20) -> DataFrame:
+    A pair's draw is the sum of its articles' numbers modulo ``2 ** BITS``; the pairs of
+    the least draws are those whose leading bits add up to nothing, or would with a
+    carry, so that they meet by an equi join on day and bits and no others are made.
+    """
+    bits = share.bit_length() - 1
+    own = articles.select("news_id", "day", "topics", "people", "organizations", "number").withColumn("lead", F.shiftright("number", BITS - bits) if bits else F.lit(0).cast("long"))
+    if by_name:
+        own = own.join(_names(articles).select("news_id", "name"), "news_id")
+    side = lambda s: own.select(*[F.col(c).alias(f"{c}_{s}") for c in own.columns])
+    left = side("l").withColumn("day_r", F.explode(F.expr(f"sequence(day_l, date_add(day_l, {window_days}), interval 1 day)")))
+    left = left.withColumn("lead_r", F.explode(F.array_distinct(F.array(F.pmod(-F.col("lead_l"), F.lit(share)), F.pmod(-F.col("lead_l") - 1, F.lit(share))))))
+    on = ["day_r", "lead_r"]
+    right = side("r")
+    if by_name:
+        left, on = left.withColumnRenamed("name_l", "name"), [*on, "name"]
+        right = right.withColumnRenamed("name_r", "name")
+    p = left.join(right, on).where("day_l < day_r or news_id_l < news_id_r")
+    draw = F.pmod(F.col("number_l") + F.col("number_r"), F.lit(2**BITS))
+    p = p.withColumn("draw", draw).where(F.col("draw") < 2**BITS // share).select(F.least("news_id_l", "news_id_r").alias("left"), F.greatest("news_id_l", "news_id_r").alias("right"), "draw", _related(articles).alias("related"))
+    return p.distinct() if by_name else p
+
+
+def _least_drawn(articles: DataFrame, accepted: DataFrame, related: bool, wanted: int, limit: int, window_days: int) -> DataFrame:
+    """The ``limit`` pairs of least draw of an unaccepted stratum that has ``wanted`` pairs, written. A larger share of all pairs is looked at until they are found."""
+    share = 1 << max(0, (wanted // (LOOK * limit)).bit_length() - 1)
+    while True:
+        p = drawn_pairs(articles, window_days, share, related).where(F.col("related") == related)
+        p = p.join(accepted.select("left", "right"), ["left", "right"], "left_anti").orderBy("draw", "left", "right").limit(limit)
+        found = materialize(p.select("left", "right", F.lit(STRATA[1] if related else STRATA[2]).alias("stratum"), F.lit(None).cast("double").alias("score"), "draw"), "drawn")
+        if share == 1 or found.count() >= min(limit, wanted):
+            return found
+        share = max(1, share >> 4)
+
+
+def make_queue(articles: DataFrame, limit: int = 90, seed: int = 20261029, window_days: int = 7) -> DataFrame:
     """At most ``limit`` pairs for review, a third of each stratum where there are so many, then others in the order of strata.
 
-    Accepted pairs are drawn from all; the others from pairs of ``limit * per_row``
-    drawn articles with any other, so that their number grows with the articles and
-    not with the pairs. Each row has ``source`` (titles, dates, URLs, excerpts of both),
-    ``evidence`` (score and shared names) and blank review columns. ``articles`` may
-    have ``url``, ``excerpt`` and ``summary``.
+    In each stratum the pairs of least draw are taken, of all its pairs. Each row has
+    ``source`` (titles, dates, URLs, excerpts of both), ``evidence`` (score and shared
+    names) and blank review columns. ``articles`` may have ``url``, ``excerpt`` and
+    ``summary``.
     """
     if limit <= 0:
         raise ValueError("limit must be positive")
-    chosen = articles.select("news_id").orderBy(_drawn(seed, "news_id"), "news_id").limit(limit * per_row)
-    p = pair_strata(articles, window_days, chosen).withColumn("draw", _drawn(seed, "left", "right"))
+    accepted = accepted_pairs(articles, window_days)
+    wanted = {r["stratum"]: r["pairs"] for r in strata_counts(articles, window_days, accepted).collect()}
+    numbered = articles.withColumn("number", _number(seed))
+    side = lambda s: numbered.select(F.col("news_id").alias(s), F.col("number").alias(f"number_{s}"))
+    first = accepted.join(side("left"), "left").join(side("right"), "right").withColumn("draw", F.pmod(F.col("number_left") + F.col("number_right"), F.lit(2**BITS)))
+    tops = first.select("left", "right", F.lit(STRATA[0]).alias("stratum"), "score", "draw").orderBy("draw", "left", "right").limit(limit)
+    for related, stratum in ((True, STRATA[1]), (False, STRATA[2])):
+        if wanted[stratum]:
+            tops = tops.unionByName(_least_drawn(numbered, accepted, related, wanted[stratum], limit, window_days))
     at = F.row_number().over(Window.partitionBy("stratum").orderBy("draw", "left", "right"))
-    tops = None  # the first of each stratum, without sorting all of it
-    for s in STRATA:
-        own = p.where(F.col("stratum") == s).orderBy("draw", "left", "right").limit(limit)
-        tops = own if tops is None else tops.unionByName(own)
     tops = materialize(tops, "queue").withColumn("at", at)
     quota = F.when(F.col("stratum") == STRATA[2], limit - 2 * (limit // 3)).otherwise(limit // 3)
     tops = tops.withColumn("late", (F.col("at") > quota).cast("int")).withColumn("turn", F.array_position(F.array(*map(F.lit, STRATA)), F.col("stratum")))
@@ -125,21 +210,3 @@ def review_summary(reviews: DataFrame) -> DataFrame:
     )
     own = agreement(reviews.select(a.alias("a"), b.alias("b")))
     return counts.crossJoin(own.select(F.col("agreement").alias("reviewer_agreement"), F.col("kappa").alias("cohens_kappa")))
-
-
-def strata_counts(articles: DataFrame, window_days: int = 7) -> DataFrame:
-    """Pairs within the window by stratum, without making the pairs: articles alike in day, topics, people and organizations are one class with a count."""
-    columns = ("day", "topics", "people", "organizations")
-    classes = articles.select("day", *[F.array_sort(F.array_distinct(c)).alias(c) for c in columns[1:]]).groupBy(*columns).agg(F.count("*").alias("n"))
-    classes = classes.withColumn("key", F.struct("topics", "people", "organizations"))
-    side = lambda s: classes.select(*[F.col(c).alias(f"{c}_{s}") for c in classes.columns])
-    left = side("l").withColumn("day_r", F.explode(F.expr(f"sequence(day_l, date_add(day_l, {window_days}), interval 1 day)")))
-    p = left.join(side("r"), "day_r").where("day_l < day_r or key_l <= key_r")
-    related = F.lit(False)
-    for c in columns[1:]:
-        related = related | F.arrays_overlap(f"{c}_l", f"{c}_r")
-    same = (F.col("day_l") == F.col("day_r")) & (F.col("key_l") == F.col("key_r"))
-    n = F.when(same, F.col("n_l") * (F.col("n_l") - 1) / 2).otherwise(F.col("n_l") * F.col("n_r")).cast("long")
-    total = p.agg(F.coalesce(F.sum(F.when(related, n)), F.lit(0)).alias("related"), F.coalesce(F.sum(F.when(~related, n)), F.lit(0)).alias("other"))
-    total = total.crossJoin(candidate_edges(articles, window_days).agg(F.count("*").alias("accepted")))
-    return total.select(F.expr(f"stack(3, '{STRATA[0]}', accepted, '{STRATA[1]}', related - accepted, '{STRATA[2]}', other) as (stratum, pairs)"))

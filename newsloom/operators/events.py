@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions.text import event_id
+from newsloom.operators.overlap import top_overlaps
 from newsloom.plans.components import connected_components
+from newsloom.plans.digest import member_digests
 from newsloom.plans.scratch import materialize
 from newsloom.schema import CATEGORY_TYPES
 
@@ -56,21 +58,27 @@ def dominant(rows: DataFrame, group: str, value: str) -> DataFrame:
     return n.withColumn("rank", rank).where("rank = 1").select(group, value)
 
 
-def detected_events(items: DataFrame, news_topic: DataFrame, topics: DataFrame, clusters: DataFrame, min_items: int = 2) -> DataFrame:
-    """A row for each event: clusters of ``min_items``, named by dominant topic, first date and size, and each other item as an event of its own."""
-    size = clusters.groupBy("cluster_id").agg(F.count("*").alias("news_count"))
-    large = clusters.join(size.where(F.col("news_count") >= min_items), "cluster_id").join(items.select("news_id", "title", "broadcast_date"), "news_id")
+def cluster_events(clusters: DataFrame, min_items: int = 2) -> DataFrame:
+    """``cluster_id, event_id, news_count`` of clusters of ``min_items``; the id hashes the members, however many."""
+    found = member_digests(clusters, "cluster_id", "news_id")
+    return found.where(F.col("members") >= min_items).select(F.col("group").alias("cluster_id"), F.substring("digest", 1, 16).alias("event_id"), F.col("members").alias("news_count"))
+
+
+def detected_events(items: DataFrame, news_topic: DataFrame, topics: DataFrame, clusters: DataFrame, min_items: int = 2, ids: DataFrame | None = None) -> DataFrame:
+    """A row for each event: clusters of ``min_items``, named by dominant topic, first date and size, and each other item as an event of its own. ``ids`` may have :func:`cluster_events`."""
+    ids = cluster_events(clusters, min_items) if ids is None else ids
+    large = clusters.join(ids, "cluster_id").join(items.select("news_id", "title", "broadcast_date"), "news_id")
     topic = dominant(large.select("news_id", "cluster_id").join(news_topic.select("news_id", "topic_id"), "news_id"), "cluster_id", "topic_id").join(topics.select("topic_id", F.col("name").alias("topic_name")), "topic_id")
-    events = large.groupBy("cluster_id").agg(event_id(F.collect_list(F.col("news_id").cast("string"))).alias("event_id"), F.count("*").alias("news_count"), F.min("broadcast_date").alias("first_date"), F.max("broadcast_date").alias("last_date"))
+    events = large.groupBy("cluster_id", "event_id", "news_count").agg(F.min("broadcast_date").alias("first_date"), F.max("broadcast_date").alias("last_date"))
     events = events.join(topic, "cluster_id", "left").select("event_id", F.format_string("%s_%s_%d条", "topic_name", F.col("first_date").cast("string"), "news_count").alias("name"), "news_count", "first_date", "last_date")
     single = items.join(large.select("news_id"), "news_id", "left_anti").select(event_id(F.array(F.col("news_id").cast("string"))).alias("event_id"), F.substring("title", 1, 80).alias("name"), F.lit(1).cast("long").alias("news_count"), F.col("broadcast_date").alias("first_date"), F.col("broadcast_date").alias("last_date"))
     return events.unionByName(single)
 
 
-def event_links(clusters: DataFrame, items: DataFrame, min_items: int = 2) -> DataFrame:
+def event_links(clusters: DataFrame, items: DataFrame, min_items: int = 2, ids: DataFrame | None = None) -> DataFrame:
     """``news_id, event_id`` of the same events."""
-    of = clusters.groupBy("cluster_id").agg(F.collect_list(F.col("news_id").cast("string")).alias("m")).where(F.size("m") >= min_items).select("cluster_id", event_id(F.col("m")).alias("event_id"))
-    large = clusters.join(of, "cluster_id").select("news_id", "event_id")
+    ids = cluster_events(clusters, min_items) if ids is None else ids
+    large = clusters.join(ids, "cluster_id").select("news_id", "event_id")
     return large.unionByName(items.join(large.select("news_id"), "news_id", "left_anti").select("news_id", event_id(F.array(F.col("news_id").cast("string"))).alias("event_id")))
 
 
@@ -125,11 +133,9 @@ def heat_board(links: DataFrame, actors: DataFrame, as_of: DataFrame) -> DataFra
 
 
 def related_events(event_person: DataFrame, events: DataFrame, top: int = 5) -> DataFrame:
-    """For each event, the events that share most people, with the days from its end to their start."""
-    a, b = event_person.select(F.col("event_id").alias("source_event_id"), "person_id").distinct(), event_person.select(F.col("event_id").alias("target_event_id"), "person_id").distinct()
-    n = a.join(b, "person_id").where("source_event_id <> target_event_id").groupBy("source_event_id", "target_event_id").agg(F.count("*").alias("shared"))
-    rank = F.row_number().over(Window.partitionBy("source_event_id").orderBy(F.desc("shared"), "target_event_id"))
-    n = n.withColumn("rank", rank).where(F.col("rank") <= top)
+    """For each event, the events that share most people, with the days from its end to their start; found by :func:`top_overlaps`, so a person of very many events makes no pairs of them."""
+    n = top_overlaps(event_person.select(F.col("event_id").alias("item"), F.col("person_id").alias("member")), top)
+    n = n.select(F.col("item").alias("source_event_id"), F.col("other").alias("target_event_id"), "shared")
     n = n.join(events.select(F.col("event_id").alias("source_event_id"), F.col("last_date").alias("ends")), "source_event_id").join(events.select(F.col("event_id").alias("target_event_id"), F.col("first_date").alias("starts")), "target_event_id")
     return n.select("source_event_id", "target_event_id", "shared", F.least(F.lit(0.2) * F.col("shared"), F.lit(1.0)).alias("similarity_score"), F.lit("thematic").alias("relation_type"), F.datediff("starts", "ends").alias("time_interval_days"))
 

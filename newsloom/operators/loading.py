@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import json
 import time
+from collections import deque
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions.text import slug
+from newsloom.plans.scratch import materialize
 from newsloom.schema import ENRICHMENT, ORG_TYPES
 from newsloom.session import ship
 
@@ -21,6 +25,7 @@ TOPIC_CATEGORIES = {
 }
 #: Organizations and people kept of each item, characters of text that enrichment needs at least and sends at most.
 KEPT, SHORTEST, LONGEST = 5, 50, 4000
+RESULT = f"struct<{ENRICHMENT.replace(' ', ':').replace(',:', ',')}>"
 
 
 def compare_import(incoming: DataFrame, existing: DataFrame) -> DataFrame:
@@ -34,22 +39,30 @@ def compare_import(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     return incoming.join(old, "news_id", "left").select("news_id", state.alias("state"))
 
 
+def import_errors(incoming: DataFrame, existing: DataFrame) -> DataFrame:
+    """``news_id, reason`` of each incoming item that an import can't take: no title or text, an id that stands for several contents within the batch, a known id with other content."""
+    columns = ("title", "full_text", "broadcast_date", "order_in_broadcast")
+    empty = incoming.where((F.coalesce(F.trim("title"), F.lit("")) == "") | (F.coalesce(F.trim("full_text"), F.lit("")) == "")).select("news_id", F.lit("no title or text").alias("reason"))
+    several = incoming.groupBy("news_id").agg(F.count_distinct(F.xxhash64(*columns)).alias("n")).where("n > 1 or news_id is null").select("news_id", F.when(F.col("news_id").isNull(), "no id").otherwise("several contents in the batch").alias("reason"))
+    changed = compare_import(incoming, existing).where("state = 'changed'").select("news_id", F.lit("known with other content").alias("reason"))
+    return empty.unionByName(several).unionByName(changed).distinct()
+
+
 def import_items(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     """The table after an import, or an error that leaves all as it was.
 
-    New items are added, known ones keep what they have and get a URL where they had
-    none; a known id with other content, an empty title or text, or an empty batch
-    is an error.
+    New items are added, rows that repeat an item once; known ones keep what they have
+    and get a URL where they had none, the least of several. What :func:`import_errors`
+    finds, or an empty batch, is an error.
     """
     if incoming.isEmpty():
         raise ValueError("nothing to import")
-    empty = incoming.where((F.coalesce(F.trim("title"), F.lit("")) == "") | (F.coalesce(F.trim("full_text"), F.lit("")) == "")).count()
-    changed = compare_import(incoming, existing).where("state = 'changed'").count()
-    if empty or changed:
-        raise ValueError(f"{empty} items without title or text, {changed} known items with other content")
-    urls = incoming.select("news_id", F.col("url").alias("new_url"))
-    kept = existing.join(urls, "news_id", "left").withColumn("url", F.coalesce("url", "new_url")).drop("new_url")
-    new = incoming.join(existing.select("news_id"), "news_id", "left_anti").withColumn("word_count", F.length("full_text"))
+    bad = [f"{r['reason']}: {r['n']}" for r in import_errors(incoming, existing).groupBy("reason").agg(F.count("*").alias("n")).orderBy("reason").collect()]
+    if bad:
+        raise ValueError("; ".join(bad))
+    once = incoming.groupBy("news_id").agg(F.min("url").alias("new_url"), *[F.min(c).alias(c) for c in incoming.columns if c not in ("news_id", "url")])
+    kept = existing.join(once.select("news_id", "new_url"), "news_id", "left").withColumn("url", F.coalesce("url", "new_url")).drop("new_url")
+    new = once.join(existing.select("news_id"), "news_id", "left_anti").withColumnRenamed("new_url", "url").withColumn("word_count", F.length("full_text"))
     return kept.unionByName(new, allowMissingColumns=True)
 
 
@@ -94,6 +107,8 @@ def parse_reply(reply: Column) -> Column:
         F.transform(each("$.topics"), lambda x: F.struct(name(x).alias("name"), F.coalesce(F.try_variant_get(x, "$.relevance", "double"), F.lit(0.5)).alias("relevance"))).alias("topics"),
         F.transform(each("$.entities.people"), lambda x: F.struct(name(x).alias("name"), text(x, "$.title").alias("title"))).alias("people"),
         F.transform(each("$.entities.organizations"), lambda x: F.struct(name(x).alias("name"), F.coalesce(text(x, "$.type"), F.lit("government")).alias("type"))).alias("organizations"),
+        F.to_json(F.try_variant_get(v, "$.entities", "variant")).alias("entities"),
+        F.when(F.size(each("$.policy_signals")) > 0, F.to_json(F.try_variant_get(v, "$.policy_signals", "variant"))).alias("signals"),
         F.transform(each("$.policy_signals"), lambda x: F.struct(text(x, "$.signal").alias("signal"), text(x, "$.type").alias("type"), text(x, "$.evidence").alias("evidence"))).alias("policy_signals"),
     )
     return F.when(F.coalesce(summary, F.lit("")) != "", out)
@@ -111,28 +126,23 @@ def pending(items: DataFrame, limit: int = 0) -> DataFrame:
     return own.orderBy("news_id").limit(limit) if limit else own
 
 
-def stub(texts: pd.Series) -> pd.Series:
+def stub(text: str) -> str:
     """A provider that needs no network: the first sentence as summary and the longest words as keywords."""
-    import json
-
-    def one(t: str) -> str:
-        words = sorted(set(t.split()), key=lambda w: (-len(w), w))[:3]
-        return json.dumps({"summary": {"short": t.split("。")[0].split(". ")[0][:120]}, "keywords": words, "topics": [], "entities": {}}, ensure_ascii=False)
-
-    return texts.map(one)
+    words = sorted(set(text.split()), key=lambda w: (-len(w), w))[:3]
+    return json.dumps({"summary": {"short": text.split("。")[0].split(". ")[0][:120]}, "keywords": words, "topics": [], "entities": {}}, ensure_ascii=False)
 
 
 class Busy(Exception):
     """What a provider raises where another try may succeed: too many requests, an error of the server."""
 
 
-def with_retries(provider: Callable[[pd.Series], pd.Series], tries: int = 3, first_wait: float = 1.0, sleep: Callable[[float], None] = time.sleep) -> Callable[[pd.Series], pd.Series]:
-    """``provider`` with up to ``tries`` calls, and twice the wait before each further one, where it is :class:`Busy` or the network fails."""
+def with_retries(provider: Callable[[str], str], tries: int = 3, first_wait: float = 1.0, sleep: Callable[[float], None] = time.sleep) -> Callable[[str], str]:
+    """``provider`` with up to ``tries`` calls for a text, and twice the wait before each further one, where it is :class:`Busy` or the network fails."""
 
-    def call(texts: pd.Series) -> pd.Series:
+    def call(text: str) -> str:
         for i in range(tries):
             try:
-                return provider(texts)
+                return provider(text)
             except (Busy, OSError):
                 if i + 1 == tries:
                     raise
@@ -141,54 +151,106 @@ def with_retries(provider: Callable[[pd.Series], pd.Series], tries: int = 3, fir
     return call
 
 
-def enrich(items: DataFrame, provider: Callable[[pd.Series], pd.Series] = stub, tasks: int = 8) -> DataFrame:
-    """``news_id, status, result`` of each pending item; the provider turns texts into replies, a batch at a time.
+def called(provider: Callable[[str], str], batches: Iterator[pa.RecordBatch], concurrency: int) -> Iterator[pa.RecordBatch]:
+    """``news_id, reply, reason`` for rows ``news_id, text``: a pool of ``concurrency`` threads calls the provider, an item at a time.
 
-    A provider's error or an unreadable reply fails the item alone.
+    At most four items for each thread wait at once, so that a slow provider holds back
+    the reading of the input. What a call raises is the reason of its item alone.
     """
-    ship(items.sparkSession)
-
-    def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    with ThreadPoolExecutor(concurrency) as pool:
         for b in batches:
-            try:
-                b["reply"] = provider(b["text"])
-            except Exception:  # the items stay pending and are reported as failed
-                b["reply"] = None
-            yield b[["news_id", "reply"]]
-
-    own = pending(items).select("news_id", F.coalesce("full_text", F.lit("")).alias("full_text"))
-    sent = own.where(F.length("full_text") >= SHORTEST).select("news_id", F.substring("full_text", 1, LONGEST).alias("text")).repartition(tasks)
-    kind = dict(items.dtypes)["news_id"]
-    done = sent.mapInPandas(call, f"news_id {kind}, reply string").select("news_id", parse_reply(F.col("reply")).alias("result"))
-    done = done.select("news_id", F.when(F.col("result").isNull(), "failed").otherwise("enhanced").alias("status"), "result")
-    skipped = own.where(F.length("full_text") < SHORTEST).select("news_id", F.lit("skipped").alias("status"), F.lit(None).cast(f"struct<{ENRICHMENT.replace(' ', ':').replace(',:', ',')}>").alias("result"))
+            replies, reasons, waiting = [], [], deque()
+
+            def take(replies=replies, reasons=reasons, waiting=waiting):
+                call = waiting.popleft()
+                error = call.exception()
+                replies.append(None if error or not isinstance(call.result(), str) else call.result())
+                reasons.append(f"{type(error).__name__}: {error}" if error else None if replies[-1] is not None else "no reply")
+
+            for text in b.column(1).to_pylist():
+                if len(waiting) >= 4 * concurrency:
+                    take()
+                waiting.append(pool.submit(provider, text))
+            while waiting:
+                take()
+            yield pa.record_batch([b.column(0), pa.array(replies, pa.string()), pa.array(reasons, pa.string())], names=["news_id", "reply", "reason"])
+
+
+def enrich(items: DataFrame, provider: Callable[[str], str] = stub, limit: int = 0, concurrency: int = 3, tasks: int | None = None, dry_run: bool = False) -> DataFrame:
+    """``news_id, status, reason, result`` of each pending item, of the first ``limit`` by id if given; the provider turns a text into a reply.
+
+    Each task calls the provider for ``concurrency`` items at a time; there are as many
+    tasks as the input has partitions, or ``tasks`` to keep a service's limits. An error,
+    or a reply that can't be read or has no summary, fails its item alone and says why.
+    Items with too little text are skipped; a dry run calls nothing and says ``pending``.
+    A lost executor repeats the calls of its tasks.
+    """
+    if concurrency < 1:
+        raise ValueError("concurrency must be positive")
+    ship(items.sparkSession)
+    own = pending(items, limit).select("news_id", F.coalesce("full_text", F.lit("")).alias("full_text"))
+    fits = F.length("full_text") >= SHORTEST
+    nothing = F.lit(None).cast(RESULT)
+    skipped = own.where(~fits).select("news_id", F.lit("skipped").alias("status"), F.lit("too little text").alias("reason"), nothing.alias("result"))
+    sent = own.where(fits).select("news_id", F.substring("full_text", 1, LONGEST).alias("text"))
+    if dry_run:
+        return sent.select("news_id", F.lit("pending").alias("status"), F.lit(None).cast("string").alias("reason"), nothing.alias("result")).unionByName(skipped)
+    sent = sent.repartition(tasks) if tasks else sent
+    done = sent.mapInArrow(lambda batches: called(provider, batches, concurrency), f"news_id {dict(items.dtypes)['news_id']}, reply string, reason string")
+    done = done.withColumn("result", parse_reply(F.col("reply")))
+    reason = F.when(F.col("result").isNull(), F.coalesce("reason", F.lit("no summary")))
+    done = done.select("news_id", F.when(F.col("result").isNull(), "failed").otherwise("enhanced").alias("status"), reason.alias("reason"), "result")
     return done.unionByName(skipped)
 
 
-def persist_enrichment(results: DataFrame, slugs: dict[str, str] | None = None) -> dict[str, DataFrame]:
-    """The rows that enrichment results ``(news_id, result)`` add: dimensions by first writer, and links.
+def judged_rows(results: DataFrame, slugs: dict[str, str] | None = None) -> DataFrame:
+    """``news_id, relation, pos, id, name, kind, title, organization_id, relevance, reason``: what enrichment results name, each row once, written.
 
-    The first five organizations and people of an item count; an unknown type is
-    ``government``'s quarantine and an out-of-range relevance too: such rows don't
-    enter. All else of a result stays in the item's tags.
+    ``reason`` is null for accepted rows; others have no name, a relevance outside 0 to 1
+    or none, or an unknown type of organization. The first five organizations and people
+    of an item count; later ones have a reason too, so nothing disappears.
     """
     r = results.where("result is not null").select("news_id", "result.*")
-    topic = r.select("news_id", F.posexplode("topics").alias("pos", "x")).where("x.name is not null and x.relevance between 0 and 1")
-    topic = topic.select("news_id", "pos", slug(F.col("x.name"), slugs or {}).alias("topic_id"), F.col("x.name").alias("name"), F.col("x.relevance").alias("relevance_score"))
+    unnamed = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    late = F.col("pos") >= KEPT
+    columns = ("news_id", "relation", "pos", "id", "name", "kind", "title", "organization_id", "relevance", "reason")
+
+    def shaped(rows, relation, **more):
+        return rows.select(*[more.get(c, F.lit(relation) if c == "relation" else F.col(c) if c in rows.columns else F.lit(None).cast("double" if c == "relevance" else "string")).alias(c) for c in columns])
+
+    topic = r.select("news_id", F.posexplode("topics").alias("pos", "x")).select("news_id", "pos", F.col("x.name").alias("name"), F.col("x.relevance").alias("relevance"))
+    topic = shaped(topic, "topic", id=slug(F.col("name"), slugs or {}), reason=F.when(unnamed("name"), "no name").when(~F.coalesce(F.col("relevance").between(0, 1), F.lit(False)), "relevance outside 0 to 1"))
+    org = r.select("news_id", F.posexplode("organizations").alias("pos", "x")).select("news_id", "pos", F.col("x.name").alias("name"), F.col("x.type").alias("kind"))
+    org = shaped(org, "organization", id=F.col("name"), reason=F.when(unnamed("name"), "no name").when(late, "beyond the first five").when(~F.coalesce(F.col("kind").isin(*ORG_TYPES), F.lit(False)), "unknown type"))
+    who = r.select("news_id", "organizations", F.posexplode("people").alias("pos", "x")).select("news_id", "pos", F.col("x.name").alias("name"), F.col("x.title").alias("title"), infer_organization(F.coalesce("x.title", F.lit("")), F.col("organizations")).alias("organization_id"))
+    who = shaped(who, "person", id=F.col("name"), reason=F.when(unnamed("name"), "no name").when(late, "beyond the first five"))
+    return materialize(topic.unionByName(org).unionByName(who), "judged")
+
+
+def persist_enrichment(results: DataFrame, slugs: dict[str, str] | None = None) -> dict[str, DataFrame]:
+    """The rows that enrichment results ``(news_id, result)`` add: dimensions by first writer, and links; and ``rejected``, what doesn't enter, with its reason.
+
+    An item's tags keep all entities as they came, locations and whatever else a
+    provider gives, and its policy signals.
+    """
+    rows = judged_rows(results, slugs)
+    fine = rows.where("reason is null")
+    topic, org, who = (fine.where(F.col("relation") == x) for x in ("topic", "organization", "person"))
     category = F.coalesce(F.element_at(F.create_map(*[F.lit(v) for kv in TOPIC_CATEGORIES.items() for v in kv]), F.col("name")), F.lit(""))
-    org = r.select("news_id", F.posexplode(F.slice("organizations", 1, KEPT)).alias("pos", "x")).where(F.col("x.name").isNotNull() & F.col("x.type").isin(*ORG_TYPES))
-    org = org.select("news_id", "pos", F.col("x.name").alias("org_id"), F.col("x.name").alias("name"), F.col("x.type").alias("type"))
-    who = r.select("news_id", "organizations", F.posexplode(F.slice("people", 1, KEPT)).alias("pos", "x")).where("x.name is not null")
-    who = who.select("news_id", "pos", F.col("x.name").alias("person_id"), F.col("x.name").alias("name"), F.col("x.title").alias("title"), infer_organization(F.coalesce("x.title", F.lit("")), F.col("organizations")).alias("organization_id"))
     order = ["news_id", "pos"]
+    r = results.where("result is not null").select("news_id", "result.*")
+    signals = F.concat(F.lit('"_policy_signals":'), F.col("signals"))
+    entities = F.regexp_extract(F.coalesce("entities", F.lit("{}")), r"(?s)^\{(.*)\}$", 1)
+    tags = F.concat(F.lit("{"), F.concat_ws(",", F.nullif(entities, F.lit("")), signals), F.lit("}"))
     return {
-        "items": r.select("news_id", "summary", "keywords", F.to_json(F.struct("people", "organizations", F.col("policy_signals").alias("_policy_signals"))).alias("tags")),
-        "topic": first_writer(topic.withColumn("category", category), ["topic_id"], order).select("topic_id", "name", "category"),
-        "news_topic": first_writer(topic, ["news_id", "topic_id"], order).select("news_id", "topic_id", "relevance_score"),
-        "organization": first_writer(org, ["org_id"], order).select("org_id", "name", "type"),
-        "news_organization": org.select("news_id", "org_id").distinct(),
-        "person": first_writer(who, ["person_id"], order).select("person_id", "name", F.col("name").alias("name_chinese"), "title", "organization_id"),
-        "news_person": who.select("news_id", "person_id").distinct(),
+        "items": r.select("news_id", "summary", "keywords", tags.alias("tags")),
+        "topic": first_writer(topic.withColumn("category", category), ["id"], order).select(F.col("id").alias("topic_id"), "name", "category"),
+        "news_topic": first_writer(topic, ["news_id", "id"], order).select("news_id", F.col("id").alias("topic_id"), F.col("relevance").alias("relevance_score")),
+        "organization": first_writer(org, ["id"], order).select(F.col("id").alias("org_id"), "name", F.col("kind").alias("type")),
+        "news_organization": org.select("news_id", F.col("id").alias("org_id")).distinct(),
+        "person": first_writer(who, ["id"], order).select(F.col("id").alias("person_id"), "name", F.col("name").alias("name_chinese"), "title", "organization_id"),
+        "news_person": who.select("news_id", F.col("id").alias("person_id")).distinct(),
+        "rejected": rows.where("reason is not null").select("news_id", "relation", "pos", "name", "reason"),
     }
 
 

@@ -37,7 +37,7 @@ def ablations(articles: DataFrame, gold: DataFrame | None = None, window_days: i
         own = found.select(F.col("news_id").alias("item"), F.col("cluster_id").alias("label"))
         shape = metrics.diagnostics(own.join(articles.select(F.col("news_id").alias("item"), "day"), "item"))
         sizes = metrics.size_histogram(own).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("size", "clusters"))), lambda x: F.concat_ws(":", x["size"], x["clusters"])), ",").alias("size_histogram"))
-        previews = clusters.preview(found).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cluster_id", "preview_id"))), lambda x: x["preview_id"]), ",").alias("previews"))
+        previews = clusters.preview(found).select("cluster_id", "preview_id").distinct().agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cluster_id", "preview_id"))), lambda x: x["preview_id"]), ",").alias("previews"))
         row = of_blocks.crossJoin(shape).crossJoin(sizes).crossJoin(previews).crossJoin(retrieval(None if variant == "legacy" else edges, "edge"))
         for prefix, measure in (("pairwise", metrics.pairwise_metrics), ("bcubed", metrics.bcubed_metrics)):
             row = row.crossJoin(empty(prefix) if gold is None else named(measure(gold, own), *quality, prefix=prefix))

@@ -27,5 +27,17 @@ TABLES = {
     "event_relation": "source_event_id string, target_event_id string, similarity_score double, relation_type string, time_interval_days int",
 }
 
+#: References between the tables: table and column, the table and column that they lead to.
+REFERENCES = (
+    ("person", "organization_id", "organization", "org_id"),
+    ("news_person", "news_id", "news_item", "news_id"), ("news_person", "person_id", "person", "person_id"),
+    ("news_organization", "news_id", "news_item", "news_id"), ("news_organization", "org_id", "organization", "org_id"),
+    ("news_topic", "news_id", "news_item", "news_id"), ("news_topic", "topic_id", "topic", "topic_id"),
+    ("news_event_link", "news_id", "news_item", "news_id"), ("news_event_link", "event_id", "news_event", "event_id"),
+    ("event_person", "event_id", "news_event", "event_id"), ("event_person", "person_id", "person", "person_id"),
+    ("event_organization", "event_id", "news_event", "event_id"), ("event_organization", "org_id", "organization", "org_id"),
+    ("event_relation", "source_event_id", "news_event", "event_id"), ("event_relation", "target_event_id", "news_event", "event_id"),
+)
+
 #: What an enrichment provider returns for an item, after the shapes it may take are made uniform.
-ENRICHMENT = "summary string, keywords array<string>, topics array<struct<name:string,relevance:double>>, people array<struct<name:string,title:string>>, organizations array<struct<name:string,type:string>>, policy_signals array<struct<signal:string,type:string,evidence:string>>"
+ENRICHMENT = "summary string, keywords array<string>, topics array<struct<name:string,relevance:double>>, people array<struct<name:string,title:string>>, organizations array<struct<name:string,type:string>>, entities string, signals string, policy_signals array<struct<signal:string,type:string,evidence:string>>"

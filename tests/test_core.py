@@ -2,6 +2,7 @@
 
 import datetime
 import json
+from collections import Counter
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -210,9 +211,16 @@ def test_queue_is_reproducible_and_counts_agree(spark):
     assert q == [tuple(r)[:3] for r in annotation.make_queue(c.repartition(5), limit=9).collect()] and len(q) == len(set(q)) == 9
     first = next(r for r in annotation.make_queue(c, limit=9).collect() if r["stratum"] == "model_positive")
     assert first["evidence"]["matched_pair_score"] >= 0.34 and first["source"]["left_title"] and first["source"]["left_url"] is None and first["reviewer_1"] is None
-    assert annotation.make_queue(c, limit=6, per_row=1).count() == 6
+    assert annotation.make_queue(c, limit=6).count() == 6
     counted = {r["stratum"]: r["pairs"] for r in annotation.strata_counts(c).collect()}
-    made = {r["stratum"]: r["count"] for r in annotation.pair_strata(c).groupBy("stratum").count().collect()}
+    rows = c.collect()
+    edges = {(r["left"], r["right"]) for r in annotation.accepted_pairs(c).collect()}
+    made = Counter()
+    for i, a in enumerate(rows):
+        for b in rows[:i]:
+            if abs((a["day"] - b["day"]).days) <= 7:
+                related = any(set(a[k]) & set(b[k]) for k in ("topics", "people", "organizations"))
+                made["model_positive" if tuple(sorted((a["news_id"], b["news_id"]))) in edges else "topical_unmatched" if related else "random_control"] += 1
     assert {k: v for k, v in counted.items() if v} == made
     with pytest.raises(ValueError):
         annotation.make_queue(c, limit=0)
@@ -302,7 +310,7 @@ def test_enrichment(spark):
     text_of = json.dumps(reply, ensure_ascii=False)
 
     def provider(t):
-        return t.map(lambda x: f"```json\n{text_of}\n```" if x[0] == "x" else "no json")
+        return f"```json\n{text_of}\n```" if t[0] == "x" else "no json"
 
     out = loading.enrich(items, provider).persist()
     assert {r["news_id"]: r["status"] for r in out.collect()} == {"a": "enhanced", "b": "skipped", "c": "failed"}
@@ -337,19 +345,89 @@ def test_report_compares_variants(spark):
 
 
 def test_providers_are_tried_again(spark):
-    import pandas as pd
-
     calls, waits = [], []
 
-    def provider(texts):
+    def provider(text):
         calls.append(1)
         if len(calls) < 3:
             raise loading.Busy
-        return texts
+        return text
+
+    assert loading.with_retries(provider, sleep=waits.append)("x") == "x" and waits == [1.0, 2.0]
+    with pytest.raises(ValueError):
+        loading.with_retries(lambda t: (_ for _ in ()).throw(ValueError()), sleep=waits.append)("x")
+
 
-    assert loading.with_retries(provider, sleep=waits.append)(pd.Series(["x"])).tolist() == ["x"] and waits == [1.0, 2.0]
+def test_one_bad_text_fails_alone(spark):
+    items = spark.createDataFrame([(i, f"text {i} " * 10, None) for i in range(40)], "news_id long, full_text string, summary string").coalesce(1)
+
+    def provider(t):
+        if t.startswith("text 17 "):
+            raise RuntimeError("no luck")
+        return loading.stub(t) if not t.startswith("text 9 ") else '{"summary": ""}'
+
+    got = {r["news_id"]: (r["status"], r["reason"]) for r in loading.enrich(items, provider, concurrency=5).collect()}
+    assert got.pop(17) == ("failed", "RuntimeError: no luck") and got.pop(9) == ("failed", "no summary")
+    assert len(got) == 38 and set(got.values()) == {("enhanced", None)}
+    assert sorted(r["news_id"] for r in loading.enrich(items, provider, limit=3).collect()) == [0, 1, 2]
+    assert {r["status"] for r in loading.enrich(items, lambda t: 1 / 0, dry_run=True).collect()} == {"pending"}
     with pytest.raises(ValueError):
-        loading.with_retries(lambda t: (_ for _ in ()).throw(ValueError()), sleep=waits.append)(pd.Series(["x"]))
+        loading.enrich(items, provider, concurrency=0)
+
+
+def test_calls_run_side_by_side_and_hold_the_input_back(spark):
+    import threading
+    import time
+
+    import pyarrow as pa
+
+    now, most, lock, read = [0], [0], threading.Lock(), [0]
+
+    def provider(t):
+        with lock:
+            now[0] += 1
+            most[0] = max(most[0], now[0])
+        time.sleep(0.02)
+        with lock:
+            now[0] -= 1
+        return t
+
+    def batches():
+        for i in range(3):
+            read[0] += 1
+            yield pa.record_batch([pa.array(range(20)), pa.array([f"{i}-{j}" for j in range(20)])], names=["news_id", "text"])
+
+    began = time.time()
+    out = loading.called(provider, batches(), 5)
+    first = next(out)
+    assert read[0] == 1 and first.column(1).to_pylist() == [f"0-{j}" for j in range(20)]
+    assert sum(b.num_rows for b in out) == 40 and most[0] == 5 and time.time() - began < 60 * 0.02
+
+
+def test_ids_within_a_batch(spark):
+    kind = "news_id string, title string, full_text string, broadcast_date date, order_in_broadcast int, url string"
+    none = spark.createDataFrame([], f"{kind}, word_count int")
+    row = ("a", "T", "text", day(1), 1, None)
+    two = loading.import_items(spark.createDataFrame([row, row, (*row[:5], "https://b"), (*row[:5], "https://a")], kind), none)
+    assert [(r["news_id"], r["url"], r["word_count"]) for r in two.collect()] == [("a", "https://a", 4)]
+    for bad in ([row, ("a", "T", "other", day(1), 1, None)], [(None, "T", "text", day(1), 1, None)]):
+        with pytest.raises(ValueError):
+            loading.import_items(spark.createDataFrame(bad, kind), none)
+    again = loading.import_items(spark.createDataFrame([row, row], kind), two)
+    assert again.count() == 1
+
+
+def test_rejected_rows_are_kept_apart(spark):
+    reply = {"summary": "S", "topics": [{"name": "good", "relevance": 1}, {"name": "bad", "relevance": 7}, {"name": " "}], "entities": {"people": [{"name": f"P{i}"} for i in range(7)], "organizations": [{"name": "odd", "type": "club"}, "Ministry"], "locations": ["Here"]}, "policy_signals": [{"signal": "x", "type": "t", "evidence": "e", "more": 1}]}
+    items = spark.createDataFrame([("a", "x" * 60, None)], "news_id string, full_text string, summary string")
+    out = loading.enrich(items, lambda t: json.dumps(reply))
+    t = loading.persist_enrichment(out)
+    rejected = sorted((r["relation"], r["reason"]) for r in t["rejected"].collect())
+    assert rejected == [("organization", "unknown type"), ("person", "beyond the first five"), ("person", "beyond the first five"), ("topic", "no name"), ("topic", "relevance outside 0 to 1")]
+    accepted = sum(t[x].count() for x in ("news_topic", "news_organization", "news_person"))
+    assert accepted + len(rejected) == 3 + 7 + 2
+    tags = json.loads(one(t["items"])["tags"])
+    assert tags["locations"] == ["Here"] and tags["_policy_signals"][0]["signal"] == "x" and len(tags["people"]) == 7
 
 
 def test_fixture_source(spark, tmp_path):

@@ -4,8 +4,8 @@ Two codebooks, trained on the halves of a bounded sample of vectors, form a prod
 grid. Every vector has a home cell and visits cells in the order of two sorted
 sequences of costs, one for each half: the squared distances to the planes between
 its nearest centroid and the others. A neighbour cannot lie in a cell whose summed
-cost exceeds the squared distance at the threshold; the sample's own pairs show how
-far a search must go for the recall that is asked for, and it stops there. Visits
+cost exceeds the squared distance at the threshold, so a search that goes that far
+reaches a recall of one, whatever the groups' sizes, and it stops there. Visits
 meet home vectors cell by cell, in blocks of bounded size, and are verified in
 double precision. Equal vectors are one class from the start, and a block returns
 sums and a spanning forest, never its pairs.
@@ -24,11 +24,14 @@ from newsloom.plans.scratch import materialize
 from newsloom.session import ship
 
 #: Vectors that the codebooks are trained on at most (about), wanted vectors of the largest label in a cell, most centroids of a half (the sample has 20 for each),
-#: home and visiting vectors of a block, share of the sample's pairs that the stop radius must reach and the factor on it, pairs below which the exact bound is used.
-SAMPLE, PER_CELL, CENTROIDS, HOME_BLOCK, VISIT_BLOCK, RECALL, MARGIN, LEAST_PAIRS = 20_000, 100, 1_024, 512, 1_024, 0.9995, 1.5, 50
+#: home and visiting vectors of a block, and what rounding may add to a cost.
+SAMPLE, PER_CELL, CENTROIDS, HOME_BLOCK, VISIT_BLOCK, SLACK = 20_000, 100, 1_024, 512, 1_024, 1e-9
 
 
 def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length one; first scaled by their largest component, as squares of very large or small ones leave the range of doubles."""
+    x = x.astype(np.float64)
+    x = x / np.abs(x).max(1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -73,23 +76,6 @@ def visits(x: np.ndarray, books: tuple[np.ndarray, np.ndarray], radius: float) -
     return rows, cells, cells == (home1 * len(books[1]) + home2)[rows]
 
 
-def stop_radius(x: np.ndarray, key: np.ndarray, books: tuple[np.ndarray, np.ndarray], least: float) -> float:
-    """Cost that reaches all but 1 - ``RECALL`` of the sample's pairs, and never more than the exact bound."""
-    exact = 2 - 2 * least
-    h = x.shape[1] // 2
-    (home1, c1), (home2, c2) = costs(x[:, :h], books[0]), costs(x[:, h:], books[1])
-    seen = []
-    for k in np.unique(key):
-        at = np.flatnonzero(key == k)
-        for lo in range(0, len(at), 1000):
-            i, j = np.nonzero(x[at[lo : lo + 1000]] @ x[at].T >= least)
-            i, j = at[lo + i], at[j]
-            i, j = i[i != j], j[i != j]
-            seen.append(c1[i, home1[j]] + c2[i, home2[j]])
-    seen = np.concatenate(seen) if seen else np.empty(0)
-    return exact if len(seen) < LEAST_PAIRS else min(exact, MARGIN * float(np.quantile(seen, RECALL)) + exact / 50)
-
-
 def valid(embedding: str = "embedding", label: str = "label"):
     e = F.col(embedding)
     fine = F.size(e) > 0
@@ -109,7 +95,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     """
     spark = vectors.sparkSession
     ship(spark)
-    e = F.transform("embedding", lambda x: x.cast("double"))
+    e = F.col("embedding") if dict(vectors.dtypes)["embedding"] in ("array<float>", "array<double>") else F.transform("embedding", lambda x: x.cast("double"))
     own = vectors.select("vec_id", F.when(valid(), F.concat_ws(":", F.size("embedding").cast("string"), F.col("label").cast("string"))).alias("key"), e.alias("e"))
     classes = materialize(own.where("key is not null").groupBy("key", "e").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")).withColumn("c", F.xxhash64("key", "e")), "vectors")
     n = classes.count()
@@ -138,23 +124,22 @@ def _links(classes: DataFrame, least: float, n: int) -> DataFrame:
     drawn = classes.where(F.pmod(F.xxhash64("c"), F.lit(step)) == 0).select("key", "e").toPandas()
     if drawn.empty:
         drawn = classes.select("key", "e").limit(1).toPandas()
-    x = unit(np.stack(drawn["e"].to_numpy()).astype(np.float64))
+    x = unit(np.stack(drawn["e"].to_numpy()))
     most = classes.groupBy("key").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
     h, k = x.shape[1] // 2, int(np.clip(round((most / PER_CELL) ** 0.5), 2, CENTROIDS))
     books = kmeans(x[:, :h], k), kmeans(x[:, h:], k)
-    radius = stop_radius(x, drawn["key"].to_numpy().astype(str), books, least)
-    index = spark.sparkContext.broadcast((books, radius))
+    index = spark.sparkContext.broadcast((books, 2 - 2 * least + SLACK))
 
     def visit(batches):
         b2, r = index.value
         for b in (whole.slice(lo, 1000) for whole in batches for lo in range(0, whole.num_rows, 1000)):
             if b.num_rows:
-                v = unit(np.stack(b.column(1).to_numpy(zero_copy_only=False)).astype(np.float64))
+                v = unit(np.stack(b.column(1).to_numpy(zero_copy_only=False)))
                 rows, cells, home = visits(v, b2, r)
                 take = b.take(pa.array(rows))
                 yield pa.record_batch({"key": take.column(0), "c": take.column(2), "n": take.column(3), "cell": pa.array(cells.astype(np.int64)), "home": pa.array(home), "e": take.column(1)})
 
-    seen = materialize(classes.select("key", "e", "c", "n").mapInArrow(visit, "key string, c long, n long, cell long, home boolean, e array<double>"), "visits")
+    seen = materialize(classes.select("key", "e", "c", "n").mapInArrow(visit, f"key string, c long, n long, cell long, home boolean, e {dict(classes.dtypes)['e']}"), "visits")
     size = seen.groupBy("key", "cell").agg(F.ceil(F.count_if("home") / HOME_BLOCK).cast("int").alias("hb"), F.ceil(F.count("*") / VISIT_BLOCK).cast("int").alias("vb")).where("hb > 0")
     cut = seen.join(size, ["key", "cell"])
     block = lambda n: F.pmod(F.col("c"), F.col(n)).cast("int")
@@ -164,9 +149,8 @@ def _links(classes: DataFrame, least: float, n: int) -> DataFrame:
 
     def verify(t: pa.Table) -> pa.Table:
         where = t.column("at_home").to_numpy()
-        v = np.stack(t.column("e").to_numpy()) if t.num_rows else np.empty((0, 1))
+        v = unit(np.stack(t.column("e").to_numpy()))
         c, m = t.column("c").to_numpy(), t.column("n").to_numpy()
-        v = unit(v.astype(np.float64))
         p, b = np.flatnonzero(~where), np.flatnonzero(where)
         a = (v[p] @ v[b].T >= least) & (c[p][:, None] != c[b])
         links = a @ m[b]

@@ -316,6 +316,31 @@ def test_embeddings_match_brute_force(spark):
     assert embeddings.near_duplicates(df.where("vec_id < 0")).count() == 0
 
 
+def test_embeddings_of_any_finite_size(spark):
+    rows = [(1, [1e200, 1e200], 0), (2, [1.0, 1.0], 0), (3, [1e-200, 1e-200], 0), (4, [5e-324, 0.0], 0), (5, [1e308, 0.0], 0), (6, [-1e200, 1e-200], 0), (None, [2.0, 2.0], 0), (None, [0.0, -3.0], 0), (5, [7.0, 0.0], 0), (5, [0.0, 1e-300], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted(((r["vec_id"] or -1, r["n_links"], r["component_id"]) for r in embeddings.near_duplicates(df).collect()), key=str)
+    assert got == sorted([(1, 3, 1), (2, 3, 1), (3, 3, 1), (-1, 3, 1), (4, 2, 4), (5, 2, 4), (5, 2, 4), (6, 0, 6), (-1, 0, None), (5, 0, 5)], key=str)
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_small_groups_are_found_beside_a_hot_one(spark, kind):
+    rng = np.random.default_rng(17)
+    hot = rng.normal(size=32) + 0.05 * rng.normal(size=(700, 32))
+    small = rng.normal(size=(900, 32))
+    twin = small / np.linalg.norm(small, axis=1, keepdims=True)
+    side = rng.normal(size=twin.shape)
+    side -= (side * twin).sum(1, keepdims=True) * twin
+    twin = 0.9815 * twin + (1 - 0.9815**2) ** 0.5 * side / np.linalg.norm(side, axis=1, keepdims=True)  # just above the threshold
+    x = np.concatenate([hot, small, twin]).astype(np.float32 if kind == "float" else np.float64)
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], f"vec_id long, embedding array<{kind}>, label int").repartition(4)
+    u = x.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    links = (u @ u.T >= 0.98).sum(1) - 1
+    assert (links[700:] >= 1).all()
+    assert [r["n_links"] for r in embeddings.near_duplicates(df).orderBy("vec_id").collect()] == links.tolist()
+
+
 def test_token_counts_match_the_library(docs, none):
     import sentencepiece
 

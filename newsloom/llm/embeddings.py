@@ -4,8 +4,10 @@ Two codebooks, trained on the halves of a bounded sample of vectors, form a prod
 grid. Every vector has a home cell and visits cells in the order of two sorted
 sequences of costs, one for each half: the squared distances to the planes between
 its nearest centroid and the others. A neighbour cannot lie in a cell whose summed
-cost exceeds the squared distance at the threshold, so a search that goes that far
-reaches a recall of one, whatever the groups' sizes, and it stops there. Visits
+cost exceeds the squared distance at the threshold. How far a search has to go for the
+recall that is asked for is measured on simulated neighbours at the threshold, one of
+each sampled vector in a random direction, and on the sample's own links, each vector
+counting once; so neither the input's size nor hot groups change the rule. Visits
 meet home vectors cell by cell, in blocks of bounded size, and are verified in
 double precision. Equal vectors are one class from the start, and a block returns
 sums and a spanning forest, never its pairs.
@@ -24,8 +26,8 @@ from newsloom.plans.scratch import materialize
 from newsloom.session import ship
 
 #: Vectors that the codebooks are trained on at most (about), wanted vectors of the largest label in a cell, most centroids of a half (the sample has 20 for each),
-#: home and visiting vectors of a block, and what rounding may add to a cost.
-SAMPLE, PER_CELL, CENTROIDS, HOME_BLOCK, VISIT_BLOCK, SLACK = 20_000, 100, 1_024, 512, 1_024, 1e-9
+#: home and visiting vectors of a block, share of neighbours at the threshold that a search must reach, and what rounding may add to a cost.
+SAMPLE, PER_CELL, CENTROIDS, HOME_BLOCK, VISIT_BLOCK, RECALL, SLACK = 20_000, 100, 1_024, 512, 1_024, 0.9995, 1e-9
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -76,6 +78,30 @@ def visits(x: np.ndarray, books: tuple[np.ndarray, np.ndarray], radius: float) -
     return rows, cells, cells == (home1 * len(books[1]) + home2)[rows]
 
 
+def stop_radius(x: np.ndarray, key: np.ndarray, books: tuple[np.ndarray, np.ndarray], least: float) -> float:
+    """Cost within which ``RECALL`` of the neighbours at the threshold are reached, and for as many sampled vectors all their links in the sample; never more than the exact bound."""
+    h, rng = x.shape[1] // 2, np.random.default_rng(0)
+    away = rng.normal(size=x.shape)
+    away -= (away * x).sum(1, keepdims=True) * x
+    y = least * x + (1 - least**2) ** 0.5 * away / np.maximum(np.linalg.norm(away, axis=1, keepdims=True), 1e-300)
+    (home1, c1), (home2, c2) = costs(x[:, :h], books[0]), costs(x[:, h:], books[1])
+    (near1, _), (near2, _) = costs(y[:, :h], books[0]), costs(y[:, h:], books[1])
+    rows = np.arange(len(x))
+    reach = float(np.quantile(c1[rows, near1] + c2[rows, near2], RECALL))
+    furthest = []
+    for k in np.unique(key):
+        at = np.flatnonzero(key == k)
+        for lo in range(0, len(at), 1000):
+            some = at[lo : lo + 1000]
+            linked = (x[some] @ x[at].T >= least) & (some[:, None] != at)
+            cost = np.where(linked, c1[some][:, home1[at]] + c2[some][:, home2[at]], -1).max(1)
+            furthest.append(cost[cost >= 0])
+    furthest = np.concatenate(furthest)
+    if len(furthest):
+        reach = max(reach, float(np.quantile(furthest, RECALL)))
+    return min(2 - 2 * least, reach) + SLACK
+
+
 def valid(embedding: str = "embedding", label: str = "label"):
     e = F.col(embedding)
     fine = F.size(e) > 0
@@ -128,7 +154,7 @@ def _links(classes: DataFrame, least: float, n: int) -> DataFrame:
     most = classes.groupBy("key").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
     h, k = x.shape[1] // 2, int(np.clip(round((most / PER_CELL) ** 0.5), 2, CENTROIDS))
     books = kmeans(x[:, :h], k), kmeans(x[:, h:], k)
-    index = spark.sparkContext.broadcast((books, 2 - 2 * least + SLACK))
+    index = spark.sparkContext.broadcast((books, stop_radius(x, drawn["key"].to_numpy().astype(str), books, least)))
 
     def visit(batches):
         b2, r = index.value

@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.bindings import SQL_EDGES, SQL_PAIRS, SQL_R, SQL_T, Relational, articles, stream_links, table
-from newsloom.functions.text import grams, headline, news_id, safe_url
+from newsloom.bindings import CATEGORIES, SQL_EDGES, SQL_PAIRS, SQL_R, SQL_T, Relational, articles, stream_links, table
+from newsloom.functions.text import TOPIC_READINGS, grams, headline, news_id, round_even, round_even_sql, safe_url, slug
 from newsloom.operators import annotation, clusters, events, exports, graph, loading, metrics, rendering, report, search
-from newsloom.sources import html, markdown
+from newsloom.plans import builds, publish
+from newsloom.plans.scratch import scratch_path
+from newsloom.sources import files, html, markdown
+from newsloom.sources import pages as saved_pages
 from newsloom.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,15 +126,16 @@ def topic_narrative(spark, d):
 
 # events
 
+_HEAT = """0.4::double * (least(news_count::double / 30, 1.0::double) * 100) + 0.3::double * greatest(0.0::double, least(100.0::double, 100.0::double - gap::double * (100.0::double / 30)))
+  + 0.2::double * (case when earlier > 0 then least(recent::double / earlier::double * 50, 100.0::double) when recent > 0 then 50.0::double else 0.0::double end) + 0.1::double * (least(actors::double / 10, 1.0::double) * 100)"""
 _BOARD = """
 links as (select user_id as event_id, event_id as news_id, cast(ts as date) as day, event_type as actor from events),
 metric as (select event_id, count(*) as news_count, min(day) as first_date, max(day) as last_date, min(as_of - day) as gap, count(*) filter (where as_of - day <= 7) as recent, count(*) filter (where as_of - day > 7 and as_of - day <= 14) as earlier, count(distinct actor) as actors
   from links, (select max(day) as as_of from links) group by event_id),
-heat as (select *, round(0.4::double * (least(news_count::double / 30, 1.0::double) * 100) + 0.3::double * greatest(0.0::double, least(100.0::double, 100.0::double - gap::double * (100.0::double / 30)))
-  + 0.2::double * (case when earlier > 0 then least(recent::double / earlier::double * 50, 100.0::double) when recent > 0 then 50.0::double else 0.0::double end) + 0.1::double * (least(actors::double / 10, 1.0::double) * 100), 1) as heat_score from metric),
+heat as (select *, HEAT_SCORE as heat_score from metric),
 board as (select event_id, news_count, first_date, last_date, recent, earlier, actors, heat_score, case when heat_score >= 70 then 'critical' when heat_score >= 50 then 'major' when heat_score >= 30 then 'notable' else 'routine' end as importance,
   case when news_count = 0 or gap > 30 then 'archived' when gap > 7 then 'resolved' when recent = 0 then 'declining' when recent > 1.5 * earlier then (case when news_count > 3 then 'developing' else 'emerging' end) when recent >= 0.8 * earlier then 'peak' when recent < 0.5 * earlier then 'declining' else 'developing' end as status from heat)
-"""
+""".replace("HEAT_SCORE", round_even_sql(_HEAT, 1))
 
 
 def _board(spark, d):
@@ -192,6 +196,37 @@ def primary_actor(spark, d):
     return events.primary_actors(r.links(), r.news_person())
 
 
+_ACTORS = f"{SQL_R}, n as (select event_id, person_id, count(*) as k from links join news_person using (news_id) group by all), ep as (select event_id, person_id, case when row_number() over (partition by event_id order by k desc, person_id) = 1 then 'primary_actor' else 'mentioned' end as role from n)"
+
+
+def _roles(r):
+    """People of events in their roles."""
+    first = events.primary_actors(r.links(), r.news_person()).select("event_id", "person_id", F.lit("primary_actor").alias("first"))
+    people = events.event_entities(r.links(), r.news_person(), "person_id").join(first, ["event_id", "person_id"], "left")
+    return people.select("event_id", "person_id", F.coalesce("first", "role").alias("role"))
+
+
+@query(f"with {_ACTORS} select person_id, name_chinese, role from ep join persons using (person_id) where event_id = 7 and role = 'primary_actor' order by person_id limit 10")
+def event_detail_actors(spark, d):
+    r = Relational(spark, d)
+    return search.event_actors(_roles(r), r.persons(), 7).select("person_id", "name_chinese", "role")
+
+
+@query(
+    f"""with {_ACTORS}, own as (select items.* from items join links using (news_id) where links.event_id = 7), lines as (
+select 1 as section, unnest([1, 2, 3, 4, 5]) as position, unnest(['Event: Customer 7', 'Type: economic', 'Importance: notable', 'Status: developing', 'Dates: ' || min(broadcast_date) || ' to ' || max(broadcast_date)]) as line from own
+union all select 2, row_number() over (order by role, person_id), '- ' || name_chinese || ' (' || role || ')' from ep join persons using (person_id) where event_id = 7 qualify row_number() over (order by role, person_id) <= 10
+union all select 3, row_number() over (order by org_id), '- ' || name || ' (mentioned)' from (select distinct org_id from links join news_org using (news_id) where event_id = 7) join orgs using (org_id) qualify row_number() over (order by org_id) <= 10
+union all select 4, row_number() over (order by broadcast_date, news_id), '[' || broadcast_date || '] ' || title || chr(10) || '  ' || substr(coalesce(nullif(summary, ''), full_text, ''), 1, 300) from own)
+select section::int as section, position::bigint as position, line from lines"""
+)
+def event_report(spark, d):
+    r = Relational(spark, d)
+    span = r.links().join(r.items().select("news_id", "broadcast_date"), "news_id").groupBy("event_id").agg(F.min("broadcast_date").alias("first_date"), F.max("broadcast_date").alias("last_date"))
+    known = span.select("*", F.concat(F.lit("Customer "), F.col("event_id").cast("string")).alias("name"), F.lit("economic").alias("type"), F.lit("notable").alias("importance"), F.lit("developing").alias("status"))
+    return search.event_report(known, r.items().drop("event_id"), r.links(), _roles(r), r.persons(), events.event_entities(r.links(), r.news_org(), "org_id"), r.orgs(), 7)
+
+
 @query(f"with {SQL_R} select distinct event_id, org_id, 'mentioned' as role from links join news_org using (news_id)")
 def event_organizations(spark, d):
     r = Relational(spark, d)
@@ -216,6 +251,12 @@ def related_events(spark, d):
     return events.related_events(people, ev)
 
 
+@query(f"with {_MONTHS} select source_event_id, target_event_id, least(0.2::double * shared, 1.0::double) as similarity_score, 'thematic' as relation_type from top where source_event_id = '1995-03' order by similarity_score desc, target_event_id limit 5")
+def event_detail_relations(spark, d):
+    own, ev, people = _months(spark, d)
+    return search.event_relations(events.related_events(people, ev), "1995-03").select("source_event_id", "target_event_id", "similarity_score", "relation_type")
+
+
 _SAME_DAY = f"""with recursive {SQL_R}, pt as (select distinct l_orderkey as news_id, p_brand || ' ' || p_type as topic_id from lineitem join part on l_partkey = p_partkey), generic as (select topic_id from pt group by topic_id order by count(*) desc, topic_id limit 3),
 placed as (select news_id, topic_id, broadcast_date from pt join items using (news_id) where topic_id not in (select topic_id from generic)), hub as (select topic_id, broadcast_date, min(news_id) as m from placed group by all),
 edge as (select distinct m as a, news_id as b from placed join hub using (topic_id, broadcast_date) where m <> news_id), twoway as (select a, b from edge union select b, a from edge),
@@ -255,6 +296,41 @@ def legacy_islands(spark, d):
     return events.topic_islands(placed).groupBy("topic_id").agg(F.count_distinct("start").alias("islands"), F.count("*").alias("days"))
 
 
+@query(
+    f"""{_SAME_DAY}, size as (select cluster_id, count(*) as n from comp group by 1), of_item as (select news_id, comp.cluster_id, n, title, broadcast_date, substr(sha256(case when n >= 2 then string_agg(cast(news_id as varchar), ',' order by cast(news_id as varchar)) over (partition by comp.cluster_id rows between unbounded preceding and unbounded following) else cast(news_id as varchar) end), 1, 16) as event_id
+  from comp join size using (cluster_id) join items using (news_id)),
+dom as (select event_id, topic_id, row_number() over (partition by event_id order by count(*) desc, topic_id) as rk from of_item join pt using (news_id) group by event_id, topic_id),
+cat as (select event_id, category, row_number() over (partition by event_id order by count(*) desc, category) as rk from of_item join (select news_id, lower(([{', '.join(repr(c) for c in CATEGORIES)}])[cast(regexp_extract(topic_id, '#([0-9]+)', 1) as int) % {len(CATEGORIES)} + 1]) as category from pt) using (news_id) group by event_id, category),
+people as (select event_id, count(distinct person_id) as actors from of_item join news_person using (news_id) group by 1), as_of as (select max(broadcast_date) as as_of from items),
+metric as (select event_id, count(*) as news_count, min(broadcast_date) as first_date, max(broadcast_date) as last_date, min(as_of - broadcast_date) as gap, count(*) filter (where as_of - broadcast_date <= 7) as recent, count(*) filter (where as_of - broadcast_date > 7 and as_of - broadcast_date <= 14) as earlier, any_value(title) as title, coalesce(any_value(people.actors), 0) as actors,
+  min({{'d': broadcast_date, 'i': cast(news_id as varchar), 'line': '[' || broadcast_date || '] ' || case when length(s) > 0 then substr(s, 1, 200) else substr(title, 1, 200) end}}) as first from (select of_item.*, coalesce(items.summary, '') as s from of_item join items using (news_id)) o left join people using (event_id), as_of group by event_id),
+heat as (select *, HEAT as heat_score from metric)
+select event_id, case when news_count >= 2 then topic_id || '_' || first_date || '_' || news_count || '条' else substr(title, 1, 80) end as name, case category when 'economy' then 'economic' when 'politics' then 'political' when 'military' then 'military' when 'technology' then 'technological' when 'culture' then 'social' when 'environment' then 'environmental' else 'political' end as type,
+  case when heat_score >= 70 then 'critical' when heat_score >= 50 then 'major' when heat_score >= 30 then 'notable' else 'routine' end as importance,
+  case when news_count = 0 or gap > 30 then 'archived' when gap > 7 then 'resolved' when recent = 0 then 'declining' when recent > 1.5 * earlier then (case when news_count > 3 then 'developing' else 'emerging' end) when recent >= 0.8 * earlier then 'peak' when recent < 0.5 * earlier then 'declining' else 'developing' end as status,
+  first_date, last_date, news_count, first.line || case when news_count > 1 then ' (+' || (least(news_count, 50) - 1) || ')' else '' end as summary, heat_score
+from heat left join (from dom where rk = 1) using (event_id) left join (from cat where rk = 1) using (event_id)""".replace("HEAT ", round_even_sql(_HEAT, 1) + " ")
+)
+def event_build(spark, d):
+    """All event tables built from one version of the ontology's tables and published as the next, orders of a day that share a topic being one event."""
+    r = Relational(spark, d)
+    root, text = scratch_path(spark, "ontology"), lambda df, *c: df.withColumns({x: F.col(x).cast("string") for x in c})
+    topics = table(spark, d, "part").select(F.concat_ws(" ", "p_brand", "p_type").alias("topic_id"), F.substring("p_brand", 7, 9).cast("int").alias("n")).distinct()
+    category = F.element_at(F.array(*map(F.lit, CATEGORIES)), F.pmod("n", F.lit(len(CATEGORIES))) + 1)
+    now = {
+        "news_item": text(r.items().drop("event_id"), "news_id"),
+        "person": text(r.persons(), "person_id", "organization_id"),
+        "organization": text(r.orgs(), "org_id"),
+        "topic": topics.select("topic_id", F.col("topic_id").alias("name"), category.alias("category")),
+        "news_person": text(r.news_person(), "news_id", "person_id"),
+        "news_organization": text(r.news_org(), "news_id", "org_id"),
+        "news_topic": text(r.news_topic(F.concat_ws(" ", "p_brand", "p_type")), "news_id"),
+    }
+    publish.publish(spark, root, now)
+    builds.build_events(spark, root, window_days=0)
+    return publish.read(spark, root, "news_event")
+
+
 _WEEK = f"""with recursive {SQL_R}, pt as (select distinct l_orderkey as news_id, cast(l_partkey as varchar) as topic_id from lineitem), generic as (select topic_id from pt group by topic_id order by count(*) desc, topic_id limit 3),
 placed as (select news_id, topic_id, broadcast_date from pt join items using (news_id) where topic_id not in (select topic_id from generic)),
 chain as (select a.news_id as a, lag(a.news_id) over (partition by topic_id order by broadcast_date, a.news_id) as b, a.broadcast_date - lag(a.broadcast_date) over (partition by topic_id order by broadcast_date, a.news_id) as gap from placed a),
@@ -355,7 +431,7 @@ def pair_retrieval(spark, d):
     return metrics.pair_retrieval(gold, pairs)
 
 
-@query("with news as (select distinct l_orderkey as news_id from lineitem), size as (select o_custkey, count(*) as n from orders group by 1), s as (select count(*) as event_count, max(n) as largest_event_size, count(*) filter (where n = 1) as singleton_events, round(avg(n), 2) as average_event_size from size), t as (select count(*) as news_count from news), a as (select count(*) as assigned from news where news_id in (select o_orderkey from orders)), g as (select count(*) as dangling from orders where o_orderkey not in (select news_id from news)) select news_count, event_count, assigned, news_count - assigned as unassigned, dangling, largest_event_size, round(largest_event_size::double / news_count, 4) as largest_event_share, singleton_events, average_event_size, largest_event_size::double / news_count > 0.25 as requires_review from s, t, a, g")
+@query("with news as (select distinct l_orderkey as news_id from lineitem), size as (select o_custkey, count(*) as n from orders group by 1), s as (select count(*) as event_count, max(n) as largest_event_size, count(*) filter (where n = 1) as singleton_events, AVERAGE_SIZE as average_event_size from size), t as (select count(*) as news_count from news), a as (select count(*) as assigned from news where news_id in (select o_orderkey from orders)), g as (select count(*) as dangling from orders where o_orderkey not in (select news_id from news)) select news_count, event_count, assigned, news_count - assigned as unassigned, dangling, largest_event_size, LARGEST_SHARE as largest_event_share, singleton_events, average_event_size, largest_event_size::double / news_count > 0.25 as requires_review from s, t, a, g".replace("AVERAGE_SIZE", round_even_sql("avg(n)", 2)).replace("LARGEST_SHARE", round_even_sql("largest_event_size::double / news_count", 4)))
 def event_quality(spark, d):
     news = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("news_id")).distinct()
     return metrics.event_quality(Relational(spark, d).links(), news)
@@ -500,6 +576,42 @@ def import_markdown_roundtrip(spark, d):
     return markdown.parse(markdown.render(own)).select("file", "order_in_broadcast", "title", "url", "full_text")
 
 
+@query(f"with m as ({_IMPORT}), n as (select *, row_number() over (partition by broadcast_date order by order_in_broadcast) as k from m), b as (select broadcast_date, k, trim(title) as title, array_to_string(list_filter(string_split('said: ' || full_text, chr(10)), lambda x: trim(x) <> '' and trim(x) <> '---' and not starts_with(x, '# ')), chr(10)) as full_text from n) select substr(sha256(broadcast_date || ':' || k), 1, 16) as news_id, broadcast_date, k::int as order_in_broadcast, title, length(full_text)::int as word_count from b")
+def import_commit(spark, d):
+    """Broadcasts written as daily files, and the folder imported as one commit; a second import adds nothing."""
+    own = _broadcasts(spark, d).withColumn("url", F.lit(None).cast("string")).withColumn("full_text", F.concat(F.lit("said: "), F.col("full_text")))
+    folder, root = scratch_path(spark, "broadcasts"), scratch_path(spark, "ontology")
+    files.write_files(markdown.render(own), folder)
+    builds.import_folder(spark, folder, root)
+    if builds.import_folder(spark, folder, root):
+        raise ValueError("a second import added items")
+    return publish.read(spark, root, "news_item").select("news_id", "broadcast_date", "order_in_broadcast", "title", "word_count")
+
+
+@query("select strftime(date '2030-12-31' - cast(page_id as int), '%Y%m%d') as date, length(html)::int as length, md5(html) as hash from pages where page_id is not null")
+def dated_pages(spark, d):
+    """Pages saved as a file for each date, read by the source of dated pages."""
+    pages = table(spark, d, "pages").where("page_id is not null").select(F.date_format(F.expr("date_sub(date '2030-12-31', cast(page_id as int))"), "yyyyMMdd").alias("date"), F.col("html").alias("content"))
+    folder = scratch_path(spark, "pages")
+    files.write_files(pages.select(F.concat("date", F.lit(".html")).alias("file"), "content"), folder)
+    days = table(spark, d, "pages").agg(F.coalesce(F.max("page_id"), F.lit(0)) + 1).first()[0]
+    return saved_pages.read_pages(spark, f"{folder}/{{date}}.html", "2030-12-31", days, "keep").where("error is null").select("date", F.length("html").alias("length"), F.md5("html").alias("hash"))
+
+
+_SLUGS = {k: v.replace(" ", "-") for k, v in TOPIC_READINGS.items()}
+
+
+@query(f"select p_partkey, ([{', '.join(repr(k) for k in _SLUGS)}])[p_size % {len(_SLUGS)} + 1] || ' ' || p_brand as name, ([{', '.join(repr(v) for v in _SLUGS.values())}])[p_size % {len(_SLUGS)} + 1] || '- ' || p_brand as topic_id from part")
+def topic_slugs(spark, d):
+    topic = F.element_at(F.array(*map(F.lit, _SLUGS)), F.col("p_size") % len(_SLUGS) + 1)
+    return table(spark, d, "part").select("p_partkey", F.concat_ws(" ", topic, "p_brand").alias("name")).select("p_partkey", "name", slug(F.col("name")).alias("topic_id"))
+
+
+@query(f"select l_orderkey, l_linenumber, {round_even_sql('l_extendedprice * (1 - l_discount) / 8.0::double', 2)} as two, {round_even_sql('l_extendedprice / 8.0::double', 1)} as one from lineitem")
+def rounded_prices(spark, d):
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", round_even(F.col("l_extendedprice") * (1 - F.col("l_discount")) / 8, 2).alias("two"), round_even(F.col("l_extendedprice") / 8, 1).alias("one"))
+
+
 @query("select 'orders without lines' as relation, cast(o_orderkey as varchar) as value from orders where o_orderkey not in (select l_orderkey from lineitem) union all select 'customers of orders', cast(o_custkey as varchar) from (select distinct o_custkey from orders) where o_custkey not in (select c_custkey from customer) union all select 'labelled documents', cast(doc_id as varchar) from labels where doc_id not in (select doc_id from documents) union all select 'parts of lines', cast(l_partkey as varchar) from (select distinct l_partkey from lineitem) where l_partkey not in (select p_partkey from part)")
 def fk_violations(spark, d):
     t = lambda n: table(spark, d, n)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.functions.text import event_id
+from newsloom.functions.text import event_id, round_even
 from newsloom.operators.overlap import top_overlaps
 from newsloom.plans.components import connected_components
 from newsloom.plans.digest import member_digests
@@ -128,7 +128,7 @@ def heat_board(links: DataFrame, actors: DataFrame, as_of: DataFrame) -> DataFra
     recency = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.lit(100.0) - d("gap") * F.lit(100.0 / 30)))
     acceleration = F.when(F.col("earlier") > 0, F.least(F.try_divide(d("recent"), d("earlier")) * 50, F.lit(100.0))).when(F.col("recent") > 0, 50.0).otherwise(0.0)
     actor = F.least(d("actors") / 10, F.lit(1.0)) * 100
-    own = own.withColumn("heat_score", F.round(0.4 * frequency + 0.3 * recency + 0.2 * acceleration + 0.1 * actor, 1))
+    own = own.withColumn("heat_score", round_even(0.4 * frequency + 0.3 * recency + 0.2 * acceleration + 0.1 * actor, 1))
     return own.select("event_id", "news_count", "first_date", "last_date", "recent", "earlier", "actors", "heat_score", importance(F.col("heat_score")).alias("importance"), status(F.col("news_count"), F.col("gap"), F.col("recent"), F.col("earlier")).alias("status"))
 
 

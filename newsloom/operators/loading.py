@@ -7,6 +7,7 @@ import time
 from collections import deque
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -73,9 +74,13 @@ def orphans(links: DataFrame, key: str, dim: DataFrame, dim_key: str, name: str)
 
 
 def check_references(*found: DataFrame) -> None:
-    n = sum(f.count() for f in found)
-    if n:
-        raise ValueError(f"{n} references lead nowhere")
+    """Raise if any of the tables that :func:`orphans` gives has rows; one job for all."""
+    if not found:
+        return
+    all_ = reduce(DataFrame.unionByName, found)
+    some = all_.groupBy("relation").agg(F.count("*").alias("n")).orderBy("relation").collect()
+    if some:
+        raise ValueError(f"{sum(r['n'] for r in some)} references lead nowhere: " + ", ".join(f"{r['relation']} {r['n']}" for r in some))
 
 
 def first_writer(rows: DataFrame, keys: list[str], order: list[str], existing: DataFrame | None = None) -> DataFrame:
@@ -208,7 +213,8 @@ def judged_rows(results: DataFrame, slugs: dict[str, str] | None = None) -> Data
 
     ``reason`` is null for accepted rows; others have no name, a relevance outside 0 to 1
     or none, or an unknown type of organization. The first five organizations and people
-    of an item count; later ones have a reason too, so nothing disappears.
+    of an item count; later ones have a reason too, so nothing disappears. ``slugs`` are
+    the readings that topic ids are made of, see :func:`slug`.
     """
     r = results.where("result is not null").select("news_id", "result.*")
     unnamed = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
@@ -219,7 +225,7 @@ def judged_rows(results: DataFrame, slugs: dict[str, str] | None = None) -> Data
         return rows.select(*[more.get(c, F.lit(relation) if c == "relation" else F.col(c) if c in rows.columns else F.lit(None).cast("double" if c == "relevance" else "string")).alias(c) for c in columns])
 
     topic = r.select("news_id", F.posexplode("topics").alias("pos", "x")).select("news_id", "pos", F.col("x.name").alias("name"), F.col("x.relevance").alias("relevance"))
-    topic = shaped(topic, "topic", id=slug(F.col("name"), slugs or {}), reason=F.when(unnamed("name"), "no name").when(~F.coalesce(F.col("relevance").between(0, 1), F.lit(False)), "relevance outside 0 to 1"))
+    topic = shaped(topic, "topic", id=slug(F.col("name"), slugs), reason=F.when(unnamed("name"), "no name").when(~F.coalesce(F.col("relevance").between(0, 1), F.lit(False)), "relevance outside 0 to 1"))
     org = r.select("news_id", F.posexplode("organizations").alias("pos", "x")).select("news_id", "pos", F.col("x.name").alias("name"), F.col("x.type").alias("kind"))
     org = shaped(org, "organization", id=F.col("name"), reason=F.when(unnamed("name"), "no name").when(late, "beyond the first five").when(~F.coalesce(F.col("kind").isin(*ORG_TYPES), F.lit(False)), "unknown type"))
     who = r.select("news_id", "organizations", F.posexplode("people").alias("pos", "x")).select("news_id", "pos", F.col("x.name").alias("name"), F.col("x.title").alias("title"), infer_organization(F.coalesce("x.title", F.lit("")), F.col("organizations")).alias("organization_id"))

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.functions.text import round_even
+
 
 def _pairs(n: Column) -> Column:
     return (n * (n - 1) / 2).cast("long")
@@ -93,11 +95,11 @@ def event_quality(links: DataFrame, news: DataFrame, share: float = 0.25) -> Dat
     if links.groupBy("event_id", "news_id").count().where("count > 1").count():
         raise ValueError("an item occurs twice in an event")
     size = links.groupBy("event_id").agg(F.count("*").alias("n"))
-    sizes = size.agg(F.count("*").alias("event_count"), F.coalesce(F.max("n"), F.lit(0)).alias("largest_event_size"), F.count_if(F.col("n") == 1).alias("singleton_events"), F.coalesce(F.round(F.avg("n"), 2), F.lit(0.0)).alias("average_event_size"))
+    sizes = size.agg(F.count("*").alias("event_count"), F.coalesce(F.max("n"), F.lit(0)).alias("largest_event_size"), F.count_if(F.col("n") == 1).alias("singleton_events"), F.coalesce(round_even(F.avg("n"), 2), F.lit(0.0)).alias("average_event_size"))
     member = links.select("news_id").distinct()
     total = news.select("news_id").agg(F.count("*").alias("news_count"))
     here = member.join(news.select("news_id"), "news_id", "left_semi").agg(F.count("*").alias("assigned"))
     away = member.join(news.select("news_id"), "news_id", "left_anti").agg(F.count("*").alias("dangling"))
     out = total.crossJoin(sizes).crossJoin(here).crossJoin(away)
     part = F.coalesce(F.try_divide(F.col("largest_event_size").cast("double"), F.col("news_count")), F.lit(0.0))
-    return out.select("news_count", "event_count", "assigned", (F.col("news_count") - F.col("assigned")).alias("unassigned"), "dangling", "largest_event_size", F.round(part, 4).alias("largest_event_share"), "singleton_events", "average_event_size", (part > share).alias("requires_review"))
+    return out.select("news_count", "event_count", "assigned", (F.col("news_count") - F.col("assigned")).alias("unassigned"), "dangling", "largest_event_size", round_even(part, 4).alias("largest_event_share"), "singleton_events", "average_event_size", (part > share).alias("requires_review"))

@@ -112,6 +112,37 @@ def event_relations(relations: DataFrame, event_id, limit: int = 5) -> DataFrame
     return relations.where(F.col("source_event_id") == F.lit(event_id)).orderBy(F.desc("similarity_score"), "target_event_id").limit(limit)
 
 
+def event_report(events: DataFrame, items: DataFrame, links: DataFrame, event_person: DataFrame, persons: DataFrame, event_organization: DataFrame, orgs: DataFrame, event_id, named: int = 10, length: int = 300) -> DataFrame:
+    """What a report of an event is written from: ``section, position, line`` of its header, people, organizations and timeline, in order.
+
+    People and organizations are the first ten by role, then by id; each item has its
+    date and title, and on a second line up to 300 characters of summary or text. An
+    event without items, or one that isn't known, gives one line that says so.
+    """
+    is_it = F.col("event_id") == F.lit(event_id)
+    own = links.where(is_it).select("news_id")
+    event = events.where(is_it).limit(1)
+    n, known = F.lit(own.count()), F.lit(event.count())
+    fine = (n > 0) & (known > 0)
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    head = event.select(F.explode(F.array(F.concat(F.lit("Event: "), text("name")), F.concat(F.lit("Type: "), text("type")), F.concat(F.lit("Importance: "), text("importance")), F.concat(F.lit("Status: "), text("status")), F.concat(F.lit("Dates: "), text("first_date"), F.lit(" to "), text("last_date")))).alias("line")).withColumn("position", F.monotonically_increasing_id() + 1)
+
+    def who(of, dim, key, name, section):
+        rows = of.where(is_it).join(dim.select(key, F.col(name).alias("name")), key).orderBy("role", key).limit(named)
+        at = F.row_number().over(Window.orderBy("role", key))  # at most ten rows
+        return rows.select(F.lit(section).alias("section"), at.cast("long").alias("position"), F.concat(F.lit("- "), text("name"), F.lit(" ("), text("role"), F.lit(")")).alias("line"))
+
+    preview = F.substring(F.coalesce(F.nullif("summary", F.lit("")), "full_text", F.lit("")), 1, length)
+    line = F.concat(F.lit("["), F.col("broadcast_date").cast("string"), F.lit("] "), text("title"), F.lit("\n  "), preview)
+    at = F.row_number().over(Window.partitionBy("broadcast_date").orderBy("news_id"))
+    dated = items.join(own, "news_id", "left_semi").withColumn("at", at)
+    before = dated.groupBy("broadcast_date").agg(F.count("*").alias("n")).select("broadcast_date", (F.coalesce(F.sum("n").over(Window.orderBy("broadcast_date").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("before"))  # a row for each day
+    timeline = dated.join(before, "broadcast_date").select(F.lit(4).alias("section"), (F.col("before") + F.col("at")).cast("long").alias("position"), line.alias("line"))
+    rows = head.select(F.lit(1).alias("section"), "position", "line").unionByName(who(event_person, persons, "person_id", "name_chinese", 2)).unionByName(who(event_organization, orgs, "org_id", "name", 3)).unionByName(timeline).where(fine)
+    message = F.when(n == 0, "No items linked to this event.").otherwise("Event not found.")
+    return rows.unionByName(links.sparkSession.range(1).select(F.lit(0).alias("section"), F.lit(1).cast("long").alias("position"), message.alias("line")).where(~fine)).orderBy("section", "position")
+
+
 def emerging_events(events: DataFrame, links: DataFrame, items: DataFrame, as_of: Column, lookback_days: int = 3, limit: int = 10) -> DataFrame:
     """Emerging and developing events with news since ``as_of`` minus the lookback, and how much of it."""
     cutoff = F.date_sub(as_of, lookback_days)

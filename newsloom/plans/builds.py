@@ -133,5 +133,9 @@ def build_events(spark: SparkSession, root: str, profile: Callable[[str], str] =
         if loose:
             raise ValueError(f"{loose} items belong to no event")
 
-    commit(spark, root, lambda now: event_tables(with_all(spark, now), profile, window_days, min_items, concurrency), check, tries)
+    def build(now: Tables) -> Tables:
+        check_all_references({k: v for k, v in now.items() if k not in EVENT_TABLES})
+        return event_tables(with_all(spark, now), profile, window_days, min_items, concurrency)
+
+    commit(spark, root, build, check, tries)
     return events.pipeline_stats(read(spark, root, "news_event"), read(spark, root, "event_relation")).first().asDict()

@@ -38,7 +38,7 @@ def _create(spark: SparkSession, path: str, content: str) -> bool:
             nio = spark.sparkContext._jvm.java.nio.file
             options = spark.sparkContext._gateway.new_array(nio.OpenOption, 2)
             options[0], options[1] = nio.StandardOpenOption.CREATE_NEW, nio.StandardOpenOption.WRITE
-            nio.Files.write(nio.Paths.get(p.toUri()), bytearray(content.encode()), options)
+            nio.Files.write(nio.Paths.get(fs.makeQualified(p).toUri()), bytearray(content.encode()), options)
             return True
         out = fs.create(p, False)
         out.write(bytearray(content.encode()))

@@ -69,13 +69,13 @@ def test_two_writers_leave_both_batches(spark, tmp_path, monkeypatch):
 
 def corpus(spark, root):
     d = lambda n: datetime.date(2026, 9, n)
-    items = [(f"n{i}", f"Title {i}", f"text {i}", d(i), 1, None, None, None, None, 6) for i in range(1, 7)]
+    items = [(f"n{i}", f"Title {i}", f"text {i}", d(i), 1, None, None, None, None, 6) for i in range(1, 8)]
     rows = {
         "news_item": items,
         "person": [("p1", "P1", "P1", "chair", "o1"), ("p2", "P2", "P2", None, None)],
         "organization": [("o1", "Office", "government")],
         "topic": [("t1", "flood", "Environment"), ("t2", "trade", "Economy"), *[(f"g{i}", f"generic{i}", "") for i in range(3)]],
-        "news_topic": [("n1", "t1", 0.9, None), ("n2", "t1", 0.9, None), ("n3", "t2", 0.8, None), ("n4", "t2", 0.8, None)] + [(f"n{i}", f"g{j}", 0.1, None) for i in range(1, 7) for j in range(3)],
+        "news_topic": [("n1", "t1", 0.9, None), ("n2", "t1", 0.9, None), ("n3", "t2", 0.8, None), ("n4", "t2", 0.8, None)] + [(f"n{i}", f"g{j}", 0.1, None) for i in range(5, 8) for j in range(3)],
         "news_person": [("n1", "p1"), ("n2", "p1"), ("n3", "p1"), ("n3", "p2"), ("n5", "p2")],
         "news_organization": [("n1", "o1"), ("n2", "o1")],
     }
@@ -85,7 +85,7 @@ def corpus(spark, root):
 def test_event_build_is_whole_or_not_at_all(spark, tmp_path):
     root = f"file://{tmp_path}/store"
     corpus(spark, root)
-    assert builds.build_events(spark, root) == {"events": 4, "with_summary": 4, "critical": 0, "relations": 4}
+    assert builds.build_events(spark, root) == {"events": 5, "with_summary": 5, "critical": 0, "relations": 4}
     e = {r["event_id"]: r for r in publish.read(spark, root, "news_event").collect()}
     of = {r["news_id"]: e[r["event_id"]] for r in publish.read(spark, root, "news_event_link").collect()}
     flood = hashlib.sha256(b"n1,n2").hexdigest()[:16]
@@ -108,7 +108,7 @@ def test_event_build_is_whole_or_not_at_all(spark, tmp_path):
     stale = publish.current(spark, root)
     with pytest.raises(ValueError, match="lead nowhere"):
         builds.build_events(spark, root)
-    assert publish.current(spark, root) == stale and publish.read(spark, root, "news_event").count() == 4
+    assert publish.current(spark, root) == stale and publish.read(spark, root, "news_event").count() == 5
 
 
 def test_setup_makes_all_tables_once(spark, tmp_path):

@@ -315,8 +315,8 @@ def test_enrichment(spark):
     out = loading.enrich(items, provider).persist()
     assert {r["news_id"]: r["status"] for r in out.collect()} == {"a": "enhanced", "b": "skipped", "c": "failed"}
     t = loading.persist_enrichment(out)
-    assert {tuple(r) for r in t["topic"].collect()} == {("经济", "经济", "Economy"), ("new-one", "new one", "")}
-    assert {tuple(r) for r in t["news_topic"].collect()} == {("a", "经济", 0.5), ("a", "new-one", 0.9)}
+    assert {tuple(r) for r in t["topic"].collect()} == {("jing-ji", "经济", "Economy"), ("new one", "new one", "")}
+    assert {tuple(r) for r in t["news_topic"].collect()} == {("a", "jing-ji", 0.5), ("a", "new one", 0.9)}
     assert {tuple(r) for r in t["organization"].collect()} == {("Ministry", "Ministry", "government"), ("Central Bank", "Central Bank", "enterprise")}
     assert {(r["person_id"], r["organization_id"]) for r in t["person"].collect()} == {("Wang", "Central Bank"), ("Li", None)}
 

@@ -6,10 +6,10 @@ aggregation with map-side merging, so a line that a third of all documents hold
 costs one row a task. Lines whose estimate lies near the threshold get exact distinct
 counts; the estimates decide the rest. The first occurrence of a line stays.
 
-The plan is the same at every size and its shuffles grow in proportion to the input:
-places of lines meet boilerplate hashes by merge join (adaptive execution splits a
-hot hash), and texts meet the places that they lose by merge join on their id and
-hash. No table is broadcast.
+Shuffles grow in proportion to the input: places of lines meet boilerplate hashes by
+merge join (adaptive execution splits a hot hash), and texts meet the places that they
+lose by merge join on their id and hash. Only the hashes of lines near the threshold are broadcast, up to a stated number
+that is counted first.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from newsloom.plans.scratch import materialize
 
 #: Distinct sites that make a line boilerplate; log2 of a sketch's size.
 MIN_SITES, LG_K = 5, 12
+#: Lines near the threshold up to which their hashes, of eight bytes, are sent to all tasks; beyond, all lines are dealt by hash. The result is the same.
+NEAR = 500_000
 OUT = "__lines"
 
 
@@ -46,7 +48,11 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     seen = materialize(spread.select("h", "first", F.hll_sketch_estimate("sketch").alias("sites")).where(F.col("sites") >= min_sites - margin), "spread")
     clear = seen.where(F.col("sites") > min_sites + margin).select("h", "first")
     near = seen.where(F.col("sites") <= min_sites + margin).select("h", "first")
-    exact = lines.select("h", "site").distinct().join(near.hint("merge"), "h").groupBy("h").agg(F.count("*").alias("sites"), F.first("first").alias("first"))
+    if near.count() <= NEAR:  # a lookup of this size is kept by each task, and no other line is shuffled again
+        sites = lines.select("h", "site").join(F.broadcast(near.select("h")), "h", "left_semi").distinct()
+    else:
+        sites = lines.select("h", "site").distinct()
+    exact = sites.join(near.hint("merge"), "h").groupBy("h").agg(F.count("*").alias("sites"), F.first("first").alias("first"))
     return clear.unionByName(exact.where(F.col("sites") >= min_sites).select("h", "first"))
 
 

@@ -10,6 +10,7 @@ the score.
 
 from __future__ import annotations
 
+import math
 import unicodedata
 from dataclasses import dataclass
 
@@ -25,8 +26,8 @@ from newsloom.session import ship
 
 #: Labelled rows that the lexicon and the logistic function are fitted on at most (about, chosen by hash of the id).
 FIT_ROWS = 20_000
-#: Least documents, log odds and log-likelihood ratio of a learned term, lengths of stems, weight of a built-in term that isn't learned.
-LEAST_DOCS, LEAST_ODDS, LEAST_SURPRISE, STEMS, PRIOR = 3, 3.0, 20.0, (4, 5, 6, 7), 3.0
+#: Least documents and log odds of a learned term, share of terms learned by chance, lengths of stems, weight of a built-in term that isn't learned.
+LEAST_DOCS, LEAST_ODDS, BY_CHANCE, STEMS, PRIOR = 3, 2.0, 0.001, (4, 5, 6, 7), 3.0
 THRESHOLD = 0.3
 
 # Built-in terms, phrases that excuse the terms in them, and letters and digits that stand for Latin letters.
@@ -136,14 +137,24 @@ def surprise_of(n_pos: int, n_neg: int) -> Column:
     return 2 * (part("pos", n_pos) + part("neg", max(n_neg, 1)))
 
 
-def choose(pos: dict[str, int], neg: dict[str, int], n_pos: int, n_neg: int) -> dict[str, float]:
-    """Terms and log odds, most telling first: a term goes if a kept stem begins it, or if a kept longer term explains nearly all of its documents."""
+def least_surprise(counts: dict[float, int], tested: int, by_chance: float = BY_CHANCE) -> float:
+    """The log-likelihood ratio from which terms are learned: of the ``tested`` terms so many reach it (``counts`` by value, of terms likelier in toxic documents) that at most the share ``by_chance`` of them is expected to do so by chance (Benjamini and Hochberg)."""
+    least, reached = float("inf"), 0
+    for g in sorted(counts, reverse=True):
+        reached += counts[g]
+        if 0.5 * math.erfc(math.sqrt(max(g, 0.0) / 2)) <= by_chance * reached / tested:
+            least = g
+    return least
+
+
+def choose(pos: dict[str, int], neg: dict[str, int], n_pos: int, n_neg: int, least: float) -> dict[str, float]:
+    """Terms of a log-likelihood ratio of ``least`` and their log odds, most telling first: a term goes if a kept stem begins it, or if a kept longer term explains nearly all of its documents."""
     kept: dict[str, float] = {}
     covered: dict[str, int] = {}
     g = {t: surprise(n, neg.get(t, 0), n_pos, n_neg) for t, n in pos.items()}
     for t in sorted(pos, key=lambda x: (-g[x], -len(x), x)):
         n, odds = pos[t], float(np.log((pos[t] + 0.5) / (n_pos + 1)) - np.log((neg.get(t, 0) + 0.5) / (n_neg + 1)))
-        if odds < LEAST_ODDS or g[t] < LEAST_SURPRISE or any(t[:k] in kept for k in range(4, len(t))) or n <= 1.1 * covered.get(t, 0):
+        if odds < LEAST_ODDS or g[t] < least or any(t[:k] in kept for k in range(4, len(t))) or n <= 1.1 * covered.get(t, 0):
             continue
         kept[t] = odds
         for k in range(4, len(t)):
@@ -190,9 +201,12 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     learned: dict[str, float] = {}
     if n_pos := n.get(1, 0):
         n_neg = n.get(0, 0)
-        terms = once.mapInArrow(counted, "t string, neg long, pos long").groupBy("t").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where(F.col("pos") >= max(LEAST_DOCS, n_pos // 500))
-        some = {r["t"]: (r["pos"], r["neg"]) for r in terms.where((log_odds(n_pos, n_neg) >= LEAST_ODDS) & (surprise_of(n_pos, n_neg) >= LEAST_SURPRISE)).toLocalIterator()}
-        learned = choose({t: v[0] for t, v in some.items()}, {t: v[1] for t, v in some.items()}, n_pos, n_neg)
+        terms = once.mapInArrow(counted, "t string, neg long, pos long").groupBy("t").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where(F.col("pos") >= LEAST_DOCS).withColumn("g", surprise_of(n_pos, n_neg)).persist()
+        binned = terms.groupBy((F.floor(F.col("g") * 2) / 2).alias("g")).agg(F.count("*").alias("n"), F.count_if(log_odds(n_pos, n_neg) > 0).alias("up")).collect()
+        least = least_surprise({r["g"]: r["up"] for r in binned}, sum(r["n"] for r in binned))
+        some = {r["t"]: (r["pos"], r["neg"]) for r in terms.where((log_odds(n_pos, n_neg) >= LEAST_ODDS) & (F.col("g") >= least)).toLocalIterator()}
+        terms.unpersist()
+        learned = choose({t: v[0] for t, v in some.items()}, {t: v[1] for t, v in some.items()}, n_pos, n_neg, least)
     weights = {f" {fold(s).strip()} ": PRIOR for s in SEEDS.split()} | learned
     model = Model(weights, np.array([-3.0, 0.5, 1.0]))
 

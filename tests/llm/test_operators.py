@@ -94,6 +94,19 @@ def test_line_dedup_matches_brute_force(docs):
     assert got == sorted(want) and sum(r[2] for r in got) > 20
 
 
+def test_only_lines_near_the_threshold_are_counted_exactly(docs, monkeypatch):
+    lines = line_dedup.places(docs)
+    found = {}
+    for most in (line_dedup.NEAR, 0):
+        monkeypatch.setattr(line_dedup, "NEAR", most)
+        out = line_dedup.boilerplate(lines)
+        found[most] = sorted(tuple(r) for r in out.collect())
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        if most:  # the semi join lies below the distinct
+            assert "LeftSemi" in plan and plan.index("Aggregate [h#") < plan.index("LeftSemi")
+    assert found[0] == found[line_dedup.NEAR] and found[0]
+
+
 def test_line_dedup_keeps_columns_and_clean_documents(docs, none):
     out = line_dedup.dedup_lines(docs)
     assert out.columns == docs.columns and dict(out.dtypes) == dict(docs.dtypes)
@@ -578,7 +591,10 @@ def test_toxicity_matches_brute_force(spark):
     for y, t in kept:
         (pos if y else neg).update(toxicity.terms_of(toxicity.fold(t)))
     n_pos, n_neg = sum(y for y, _ in kept), sum(1 - y for y, _ in kept)
-    want = toxicity.choose({t: n for t, n in pos.items() if n >= toxicity.LEAST_DOCS}, neg, n_pos, n_neg)
+    tested = {t: n for t, n in pos.items() if n >= toxicity.LEAST_DOCS}
+    up = sorted((math.floor(2 * toxicity.surprise(n, neg[t], n_pos, n_neg)) / 2 for t, n in tested.items() if (n + 0.5) / (n_pos + 1) > (neg[t] + 0.5) / (n_neg + 1)), reverse=True)
+    least = min(g for g in up if math.erfc(math.sqrt(g / 2)) / 2 * len(tested) <= toxicity.BY_CHANCE * sum(x >= g for x in up))
+    want = toxicity.choose(tested, neg, n_pos, n_neg, least)
     assert {t: w for t, w in model.weights.items() if t in want} == {t: pytest.approx(w) for t, w in want.items()}
 
 

@@ -576,6 +576,18 @@ def import_markdown_roundtrip(spark, d):
     return markdown.parse(markdown.render(own)).select("file", "order_in_broadcast", "title", "url", "full_text")
 
 
+@query(f"with m as ({_IMPORT}) select 'new' as state, count(*) as items from m union all select case when full_text like '%a%' then 'changed' else 'same' end, count(*) from m group by 1")
+def import_stream(spark, d):
+    """Items that arrive as files and arrive again, some with other content, after a restart of the stream."""
+    own = _broadcasts(spark, d).withColumn("url", F.lit(None).cast("string"))
+    folder, checkpoint = scratch_path(spark, "arrivals"), scratch_path(spark, "stream")
+    schema = "broadcast_date date, order_in_broadcast int, news_id string, title string, full_text string, url string"
+    for batch in (own, own.withColumn("full_text", F.replace("full_text", F.lit("a"), F.lit("A")))):
+        batch.write.mode("append").parquet(folder)
+        out = ingest.run_once(ingest.import_changes(ingest.read_items(spark, folder, schema)), "changes", checkpoint)
+    return out.groupBy("state").agg(F.count("*").alias("items"))
+
+
 @query(f"with m as ({_IMPORT}), n as (select *, row_number() over (partition by broadcast_date order by order_in_broadcast) as k from m), b as (select broadcast_date, k, trim(title) as title, array_to_string(list_filter(string_split('said: ' || full_text, chr(10)), lambda x: trim(x) <> '' and trim(x) <> '---' and not starts_with(x, '# ')), chr(10)) as full_text from n) select substr(sha256(broadcast_date || ':' || k), 1, 16) as news_id, broadcast_date, k::int as order_in_broadcast, title, length(full_text)::int as word_count from b")
 def import_commit(spark, d):
     """Broadcasts written as daily files, and the folder imported as one commit; a second import adds nothing."""

@@ -468,6 +468,30 @@ def test_streaming_matches_batch(spark, tmp_path):
     assert sorted(map(tuple, spark.table("heat").collect())) == sorted(map(tuple, ingest.heat_windows(rows, "k", "ts").collect()))
 
 
+def test_stream_of_imports_equals_batches(spark, tmp_path):
+    from newsloom.streaming import ingest
+
+    schema = "news_id string, title string, full_text string, broadcast_date date, order_in_broadcast int, url string"
+    row = lambda i, text, url=None: (f"n{i}", f"T{i}", text, day(1), i, url)
+    first = [row(i, f"text {i}") for i in range(1, 7)]
+    second = [row(1, "text 1"), row(2, "other"), row(3, "text 3", "https://c"), row(7, "seven"), row(3, "text 3", "https://d"), (None, "T", "x", day(1), 1, None)]
+    for order in (1, -1):
+        folder, checkpoint = f"{tmp_path}/in{order}", f"{tmp_path}/cp{order}"
+        for batch in (first, second):
+            for one_row in batch[::order]:
+                spark.createDataFrame([one_row], schema).write.mode("append").parquet(folder)
+            out = ingest.run_once(ingest.import_changes(ingest.read_items(spark, folder, schema)), "changes", checkpoint)
+        got = Counter((r["news_id"], r["state"], r["filled"]) for r in out.collect())
+        assert got == Counter([(f"n{i}", "new", False) for i in (1, 2, 3, 4, 5, 6, 7)] + [("n1", "same", False), ("n2", "changed", False), ("n3", "same", True), ("n3", "same", False)])
+        old = spark.createDataFrame(first, schema)
+        new = spark.createDataFrame([r for r in second if r[0] and r[5] != "https://d"], schema)
+        want = Counter((r["news_id"], r["state"]) for r in loading.compare_import(new, old).collect())
+        late = Counter((i, state) for i, state, _ in got.elements()) - Counter((r[0], "new") for r in first)
+        assert late == want + Counter({("n3", "same"): 1})  # the row left out above
+        table = {r["news_id"]: r["url"] for r in ingest.imported(out).collect()}
+        assert table == {f"n{i}": "https://c" if i == 3 else None for i in range(1, 8)}
+
+
 def test_dashboard(spark):
     arts = corpus(spark).withColumn("summary", F.lit(None).cast("string")).withColumn("excerpt", F.col("title"))
     own = exports.dashboard_filter(arts, keyword="FLOOD", topic="weather")

@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 
 from newsloom.plans.scratch import materialize
 
-#: Weights by rank of the source, times its size that a target may reach; blocks in all (about), log2 of shards, rows that may be broadcast;
+#: Weights by rank of the source, times its size that a target may reach; blocks in all and log2 of shards at least, words of a block and of a shard at most (about), rows that may be broadcast;
 #: share of a target by which whole documents may stay below it, fillings planned at a time, ranges of hashes at a node of the tree.
-WEIGHTS, MOST, BLOCKS, LEVELS, BROADCAST_ROWS, MISS, PASSES, RANGE_BITS = (5, 2, 1), 3, 16_384, 4, 200_000, 0.005, 4, 10
+WEIGHTS, MOST, BLOCKS, LEVELS, BLOCK_WORDS, SHARD_WORDS, BROADCAST_ROWS, MISS, PASSES, RANGE_BITS = (5, 2, 1), 3, 16_384, 4, 4_000_000, 64_000_000, 200_000, 0.005, 4, 10
 SEED = 7
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -105,15 +105,22 @@ def filled(items: DataFrame, passes: int = PASSES) -> DataFrame:
     return out.drop("could", "now")
 
 
-def plan(sizes: DataFrame, seed: int = SEED, levels: int = LEVELS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Sources (with targets and numbers of blocks), block copies by shard, and documents that the rest takes singly or in part.
+def extent(words: int) -> tuple[int, int]:
+    """Blocks and levels of the tree for so many words: blocks and shards have a bounded size, whatever the input."""
+    return max(BLOCKS, -(-words // BLOCK_WORDS)), max(LEVELS, (-(-words // SHARD_WORDS) - 1).bit_length())
 
-    The last has ``key, source, cut``: the words that are taken of a document, null for all.
+
+def plan(sizes: DataFrame, seed: int = SEED, levels: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame, bool]:
+    """Sources (with targets and numbers of blocks), block copies by shard, documents that the rest takes singly or in part, and whether sources and blocks are few enough to be broadcast.
+
+    The third has ``key, source, cut``: the words that are taken of a document, null for all.
     """
     src = targets(sizes).withColumn("passes", F.when(F.col("source_size") > 0, F.least(F.lit(MOST), F.floor(F.col("target") / F.col("source_size")))).otherwise(0).cast("int"))
     n, total = src.agg(F.count("*"), F.sum("source_size")).first()
-    few = n <= BROADCAST_ROWS  # a row for each source, and at most BLOCKS more
-    share = F.ceil(F.lit(BLOCKS / (total or 1)) * F.col("source_size"))
+    wanted, depth = extent(total or 0)
+    levels = depth if levels is None else levels
+    few = n + wanted <= BROADCAST_ROWS  # a row for each source, and at most so many blocks more
+    share = F.ceil(F.lit(wanted / (total or 1)) * F.col("source_size"))
     src = src.withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size"))
     src = materialize(src.withColumn("blocks", F.least("docs", F.greatest(F.lit(1), share)).cast("long")), "sources")
     placed = _of_source(sizes.select("source", "size", _keyed(sizes).alias("key")), src.select("source", "blocks", "passes", "rest"), few).withColumn("block", _block(seed))
@@ -151,16 +158,16 @@ def plan(sizes: DataFrame, seed: int = SEED, levels: int = LEVELS) -> tuple[Data
     units = units.unionByName(singles.select("source").distinct().select("source", F.lit(-1).cast("long").alias("block"), F.lit(0).alias("copy")))
     units = materialize(units.withColumn("node", F.lit(0)), "units")
     for level in range(levels):
-        units = materialize(_halved(units, seed + 10 + level), "units")
-    return src, materialize(units.groupBy("source", "block").agg(F.sort_array(F.collect_list("node")).alias("shards")), "units"), singles
+        units = materialize(_halved(units, seed + 10 + level, max(0, RANGE_BITS - level)), "units")
+    return src, materialize(units.groupBy("source", "block").agg(F.sort_array(F.collect_list("node")).alias("shards")), "units"), singles, few
 
 
-def _halved(units: DataFrame, seed: int) -> DataFrame:
+def _halved(units: DataFrame, seed: int, bits: int = RANGE_BITS) -> DataFrame:
     """One level of the tree: of each node's units a drawn half goes left, in the order of their hashes.
 
-    Ranks come from counts by range of the hashes (1,024 a node, which are broadcast) and from windows within a range.
+    Ranks come from counts by range of the hashes (1,024 at a level, or one a node, which are broadcast) and from windows within a range.
     """
-    drawn = units.withColumn("draw", F.xxhash64("source", "block", "copy", F.lit(seed))).withColumn("range", F.shiftright("draw", 64 - RANGE_BITS))
+    drawn = units.withColumn("draw", F.xxhash64("source", "block", "copy", F.lit(seed))).withColumn("range", F.shiftright("draw", 64 - bits) if bits else F.lit(0).cast("long"))
     counts = drawn.groupBy("node", "range").agg(F.count("*").alias("m"))
     node = Window.partitionBy("node")
     counts = counts.select("node", "range", (F.sum("m").over(node.orderBy("range")) - F.col("m")).alias("before"), F.ceil(F.sum("m").over(node) / 2).alias("half"))
@@ -174,8 +181,7 @@ def draws(docs: DataFrame, sizes: DataFrame, seed: int = SEED) -> DataFrame:
 
     ``sizes (doc_id, source, size)`` are those of the same rows.
     """
-    src, units, singles = plan(sizes, seed)
-    few = src.count() <= BROADCAST_ROWS
+    src, units, singles, few = plan(sizes, seed)
     rows = docs.select(F.struct("*").alias("row"), F.col("source").cast("string").alias("source"), _keyed(docs).alias("key"))
     out = _of_source(rows, src.select("source", "source_size", "target", "blocks"), few).withColumn("block", _block(seed))
     out = _of_source(out, units.where("block >= 0").select("source", "block", F.col("shards").alias("own")), few, "left", "block")

@@ -692,8 +692,16 @@ def test_mixing_water_fills(spark):
     assert got == {s: pytest.approx(t) for s, t in brute_targets(sizes).items()}
 
 
+def test_blocks_and_shards_follow_the_words(docs, monkeypatch):
+    assert mixing.extent(0) == mixing.extent(10**9) == (mixing.BLOCKS, mixing.LEVELS)
+    blocks, levels = mixing.extent(16 * 10**12)  # some 100 TB
+    assert 16 * 10**12 / blocks <= mixing.BLOCK_WORDS and mixing.SHARD_WORDS / 2 < 16 * 10**12 / 2**levels <= mixing.SHARD_WORDS
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 30)
+    shards = [s for r in mixing.mix_digest(docs).collect() for s in r["shards"]]
+    assert max(shards) >= 64 and len(set(shards)) > 32
+
 def test_splitting_tree_meets_every_quota(spark):
     sizes = spark.range(600).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 4).alias("source"), (F.lit(1) + F.col("id") % 9).cast("long").alias("size"))
-    _, units, _ = mixing.plan(sizes)
+    _, units, _, _ = mixing.plan(sizes)
     shards = Counter(s for r in units.collect() for s in r["shards"])
     assert set(shards) <= set(range(16)) and max(shards.values()) - min(shards.values()) <= 4

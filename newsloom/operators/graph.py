@@ -44,7 +44,7 @@ def graph_edges(chosen: DataFrame, news_person: DataFrame, people: DataFrame, ne
     return links(news_person, people, "person_id", "person", "mentions").unionByName(links(news_org, orgs, "org_id", "org", "mentions")).unionByName(links(news_topic, topics, "topic_id", "topic", "about")).unionByName(pairs)
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 30, damping: float = 0.85, every: int = 10) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 30, damping: float = 0.85, every: int = 5) -> DataFrame:
     """``id, rank`` on the undirected simple graph; the mass of nodes without edges is spread evenly. Lineage is cut every few rounds."""
     e = edges.select(F.col("source").alias("a"), F.col("target").alias("b")).where("a <> b")
     e = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
@@ -53,17 +53,16 @@ def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 30, damping:
     n = ids.count()
     if not n:
         return ids.withColumn("rank", F.lit(0.0))
-    near = e.groupBy("a").agg(F.collect_list("b").alias("near"))
-    own = ids.join(near, F.col("id") == F.col("a"), "left").select("id", F.coalesce("near", F.array().cast("array<string>")).alias("near"), F.lit(1.0 / n).alias("rank"))
-    ranks = materialize(own, "pagerank")
-    alone = ranks.where(F.size("near") == 0).count()
+    e = materialize(e, "links")
+    degree = e.groupBy(F.col("a").alias("of")).agg(F.count("*").alias("k"))
+    own = materialize(ids.join(degree, F.col("id") == F.col("of"), "left").select("id", "k"), "degrees")
+    alone = own.where("k is null").count()
     idle = alone / n  # all nodes without edges have the same rank, so their mass is one number
-    for i in range(iterations):
+    ranks = own.select("id", F.lit(1.0 / n).alias("rank"), "k")
+    for i in range(iterations):  # a hub's edges are rows, which a skewed join splits
         base = (1 - damping) / n + damping * idle / n
-        sent = F.transform("near", lambda x: F.struct(x.alias("id"), F.lit(None).cast("array<string>").alias("near"), (F.col("rank") / F.size("near")).alias("got")))
-        kept = F.array(F.struct("id", "near", F.lit(0.0).alias("got")))
-        rows = ranks.select(F.explode(F.concat(kept, sent)).alias("x")).select("x.*")
-        ranks = rows.groupBy("id").agg(F.first("near", ignorenulls=True).alias("near"), (F.lit(base) + damping * F.sum("got")).alias("rank"))
+        got = e.join(ranks.select(F.col("id").alias("a"), (F.col("rank") / F.col("k")).alias("sent")), "a").groupBy("b").agg(F.sum("sent").alias("got"))
+        ranks = own.join(got, F.col("id") == F.col("b"), "left").select("id", (F.lit(base) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"), "k")
         idle = alone * base
         if (i + 1) % every == 0 or i + 1 == iterations:
             ranks = materialize(ranks, "pagerank")

@@ -112,6 +112,13 @@ def event_relations(relations: DataFrame, event_id, limit: int = 5) -> DataFrame
     return relations.where(F.col("source_event_id") == F.lit(event_id)).orderBy(F.desc("similarity_score"), "target_event_id").limit(limit)
 
 
+def numbered(items: DataFrame) -> DataFrame:
+    """``items`` with their ``position`` by date and id, from 1: ranks within a day, and the counts of the days before."""
+    at = F.row_number().over(Window.partitionBy("broadcast_date").orderBy("news_id"))
+    days = items.groupBy(F.col("broadcast_date").alias("of")).agg(F.count("*").alias("n")).select("of", F.coalesce(F.sum("n").over(Window.orderBy("of").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row for each day
+    return items.withColumn("at", at).join(days, F.col("broadcast_date") == F.col("of")).withColumn("position", (F.col("before") + F.col("at")).cast("long")).drop("of", "before", "at")
+
+
 def event_report(events: DataFrame, items: DataFrame, links: DataFrame, event_person: DataFrame, persons: DataFrame, event_organization: DataFrame, orgs: DataFrame, event_id, named: int = 10, length: int = 300) -> DataFrame:
     """What a report of an event is written from: ``section, position, line`` of its header, people, organizations and timeline, in order.
 
@@ -134,10 +141,7 @@ def event_report(events: DataFrame, items: DataFrame, links: DataFrame, event_pe
 
     preview = F.substring(F.coalesce(F.nullif("summary", F.lit("")), "full_text", F.lit("")), 1, length)
     line = F.concat(F.lit("["), F.col("broadcast_date").cast("string"), F.lit("] "), text("title"), F.lit("\n  "), preview)
-    at = F.row_number().over(Window.partitionBy("broadcast_date").orderBy("news_id"))
-    dated = items.join(own, "news_id", "left_semi").withColumn("at", at)
-    before = dated.groupBy("broadcast_date").agg(F.count("*").alias("n")).select("broadcast_date", (F.coalesce(F.sum("n").over(Window.orderBy("broadcast_date").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("before"))  # a row for each day
-    timeline = dated.join(before, "broadcast_date").select(F.lit(4).alias("section"), (F.col("before") + F.col("at")).cast("long").alias("position"), line.alias("line"))
+    timeline = numbered(items.join(own, "news_id", "left_semi")).select(F.lit(4).alias("section"), "position", line.alias("line"))
     rows = head.select(F.lit(1).alias("section"), "position", "line").unionByName(who(event_person, persons, "person_id", "name_chinese", 2)).unionByName(who(event_organization, orgs, "org_id", "name", 3)).unionByName(timeline).where(fine)
     message = F.when(n == 0, "No items linked to this event.").otherwise("Event not found.")
     return rows.unionByName(links.sparkSession.range(1).select(F.lit(0).alias("section"), F.lit(1).cast("long").alias("position"), message.alias("line")).where(~fine)).orderBy("section", "position")

@@ -226,6 +226,12 @@ def test_queue_is_reproducible_and_counts_agree(spark):
         annotation.make_queue(c, limit=0)
 
 
+def test_edges_without_a_node_go(spark):
+    nodes = spark.createDataFrame([("a",), ("b",)], "id string")
+    edges = spark.createDataFrame([("a", "b", 1), ("a", "x", 2), ("x", "b", 3), (None, "a", 4)], "source string, target string, weight int")
+    assert [tuple(r) for r in graph.sanitised(nodes, edges).collect()] == [("a", "b", 1)]
+
+
 def test_heat_and_status(spark):
     links = spark.createDataFrame([("e", day(d)) for d in (1, 20, 21, 22)] + [("old", day(1))], "event_id string, day date")
     board = {r["event_id"]: r for r in events.heat_board(links, spark.createDataFrame([("e", "p"), ("e", "q")], "event_id string, actor string"), links.agg(F.max("day"))).collect()}

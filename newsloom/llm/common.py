@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -10,9 +12,10 @@ from pyspark.sql import functions as F
 
 from newsloom.session import ship
 
-#: Words of a shingle, and the entries at which a worker's word cache is emptied.
+#: Words of a shingle, the entries at which a worker's word cache is emptied, and the bytes of a batch that become Python objects at once.
 SHINGLE = 5
 CACHE = 250_000
+PART = 2_000_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -20,6 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_table(spark: SparkSession, **columns: list[int]) -> DataFrame:
+    """Whole numbers as a DataFrame. Arrow takes them to the JVM; rows of Python objects would start Python workers of another kind on each executor."""
+    return spark.createDataFrame(pa.table({k: pa.array(v, pa.int64()) for k, v in columns.items()}))
+
+
 def tokenizer(name: str) -> str:
     """Path of a public tokenizer's file."""
     import public_tokenizers
@@ -33,6 +41,18 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
+def slices(batches: Iterable[pa.RecordBatch], size: int = PART) -> Iterator[pa.RecordBatch]:
+    """All rows of ``batches`` in slices of about ``size`` bytes, a row at least, without copying.
+
+    Spark's batches have 10,000 rows, tens of MB of text; a worker that turns one into
+    Python objects at once keeps that memory for all later stages.
+    """
+    for b in batches:
+        rows = max(1, b.num_rows * size // max(1, b.nbytes))
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The values of a string column as UTF-8 bytes, without decoding."""
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()

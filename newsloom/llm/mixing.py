@@ -23,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsloom.llm.common import small_table
 from newsloom.plans.scratch import materialize
 
 #: Weights by rank of the source, times its size that a target may reach; blocks in all and log2 of shards at least, words of a block and of a shard at most (about), rows that may be broadcast;
@@ -56,7 +57,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     for r in sorted(per.groupBy("range").agg(F.count("*").alias("n")).collect()):  # a row for each partition
         before.append((r["range"], so_far))
         so_far += r["n"]
-    ranked = per.join(F.broadcast(per.sparkSession.createDataFrame(before, "range int, before long")), "range")
+    ranked = per.join(F.broadcast(small_table(per.sparkSession, range=[r for r, _ in before], before=[b for _, b in before])), "range")
     rank = F.col("before") + F.row_number().over(Window.partitionBy("range").orderBy(by_name)) - 1
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(rank, F.lit(len(weights))) + 1).cast("int"))
     per = materialize(ranked.select("source", "docs", "source_size", weight.alias("w"), (F.lit(most) * F.col("source_size")).alias("cap")), "weights")

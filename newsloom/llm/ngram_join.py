@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import HASHES, SHINGLE, forest, lists, shingles, texts, utf8
+from newsloom.llm.common import HASHES, SHINGLE, forest, lists, shingles, slices, texts, utf8
 from newsloom.plans.components import connected_components
 from newsloom.plans.scratch import materialize
 
@@ -108,22 +108,20 @@ def signatures(docs: DataFrame, hot: np.ndarray, percent: int, k: int = SHINGLE)
 
     def run(batches):
         met: set[int] = set()
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                b = whole.slice(at, 1000)
-                n, sig, prefix, common, cells = [], [], [], [], []
-                for t in utf8(b.column(1)):
-                    s = shingles(t, HASHES, k)
-                    n.append(len(s))
-                    sig.append(h := set_signature(s))
-                    first = len(s) > 0 and h not in met
-                    met.add(h)
-                    rare, often = _split(s, shared.value) if first else (s[:0], s[:0])
-                    most = prefix_size(len(s), percent)
-                    prefix.append(rare[:most])
-                    common.append(often[: max(0, most - len(rare))])
-                    cells.append(cell_sizes(s) if first else None)
-                yield pa.record_batch({"doc_id": b.column(0), "n": pa.array(n, pa.int64()), "sig": pa.array(sig, pa.int64()), "prefix": lists(prefix), "common": lists(common), "cells": pa.array(cells, pa.binary()), "text_hash": b.column(2)})
+        for b in slices(batches):
+            n, sig, prefix, common, cells = [], [], [], [], []
+            for t in utf8(b.column(1)):
+                s = shingles(t, HASHES, k)
+                n.append(len(s))
+                sig.append(h := set_signature(s))
+                first = len(s) > 0 and h not in met
+                met.add(h)
+                rare, often = _split(s, shared.value) if first else (s[:0], s[:0])
+                most = prefix_size(len(s), percent)
+                prefix.append(rare[:most])
+                common.append(often[: max(0, most - len(rare))])
+                cells.append(cell_sizes(s) if first else None)
+            yield pa.record_batch({"doc_id": b.column(0), "n": pa.array(n, pa.int64()), "sig": pa.array(sig, pa.int64()), "prefix": lists(prefix), "common": lists(common), "cells": pa.array(cells, pa.binary()), "text_hash": b.column(2)})
 
     return texts(docs, text_hash("text").alias("text_hash")).mapInArrow(run, "doc_id long, n long, sig long, prefix array<long>, common array<long>, cells binary, text_hash long")
 
@@ -207,21 +205,19 @@ def _fragments(docs: DataFrame, ids: DataFrame, k: int, fragments: int = FRAGMEN
     cuts = np.arange(1, fragments, dtype=np.uint64) << np.uint64(65 - fragments.bit_length())
 
     def run(batches):
-        for b in batches:
-            for at in range(0, b.num_rows, 500):
-                c = b.slice(at, 500)
-                sig, f, part = [], [], []
-                for h, t in zip(c.column(0).to_pylist(), utf8(c.column(1)), strict=True):
-                    s = shingles(t, HASHES, k)
-                    if set_signature(s) != h:  # another text under the same doc_id
-                        continue
-                    for i, x in enumerate(np.split(s, np.searchsorted(s, cuts))):
-                        if len(x):
-                            sig.append(h)
-                            f.append(i)
-                            part.append(x)
-                if sig:
-                    yield pa.record_batch({"sig": pa.array(sig, pa.int64()), "f": pa.array(f, pa.int32()), "part": lists(part)})
+        for c in slices(batches):
+            sig, f, part = [], [], []
+            for h, t in zip(c.column(0).to_pylist(), utf8(c.column(1)), strict=True):
+                s = shingles(t, HASHES, k)
+                if set_signature(s) != h:  # another text under the same doc_id
+                    continue
+                for i, x in enumerate(np.split(s, np.searchsorted(s, cuts))):
+                    if len(x):
+                        sig.append(h)
+                        f.append(i)
+                        part.append(x)
+            if sig:
+                yield pa.record_batch({"sig": pa.array(sig, pa.int64()), "f": pa.array(f, pa.int32()), "part": lists(part)})
 
     small = ids.count() <= BROADCAST_IDS
     ids = ids.withColumnRenamed("doc_id", "of")

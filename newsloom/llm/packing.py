@@ -19,6 +19,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Callable
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -26,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import texts
+from newsloom.llm.common import slices, small_table, texts
 from newsloom.plans.scratch import materialize
 
 #: Pieces in a partition (about), exchanges at most, entries of a worker's cache, characters above which a chunk isn't remembered, pieces of one length that are ranked together (about).
-GROUP, ROUNDS, CACHE, LONGEST, RANKED = 20_000, 6, 500_000, 64, 200_000
+GROUP, ROUNDS, CACHE, LONGEST, RANKED = 20_000, 6, 200_000, 64, 200_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECES}, sequence_id long, offset long, gap long, certified boolean"
 #: Chunks that no pre-token of the byte-level pattern crosses; characters that Python takes for white space and the pattern doesn't (texts with them
@@ -73,10 +74,8 @@ class Encoder:
     def __init__(self, path: str, ranks: str):
         import tiktoken
         from public_tokenizers import PATTERN
-        from tokenizers import Tokenizer
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path = path
         with open(ranks, "rb") as f:
             pairs = [line.split() for line in f]
         encode = tiktoken.Encoding(ranks, pat_str=PATTERN, mergeable_ranks={base64.b64decode(k): int(v) for k, v in pairs}, special_tokens={}).encode_ordinary
@@ -84,6 +83,14 @@ class Encoder:
         self.spaced = Chunks(encode, " ", self.bare)
         self.line_end = self.bare["\n"]
 
+    @cached_property
+    def tokenizer(self):
+        """Loaded by the first text that needs it: few do, and its tables stay in the worker's memory."""
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        return Tokenizer.from_file(self.path)
+
     def ids(self, text: str) -> bytes:
         if SPECIAL in text:
             return self._whole(text)
@@ -125,12 +132,10 @@ def pieces(docs: DataFrame, tokenizer_path: str, ranks_path: str, end_id: int =
 
     def run(batches):
         ids_of = encoder(tokenizer_path, ranks_path).ids
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                b = whole.slice(at, 500)
-                rows = [(d, i, *p) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for i, p in enumerate(cut(ids_of(t) + end, cap))]
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        for b in slices(batches):
+            rows = [(d, i, *p) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for i, p in enumerate(cut(ids_of(t) + end, cap))]
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return texts(docs).mapInArrow(run, PIECES)
 
@@ -199,7 +204,7 @@ def _deal(items: DataFrame, counts: dict[int, int], parts: int, turn: int, cap:
     if parts > 1:
         lengths = sorted(counts)
         before = dict(zip(lengths, np.cumsum([0, *(counts[x] for x in lengths[:-1])]).tolist(), strict=True))
-        starts = items.sparkSession.createDataFrame([(x, before[x], -(-counts[x] // RANKED)) for x in lengths], "of long, before long, chunks long")
+        starts = small_table(items.sparkSession, of=lengths, before=[before[x] for x in lengths], chunks=[-(-counts[x] // RANKED) for x in lengths])
         items = items.withColumn("key", F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(turn)))
         full = items.where(F.col("length") == cap).withColumn("at", F.col("key"))  # each is a sequence of its own, wherever it lies
         rest = items.where(F.col("length") < cap).join(F.broadcast(starts), F.col("length") == F.col("of")).withColumn("chunk", F.pmod("key", F.col("chunks")))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import HASHES, shingles, texts
+from newsloom.llm.common import HASHES, shingles, slices, texts
 from newsloom.llm.lm import crc
 from newsloom.session import ship
 
@@ -177,12 +177,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
 
     def keys(batches):  # three min-hashes by which near copies meet
         salt = np.array([0, 0x5851F42D4C957F2D, 0x14057B7EF767814F], np.uint64)[:, None]
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 1000):
-                b = whole.slice(lo, 1000)
-                m = [((s ^ salt) * np.uint64(0x9E3779B97F4A7C15)).min(1).view(np.int64) if len(s := shingles(t.encode(), HASHES)) else np.zeros(3, np.int64) for t in b.column(1).to_pylist()]
-                m = np.array(m).reshape(-1, 3)
-                yield pa.record_batch({"doc_id": b.column(0), "text": b.column(1), "toxic": b.column(2), **{f"m{i}": pa.array(np.ascontiguousarray(m[:, i])) for i in range(3)}})
+        for b in slices(batches):
+            m = [((s ^ salt) * np.uint64(0x9E3779B97F4A7C15)).min(1).view(np.int64) if len(s := shingles(t.encode(), HASHES)) else np.zeros(3, np.int64) for t in b.column(1).to_pylist()]
+            m = np.array(m).reshape(-1, 3)
+            yield pa.record_batch({"doc_id": b.column(0), "text": b.column(1), "toxic": b.column(2), **{f"m{i}": pa.array(np.ascontiguousarray(m[:, i])) for i in range(3)}})
 
     once = texts(docs).join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "toxic").mapInArrow(keys, "doc_id long, text string, toxic int, m0 long, m1 long, m2 long")
     for k in range(3):
@@ -192,7 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
 
     def counted(batches):
         seen: dict[str, list[int]] = {}
-        for b in batches:
+        for b in slices(batches):
             for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 for x in terms_of(fold(t)):
                     seen.setdefault(x, [0, 0])[y] += 1
@@ -212,7 +210,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
 
     def features(batches):
         m = model.matcher()
-        for b in batches:
+        for b in slices(batches):
             s = np.array([sums(m, t) for t in b.column(0).to_pylist()]).reshape(-1, 2)
             yield pa.record_batch({"s": pa.array(np.ascontiguousarray(s[:, 0])), "d": pa.array(np.ascontiguousarray(s[:, 1])), "y": b.column(1)})
 
@@ -240,7 +238,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 
     def run(batches):
         f = scorer(shared.value)
-        for b in batches:
+        for b in slices(batches):
             s = f(b.column(1).to_pylist())
             yield pa.record_batch({"doc_id": b.column(0), "score": pa.array(s), "predicted": pa.array((s >= threshold).astype(np.int32))})
 
@@ -254,7 +252,7 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -
 
     def run(batches):
         f = scorer(shared.value)
-        for b in batches:
+        for b in slices(batches):
             yield b.filter(pa.array(f(b.column(at).to_pylist()) < threshold))
 
     return docs.mapInArrow(run, docs.schema)

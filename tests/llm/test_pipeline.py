@@ -82,3 +82,38 @@ def test_empty_corpus(spark):
         docs = stage(spark, docs, SF)
         assert docs.count() == 0, name
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == 0
+
+
+def test_a_batch_of_long_texts_is_never_python_objects_as_a_whole(spark, monkeypatch):
+    """Spark's batches hold 10,000 rows; what a worker makes of one at once, it keeps in memory for all later stages."""
+    docs = spark.range(400).coalesce(1).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.col("id").cast("string"), F.repeat(F.lit("some words "), 3_000)).alias("text"))
+
+    def small(got):
+        got = list(got)
+        assert sum(map(len, got)) <= 4_000_000, "13 MB at once"
+        return got
+
+    scorer, utf8 = toxicity.scorer, ngram_join.utf8
+    monkeypatch.setattr(toxicity, "scorer", lambda model: lambda texts: scorer(model)(small(texts)))
+    monkeypatch.setattr(ngram_join, "utf8", lambda column: small(utf8(column)))
+    model = toxicity.Model({" zzz ": 3.0}, np.array([-3.0, 0.5, 1.0]))
+    assert toxicity.without_toxic(docs, model).count() == toxicity.score(docs, model).count() == 400
+    assert ngram_join.signatures(docs, np.empty(0, np.uint64), 80).where("n > 0").count() == 400
+
+
+def test_mixing_and_packing_hold_little_beside_the_texts(spark, monkeypatch):
+    """Small tables come without Python rows, whose workers stay on each executor; the tokenizer is loaded only for texts that need it."""
+    docs = table(spark, SF, "documents")
+    made, plain = [], type(spark).createDataFrame
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, data, *a, **b: (made.append(type(data)), plain(self, data, *a, **b))[1])
+    stages = dict(corpus_pipeline.STAGES)
+    mix = stages["mixing"](spark, docs, SF)
+    assert mix.count() > 0
+    items = packing.pieces(docs, tokenizer("byte_bpe_50k.json"), tokenizer("byte_bpe_50k.tiktoken"))
+    assert packing.pack(items, group=100).count() == items.count()
+    assert made and list not in made
+    e = packing.Encoder(tokenizer("byte_bpe_50k.json"), tokenizer("byte_bpe_50k.tiktoken"))
+    e.ids("a plain text\nof two lines")
+    assert "tokenizer" not in vars(e)
+    e.ids(f"one with {packing.SPECIAL}")
+    assert "tokenizer" in vars(e)

@@ -5,9 +5,11 @@ import http.server
 import random
 import threading
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from newsloom import catalogue
 from newsloom.functions import text
 from newsloom.operators import search
 from newsloom.sources import files, html, markdown, pages
@@ -57,6 +59,19 @@ def test_pages_over_http_are_tried_again(spark):
     assert asked.count("/20260831/") == 2
 
 
+def test_references_without_a_semicolon(spark, tmp_path):
+    page = "<article><h1>a{0}</h1><p>R&amp;D, x &lt; y, &#233;, &notit; and {0}; is long enough</article>"
+    s = html.Selectors(main="", article="article", title="h1", any_title="h1", body="", closed=True)
+    assert html.articles_of(page.format("&amp"), s) == [("a&amp", "R&D, x < y, é, &notit; and & is long enough")]
+    assert html.articles_of("<article><h1>a&amp</h1><p>b&nope; c", html.Selectors(main="", article="article", title="h1", any_title="h1", body="")) == [("a&", "b&nope; c")]
+    rows = [(i, f"<html><article><h1>Title &amp;{cut}</h1><p>a body that is &amp; long enough{cut}</p></article></html>") for i, cut in enumerate(("&amp", "&am", "&", "&amp;", "", "&copy", "&quot"))]
+    spark.createDataFrame(rows, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    got = sorted(map(tuple, catalogue.html_extract(spark, str(tmp_path)).collect()))
+    assert got == sorted(con.sql(catalogue.SQL["html_extract"]).fetchall()) and len(got) == 7
+
+
 def test_files_are_written_whole(spark, tmp_path):
     df = spark.createDataFrame([("20260901.md", "## A\nb\n"), ("20260902.md", "## C\né"), ("20260901.md", "## A\nb\n"), (None, "x"), ("20260903.md", None)], "file string, content string")
     for _ in range(2):

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from newsloom.functions import text
 from newsloom.operators import annotation, clusters, events, exports, graph, loading, metrics, report, search
 from newsloom.plans import publish
-from newsloom.plans.components import connected_components
+from newsloom.plans.components import connected_components, contracted_components
 from newsloom.sources import html, jsonl, markdown
 
 ARTICLE = "news_id string, title string, day date, topics array<string>, people array<string>, organizations array<string>, keywords array<string>"
@@ -136,6 +136,30 @@ def test_components(spark):
     assert connected_components(e.where("false")).count() == 0
 
 
+def test_long_chains_take_few_rounds(spark):
+    n = 100
+    number = [0, *range(n - 1, 0, -1)]  # the least id has to pass along the whole chain
+    items = spark.createDataFrame([(i, day(1)) for i in range(n)], "news_id long, broadcast_date date")
+    links = spark.createDataFrame([(number[i + k], f"t{number[i]:03d}") for i in range(n - 1) for k in (0, 1)], "news_id long, topic_id string")
+    got = events.topical_clusters(items, links, exclude_top=0).collect()
+    assert len(got) == n and {r["cluster_id"] for r in got} == {0}
+    cut = events.topical_clusters(items, links.where(F.col("topic_id") != f"t{number[49]:03d}"), exclude_top=0, min_items=50).collect()
+    assert {(r["news_id"], r["cluster_id"]) for r in cut} == {(i, min(half)) for half in (number[:50], number[50:]) for i in half}
+
+
+def test_contraction_equals_minimum_labels(spark):
+    import random
+
+    rng = random.Random(8)
+    rows = [(rng.randint(0, 90), rng.randint(0, 90)) for _ in range(70)] + [(None, 1), (200, 200), (300, None)] + [(400, i) for i in range(401, 460)]
+    e = spark.createDataFrame(rows, "a long, b long")
+    want = {tuple(r) for r in connected_components(e.where("a <> b"), "a", "b").collect()}
+    assert {tuple(r) for r in contracted_components(e, "a", "b").collect()} == want
+    assert contracted_components(e.where("false"), "a", "b").count() == 0
+    text = e.select(F.col("a").cast("string"), F.col("b").cast("string"))
+    assert {tuple(r) for r in contracted_components(text, "a", "b").collect()} == {tuple(r) for r in connected_components(text.where("a <> b"), "a", "b").collect()}
+
+
 def test_merging_in_rounds_equals_the_walk(spark, monkeypatch):
     import random
 

@@ -37,6 +37,23 @@ def test_pages_by_date(spark, tmp_path):
         pages.read_pages(spark, f"file://{tmp_path}/page.html", "2026-09-02").count()
 
 
+def test_many_dates_share_tasks(spark, tmp_path):
+    for name in ("20301231", "09990101", "00001225", "-10622"):
+        (tmp_path / f"{name}.html").write_text(name)
+    many = pages.read_pages(spark, f"file://{tmp_path}/{{date}}.html", "2030-12-31", 742_001, errors="keep")
+    assert 742 <= many.rdd.getNumPartitions() <= pages.TASKS
+    reader = pages.PagesReader({"path": "{date}", "end": "2030-12-31", "days": "742001"})
+    runs = [p.value for p in reader.partitions()]
+    assert runs[0][0] == 0 and runs[-1][1] == 742_001 and all(a[1] == b[0] for a, b in zip(runs, runs[1:], strict=False))
+    days = (0, 376_890, 741_448, 742_000)
+    rows = [(n, f"page {n}") for n in days]
+    spark.createDataFrame(rows[:1] + [(5, "five")], "page_id long, html string").write.parquet(f"{tmp_path}/near/pages.parquet")
+    assert sorted(r["date"] for r in catalogue.dated_pages(spark, f"{tmp_path}/near").collect()) == ["20301226", "20301231"]
+    con = duckdb.connect()
+    want = [con.sql(f"select strftime(date '2030-12-31' - {n}, '%Y%m%d')").fetchall()[0][0] for n in days]
+    assert [pages.compact(reader.end - n) for n in days] == want
+
+
 def test_pages_over_http_are_tried_again(spark):
     asked = []
 

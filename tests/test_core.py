@@ -136,6 +136,23 @@ def test_components(spark):
     assert connected_components(e.where("false")).count() == 0
 
 
+def test_edges_are_computed_once_and_components_share_a_task(spark):
+    rows = [(f"n{i}", "t", day(1), [], [], [], []) for i in range(9)]
+    arts = spark.createDataFrame(rows, ARTICLE)
+    seen = spark.sparkContext.accumulator(0)
+
+    def scored(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    edges = spark.createDataFrame([("n0", "n1", 0.9), ("n1", "n2", 0.8), ("n4", "n5", 0.5)], "left string, right string, score double").mapInArrow(scored, "left string, right string, score double")
+    got = clusters.constrained_clusters(arts, edges)
+    assert partition(got) == [["n0", "n1"], ["n2"], ["n3"], ["n4", "n5"], ["n6"], ["n7"], ["n8"]]
+    assert seen.value == 3  # edges are computed once
+    assert "FlatMapGroups" not in got._jdf.queryExecution().toString()
+
+
 def test_long_chains_take_few_rounds(spark):
     n = 100
     number = [0, *range(n - 1, 0, -1)]  # the least id has to pass along the whole chain

@@ -153,6 +153,19 @@ def test_edges_are_computed_once_and_components_share_a_task(spark):
     assert "FlatMapGroups" not in got._jdf.queryExecution().toString()
 
 
+def test_ablations_block_once(spark, monkeypatch):
+    asked = []
+    plain = clusters.blocked_pairs
+    monkeypatch.setattr(clusters, "blocked_pairs", lambda *a, **k: asked.append(a) or plain(*a, **k))
+    c = corpus(spark)
+    assert {tuple(r) for r in clusters.candidate_edges(c, pairs=plain(c)).select("left", "right").collect()} == {tuple(r) for r in clusters.candidate_edges(c).select("left", "right").collect()}
+    del asked[:]
+    from newsloom.operators import report
+
+    report.ablations(c)
+    assert len(asked) == 1
+
+
 def test_long_chains_take_few_rounds(spark):
     n = 100
     number = [0, *range(n - 1, 0, -1)]  # the least id has to pass along the whole chain

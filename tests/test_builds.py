@@ -146,6 +146,29 @@ def test_top_overlaps_equal_brute_force(spark, longest):
     assert {tuple(r) for r in top_overlaps(df, 5, longest).collect()} == brute_overlaps(rows, 5)
 
 
+@pytest.mark.parametrize("longest", [12, 1000])
+def test_long_sets_make_no_row_for_each_shared_member(spark, monkeypatch, longest):
+    from newsloom.operators import overlap
+
+    rng = random.Random(longest)
+    rows = [(f"e{i}", f"p{m}") for i in range(40) for m in rng.sample(range(60), rng.choice([2, 5, 30]))]
+    df = spark.createDataFrame(rows, "item string, member string")
+    joined = []
+    plain = overlap.materialize
+
+    def noted(frame, name):
+        out = plain(frame, name)
+        if name == "short-pairs":
+            joined.append(out.agg(F.sum("rare")).first()[0])
+        return out
+
+    for name, value in (("LONG", 6), ("BLOCK", 5), ("SLAB", 7), ("materialize", noted)):
+        monkeypatch.setattr(overlap, name, value)
+    assert {tuple(r) for r in top_overlaps(df, 5, longest).collect()} == brute_overlaps(rows, 5)
+    size = {m: sum(n == m for _, n in rows) for m in {m for _, m in rows}}
+    assert joined and joined[0] < sum(n * n for n in size.values()) / 2
+
+
 def test_one_person_in_very_many_events_makes_no_pairs(spark):
     n = 20_000
     hot = spark.range(n).select(F.col("id").alias("event_id"), F.lit("everywhere").alias("person_id"))
